@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate
+from barloom.llm import decontaminate, near_dedup, substring_dedup
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
 }
 
 ORACLES = {
+    "op2_near_dedup": near_dedup.ORACLE_SQL,
+    "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
