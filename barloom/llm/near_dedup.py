@@ -210,7 +210,7 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> D
     sizes = anchors.groupBy("anchor").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS)).alias("chunks"))
     placed = saved(anchors.join(sizes, "anchor").select("rep", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), "chunks")).alias("chunk")))
 
-    texts = docs.join(placed, docs["id"] == placed["rep"]).join(classes.select("rep", "regs", F.col("n").alias("class_n")), "rep").select("chunk", "rep", "regs", "text")
+    texts = docs.join(placed.hint("shuffle_hash"), docs["id"] == placed["rep"]).join(classes.select("rep", "regs", F.col("n").alias("class_n")), "rep").select("chunk", "rep", "regs", "text")
     full = texts.mapInArrow(_full_sets(shingle), "chunk long, rep long, regs binary, shingles binary").where(F.length("shingles") > 0)
     chunks = saved(full.groupBy("chunk").agg(F.collect_list(F.struct("rep", "regs", "shingles")).alias("members")))
 
