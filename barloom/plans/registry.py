@@ -2,6 +2,78 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.functions import factor as f
+from barloom.functions.factor import Term
+from barloom.plans import evaluation, factors
+from barloom.plans.evaluation import grid
+from barloom.plans.panel import checking_sql, compute, densify
+from barloom.plans.sql import bars_sql, grid_sql
+from barloom.sources import bars as src
+
 FLAGSHIP = "factors_default"
+#: Factors that one job computes; more would only make its plan unwieldy.
+CHUNK = 10
+
+
+def _rounded(name: str, digits: int) -> F.Column:
+    """On a grid of 10**-digits.  The odd offset keeps halves, which prices give, from tipping on the last bit."""
+    return grid(F.when(F.abs(name) < F.lit(float("inf")), F.col(name)), digits).alias(name)
+
+
+def panel_query(kind: str, terms: dict[str, Term], digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
+    """Terms over the dense panel of weekly or monthly bars."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = (src.weekly_bars if kind == "week" else src.monthly_bars)(spark, sf_dir)
+        panel = densify(bars.select("datetime", "instrument", "open", "high", "low", "close", "vol", "amount"))
+        return compute(panel, terms).select(F.col("datetime").cast("date").cast("string").alias("day"), "instrument", *[_rounded(n, digits) for n in terms])
+
+    return run
+
+
+def panel_sql(kind: str, terms: dict[str, Term], digits: int = 6) -> str:
+    grid = "grid AS (SELECT t.datetime, i.instrument, open, high, low, close, vol, amount FROM (SELECT DISTINCT datetime FROM bars) t CROSS JOIN (SELECT DISTINCT instrument FROM bars) i LEFT JOIN bars USING (datetime, instrument))"
+    steps, last = checking_sql("grid", terms, ["datetime", "instrument"])
+    out = ", ".join(f"{grid_sql(f"CASE WHEN abs({n}) < CAST('infinity' AS DOUBLE) THEN {n} END", digits)} AS {n}" for n in terms)
+    return f"WITH {bars_sql(kind)},\n{grid},\n{steps}\nSELECT CAST(CAST(datetime AS DATE) AS VARCHAR) AS day, instrument, {out} FROM {last}"
+
+
+def _chunks(names: list[str]) -> list[dict[str, Term]]:
+    terms = {n: f.clip_rank(factors.FACTORS[n]) if n in factors.CLIP_RANKED else factors.FACTORS[n] for n in names}
+    return [dict(list(terms.items())[k : k + CHUNK]) for k in range(0, len(terms), CHUNK)]
+
+
+_c, _v = f.close, f.volume
+#: Name to bars, terms and digits.
+PANELS: dict[str, tuple[str, dict[str, Term], int]] = {
+    "ts_returns": ("week", {"ret_1": f.ts_returns(_c, 1), "ret_5": f.ts_returns(_c, 5), "ret_20": f.ts_returns(_c, 20), "returns": f.returns}, 6),
+    "ts_delay_delta": ("week", {"lag_1": f.delay(_c, 1), "lag_3": f.delay(_c, 3.9), "delta_1": f.delta(_c, 1), "delta_7": f.delta(_c, 7)}, 6),
+    "ts_moments": ("week", {"mean_5": f.ts_mean(_c, 5), "std_10": f.ts_std(_c, 10), "max_20": f.ts_max(_c, 20), "min_20": f.ts_min(_c, 20), "sum_8": f.ts_sum(_c, 8)}, 4),
+    "ts_product": ("week", {"product_3": f.ts_product(_c / 1000, 3), "product_14": f.ts_product(1 + f.returns, 14.9)}, 6),
+    "ts_cov_corr": ("week", {"cov_10": f.ts_cov(_c / 1000, f.high / 1000, 10), "corr_6": f.ts_corr(_c, f.log(_v), 6), "corr_30": f.ts_corr(f.open_, _v, 30)}, 6),
+    "ts_rank": ("week", {"rank_5": f.ts_rank(_c, 5), "rank_32": f.ts_rank(_v, 32)}, 6),
+    "ts_arg": ("week", {"argmax_10": f.ts_argmax(_c, 10), "argmin_30": f.ts_argmin(_c, 30)}, 6),
+    "ts_decay": ("week", {"decay_2": f.decay_linear(_c, 2), "decay_10": f.decay_linear(_c, 10)}, 4),
+    "vwap_runmax": ("month", {"vwap": f.vwap, "high_so_far": f.high_so_far, "low_so_far": f.low_so_far, "open0": f.open0}, 4),
+    "adv_windows": ("week", {f"adv{n}": f.adv(n) for n in (5, 10, 15, 20, 30, 40, 50, 60, 81, 120, 150, 180)}, 4),
+    "cs_rank": ("month", {"rank_close": f.rank(_c), "rank_vol": f.rank(_v), "rank_of_rank": f.rank(f.rank(_v))}, 6),
+    "cs_scale": ("month", {"scaled": f.scale(_c - f.open_), "scaled_2": f.scale(_v, 2)}, 6),
+    "cs_neutralize": ("month", {"neutral": f.neutralize(_c, f.sign(_v - 500))}, 4),
+    "cs_clip_rank": ("month", {"clipped": f.clip_rank(_c), "clipped_5": f.clip_rank(_v, 0.05, 0.95)}, 6),
+    "elementwise_pack": ("week", {
+        "log_vol": f.log(_v), "sign_d": f.sign(_c - f.open_), "abs_d": f.abs_(_c - f.open_), "sin_c": f.sin(_c / 1000), "sqrt_v": f.sqrt(_v), "pow_2": f.pow_(_c / 1000, 2), "ssqrt": f.signed_sqrt(_c - f.open_),
+        "spow": f.signed_power((_c - f.open_) / 1000, 2), "sdiv": f.safe_div(_c, _c - f.open_), "least_": f.min_(f.open_, _c), "most_": f.max_(f.open_, _c), "pick": f.where((_c > f.open_) | (_v < 100), 1, f.where((_c < f.open_) & (_v > 10), -1, 0)),
+        "divide": (_c - f.low) / (f.high - f.low), "same": _c.equals(f.open_), "other": _c.differs(f.high), "upto": _c <= f.open_, "from_": _c >= f.open_,
+    }, 6),
+    "factors_default": ("week", {n: factors.FACTORS[n] for n in factors.DEFAULT}, 5),
+    "factors_fund": ("week", {n: factors.FACTORS[n] for n in factors.FUND}, 4),
+    **{f"factors_alpha_{chr(97 + k)}": ("week", chunk, 4) for k, chunk in enumerate(_chunks(factors.ALPHA))},
+    "factors_library_only": ("week", {n: factors.FACTORS[n] for n in factors.LIBRARY_ONLY}, 4),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: panel_query(*p) for n, p in PANELS.items()} | evaluation.QUERIES
+ORACLE_SQL: dict[str, str] = {n: panel_sql(*p) for n, p in PANELS.items()} | evaluation.ORACLES
