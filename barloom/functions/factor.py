@@ -4,7 +4,8 @@ A factor is an ordinary Python expression over bar fields and the functions belo
 function makes a :class:`Term`, which only says what to compute; ``plans.panel`` turns
 terms into projections and windows over a panel.
 
-Missing values are NULL.  Infinities may arise between infix operations; every named
+Missing values are NULL.  Ranks and positions compare values to nine decimals, so that rounding
+noise does not split ties.  Infinities may arise between infix operations; every named
 function first turns them into NULL.
 """
 
@@ -88,9 +89,10 @@ def ts_min(x, n): return _ts("min", n, x)
 def ts_sum(x, n): return _ts("sum", n, x)
 def _bars(x, n): return _ts("bars", n, x)
 def ts_product(x, n): return Term("el", "bars_product", (_bars(x, n),))
-def ts_rank(x, n): return Term("el", "bars_rank", (_bars(x, n), clean(x)), (int(n),))
-def ts_argmax(x, n): return Term("el", "bars_argmax", (_bars(x, n),))
-def ts_argmin(x, n): return Term("el", "bars_argmin", (_bars(x, n),))
+def _steady(x): return Term("el", "steady", (clean(x),))
+def ts_rank(x, n): return Term("el", "bars_rank", (_bars(_steady(x), n), _steady(x)), (int(n),))
+def ts_argmax(x, n): return Term("el", "bars_argmax", (_bars(_steady(x), n),))
+def ts_argmin(x, n): return Term("el", "bars_argmin", (_bars(_steady(x), n),))
 def decay_linear(x, n): return Term("el", "bars_decay", (_bars(x, n),), (int(n),))
 def ts_cov(x, y, n): return _ts("covar_pop", n, *_both(x, y))
 def ts_corr(x, y, n):
@@ -101,7 +103,7 @@ def running(op, x): return Term("ts", f"running_{op}", (clean(x),))
 
 
 # Over the instruments of one time.
-def rank(x): return Term("cs", "rank", (Term("el", "steady", (clean(x),)),))
+def rank(x): return Term("cs", "rank", (_steady(x),))
 def scale(x, a=1): return Term("cs", "scale", (clean(x),), (float(a),))
 def neutralize(x, g): return Term("cs", "neutralize", (clean(x), g))
 def clip_rank(x, lower=0.01, upper=0.99):
