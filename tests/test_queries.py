@@ -1,7 +1,7 @@
 """Every panel query against its SQL, on whole tables."""
 
 import pytest
-from conftest import SF, oracle_rows, rows_of
+from helpers import SF, oracle_rows, rows_of
 
 from barloom.plans import registry
 
