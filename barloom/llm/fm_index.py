@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from barloom.llm.words import mix, span_hashes
+
 
 class BitVector:
     """Packed bits with a running count per 64-bit word."""
@@ -37,6 +39,7 @@ class FMIndex:
             rank = np.empty(n, dtype=np.int64)
             rank[order] = np.cumsum(new) - 1
             span *= 2
+        self.text = text
         self.suffix = order
         last = text[order - 1]
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
@@ -56,18 +59,39 @@ class FMIndex:
             at = np.where(one, bits.zeros + at_ones, at - at_ones)
         return at - low
 
-    def search(self, symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _seed_table(self, symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffix interval of each run of ``size`` symbols, by a hash of the run."""
+        key = run_hashes(symbols, size)[self.suffix]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        tail = np.append(head[1:], len(key))
+        order = np.argsort(key[head])
+        return key[head][order], head[order], tail[order]
+
+    def search(self, symbols: np.ndarray, ends: np.ndarray, most: int, seed: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search from each end: (length matched, first suffix, suffix after the last).
 
         The length is the matching statistic, up to ``most``; a separator ends a match.
+        Where the last ``seed`` symbols stand in the index, their interval is looked up and
+        the search goes on from there; elsewhere it starts with the last symbol.
         """
         low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), len(self.suffix), dtype=np.int64)
         length = np.zeros(len(ends), dtype=np.int64)
-        live = np.arange(len(ends))
+        if seed <= most and len(symbols) >= seed:
+            known, head, tail = self._seed_table(self.text, seed)
+            start = ends - seed
+            breaks = np.concatenate([[0], np.cumsum(symbols == 0)])
+            plain = np.flatnonzero((start >= 0) & (breaks[ends] == breaks[np.maximum(start, 0)]))
+            keys = run_hashes(symbols, seed)[start[plain]]
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            plain, at = plain[hit], at[hit]
+            low[plain], high[plain], length[plain] = head[at], tail[at], seed
         for k in range(1, most + 1):
-            live = live[ends[live] >= k]
+            live = np.flatnonzero((length == k - 1) & (ends >= k))
             live = live[symbols[ends[live] - k] > 0]
             symbol = symbols[ends[live] - k]
+            known_symbol = symbol < len(self.less) - 1
+            live, symbol = live[known_symbol], symbol[known_symbol]
             lo = self.less[symbol] + self._occurrences(symbol, low[live])
             hi = self.less[symbol] + self._occurrences(symbol, high[live])
             found = lo < hi
@@ -75,3 +99,9 @@ class FMIndex:
             low[live], high[live] = lo[found], hi[found]
             length[live] = k
         return length, low, high
+
+
+def run_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` symbols from each position on; behind the end zeros follow."""
+    padded = np.concatenate([symbols, np.zeros(size, dtype=symbols.dtype)]).astype(np.uint64)
+    return span_hashes(mix(padded), np.arange(len(symbols)), np.arange(len(symbols)) + size)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import bitmap_of, in_bitmap, saved, table
 from barloom.llm.fm_index import FMIndex
-from barloom.llm.words import NON_SPACE, U64, ragged_ranges, row_slices, signed, span_hashes, split_words, window_hashes
+from barloom.llm.words import NON_SPACE, U64, mix, ragged_ranges, row_slices, signed, span_hashes, split_words, window_hashes
 
 SHARD_PASSAGES = 20_000
 
@@ -121,31 +121,23 @@ def _passages(window: int, gram: int):
                 doc = np.searchsorted(words.first, at[heads], side="right") - 1
                 lists = wanted.slice(a, rows)
                 sizes = np.diff(lists.offsets.to_numpy())
-                shared = np.unique(np.stack([np.repeat(np.arange(rows), sizes), lists.flatten().to_numpy()], axis=1), axis=0)
-                mine = np.stack([doc, signed(fp[heads])], axis=1)
-                keep = _rows_in(mine, shared)
+                keep = np.isin(_pair_key(doc, fp[heads]), _pair_key(np.repeat(np.arange(rows), sizes), lists.flatten().to_numpy().view(U64)))
                 heads, tails, doc = heads[keep], tails[keep], doc[keep]
                 lo, hi = window_at[heads], window_at[tails] + window
                 text = words.data.tobytes()
-                said = [b" ".join(text[words.start[i] : words.end[i]] for i in range(x, y)).decode("utf-8", "surrogateescape") for x, y in zip(lo, hi)]
+                said = [text[s:e] for s, e in zip(words.start[lo].tolist(), words.end[hi - 1].tolist())]
                 p1, p2 = (signed(span_hashes(words.hash ^ U64(salt), lo, hi)) for salt in (0, 0x2545F4914F6CDD1D))
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(fp[heads])), pa.array(p1), pa.array(p2), pa.array(said), part.column("id").take(take), part.column("k1").take(take), pa.array((lo - words.first[doc]).astype(np.int64))],
+                    [pa.array(signed(fp[heads])), pa.array(p1), pa.array(p2), pa.array(said, pa.binary()), part.column("id").take(take), part.column("k1").take(take), pa.array((lo - words.first[doc]).astype(np.int64))],
                     names=["fp", "p1", "p2", "words", "id", "k1", "at"],
                 )
 
     return run
 
 
-def _rows_in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows (two longs) of ``a`` are rows of ``b``."""
-    if not len(a) or not len(b):
-        return np.zeros(len(a), dtype=bool)
-    _, code = np.unique(np.concatenate([a, b]), axis=0, return_inverse=True)
-    known = np.zeros(code.max() + 1, dtype=bool)
-    known[code[len(a) :]] = True
-    return known[code[: len(a)]]
+def _pair_key(doc: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return mix(fp + mix(doc.astype(U64)))
 
 
 def _owners(window: int):
@@ -198,18 +190,29 @@ def _cut(window: int):
                             np.add.at(removed, at, 1)
                             np.add.at(removed, at + window, -1)
                 gone = np.cumsum(removed)[:-1] > 0
-                text = words.data.tobytes()
-                kept = []
-                for i in range(rows):
-                    at = np.arange(words.first[i], words.first[i + 1])
-                    at = at[~gone[at]]
-                    kept.append(b" ".join(text[s:e] for s, e in zip(words.start[at].tolist(), words.end[at].tolist())).decode("utf-8", "surrogatepass"))
+                kept = _joined(words, ~gone)
                 count = np.concatenate([[0], np.cumsum(gone)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.array(count[words.first[1:]] - count[words.first[:-1]]), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.array(count[words.first[1:]] - count[words.first[:-1]]), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
+def _joined(words, kept: np.ndarray) -> pa.Array:
+    """The kept words of each document, with one space between them."""
+    at = np.flatnonzero(kept)
+    doc = np.searchsorted(words.first, at, side="right") - 1
+    inside = np.zeros(len(words.data) + 1, dtype=np.int8)
+    inside[words.start[at]] += 1
+    inside[words.end[at]] -= 1
+    mask = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    follows = at[:-1][doc[1:] == doc[:-1]]  # words behind which another kept one of the document stands
+    data = words.data.copy()
+    data[words.end[follows]] = 0x20
+    mask[words.end[follows]] = True
+    offsets = np.concatenate([[0], np.cumsum(mask)])[words.text_at]
+    return pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[mask])])
+
+
 def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (words joined by a space).
 
@@ -235,10 +238,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: s
 
     packed = docs.mapInArrow(_packed, "id long, k1 long, k2 long, n long, body binary")
     passages = packed.join(lists, "id").join(copies, ["id", "k1"], "left_anti").select("id", "k1", "body", "fps")
-    passages = saved(passages.mapInArrow(_passages(window, gram), "fp long, p1 long, p2 long, words string, id long, k1 long, at long"))
+    passages = saved(passages.mapInArrow(_passages(window, gram), "fp long, p1 long, p2 long, words binary, id long, k1 long, at long"))
 
-    distinct = saved(passages.groupBy("fp", "p1", "p2").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("words").alias("words")))
-    shards = max(1, -(-distinct.count() // SHARD_PASSAGES))
+    distinct = passages.groupBy("fp", "p1", "p2").agg(F.min("id").alias("id"), F.first("words").alias("words"))
+    shards = max(1, -(-passages.count() // SHARD_PASSAGES))
     owners = distinct.repartition(shards, "fp").mapInArrow(_owners(window), "p1 long, p2 long, owners array<long>")
     finds = (
         passages.select("p1", "p2", "id", "k1", "at").distinct().join(owners, ["p1", "p2"]).where(F.array_min("owners") < F.col("id"))
