@@ -179,14 +179,14 @@ def _cut(window: int):
             for a, rows, words in _unpacked(batch):
                 part = batch.slice(a, rows)
                 removed = np.zeros(len(words.hash) + 1, dtype=np.int64)
-                for i, (copied, finds, own) in enumerate(zip(part.column("copied").to_pylist(), part.column("finds").to_pylist(), part.column("id").to_pylist())):
+                for i, (copied, finds) in enumerate(zip(part.column("copied").to_pylist(), part.column("finds").to_pylist())):
                     first, last = words.first[i], words.first[i + 1]
                     if copied and last - first >= window:
                         removed[first] += 1
                         removed[last] -= 1
-                    elif finds and own is not None:
+                    elif finds:
                         for x in finds:
-                            at = first + x["at"] + np.flatnonzero(np.array(x["owners"]) < own)
+                            at = first + x["at"] + np.array(x["windows"])
                             np.add.at(removed, at, 1)
                             np.add.at(removed, at + window, -1)
                 gone = np.cumsum(removed)[:-1] > 0
@@ -240,13 +240,12 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: s
     passages = packed.join(lists, "id").join(copies, ["id", "k1"], "left_anti").select("id", "k1", "body", "fps")
     passages = saved(passages.mapInArrow(_passages(window, gram), "fp long, p1 long, p2 long, words binary, id long, k1 long, at long"))
 
-    distinct = passages.groupBy("fp", "p1", "p2").agg(F.min("id").alias("id"), F.first("words").alias("words"))
-    shards = max(1, -(-passages.count() // SHARD_PASSAGES))
+    distinct = saved(passages.groupBy("fp", "p1", "p2").agg(F.min("id").alias("id"), F.first("words").alias("words")))
+    shards = max(1, -(-distinct.count() // SHARD_PASSAGES))
     owners = distinct.repartition(shards, "fp").mapInArrow(_owners(window), "p1 long, p2 long, owners array<long>")
-    finds = (
-        passages.select("p1", "p2", "id", "k1", "at").distinct().join(owners, ["p1", "p2"]).where(F.array_min("owners") < F.col("id"))
-        .groupBy("id", "k1").agg(F.collect_list(F.struct("at", "owners")).alias("finds"))
-    )
+    owned = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), i)), lambda i: i.isNotNull())
+    finds = passages.select("p1", "p2", "id", "k1", "at").distinct().join(owners, ["p1", "p2"]).where(F.array_min("owners") < F.col("id"))
+    finds = saved(finds.select("id", "k1", F.struct("at", owned.alias("windows")).alias("find")).groupBy("id", "k1").agg(F.collect_list("find").alias("finds")))
     marks = finds.withColumn("copied", F.lit(False)).unionByName(copies.select("id", "k1", F.lit(None).cast(finds.schema["finds"].dataType).alias("finds"), F.lit(True).alias("copied")))
     return packed.join(marks, ["id", "k1"], "left").select("id", "n", "body", "copied", "finds").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
