@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow as pa
 from barloom.llm.words import NON_SPACE, U64, Words, ragged_ranges, span_hashes, split_words
 
 #: Chunks that a Python worker keeps; it starts anew beyond them.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -39,7 +40,8 @@ class ChunkTokenizer:
     def _forget(self):
         self.known: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
-        self.at = [0]
+        self.at = np.zeros(1 << 14, dtype=np.int64)  # slot k has ids[at[k] : at[k + 1]]
+        self.slots = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the offsets of the texts in them."""
@@ -57,24 +59,29 @@ class ChunkTokenizer:
         if len(new):
             data = words.data.tobytes()
             said = [data[s:e].decode("utf-8", "replace") for s, e in zip(start[where[new]].tolist(), end[where[new]].tolist())]
-            for k, got in zip(new.tolist(), self.tokenizer.encode_batch_fast(said, add_special_tokens=False)):
-                slots[k] = self.known[int(uniq[k])] = self._keep(got.ids)
-        at = np.array(self.at, dtype=np.int64)
+            slots[new] = self._keep([x.ids for x in self.tokenizer.encode_batch_fast(said, add_special_tokens=False)])
+            self.known.update(zip(uniq[new].tolist(), slots[new].tolist()))
         slot = slots[inverse]
-        begin, count = at[slot], at[slot + 1] - at[slot]
+        begin, count = self.at[slot], self.at[slot + 1] - self.at[slot]
         ids = self.ids[ragged_ranges(begin, count)]
         ends = np.concatenate([[0], np.cumsum(count)])[first]
         if odd.any():
             ids, ends = self._whole(texts, odd, ids, ends)
         return ids, ends
 
-    def _keep(self, ids: list[int]) -> int:
-        end = self.at[-1] + len(ids)
-        while end > len(self.ids):
+    def _keep(self, found: list[list[int]]) -> np.ndarray:
+        """Stores the ids of new chunks; returns their slots."""
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        first, used = self.slots, int(self.at[self.slots])
+        total = used + int(counts.sum())
+        while total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.at[-1] : end] = ids
-        self.at.append(end)
-        return len(self.at) - 2
+        while first + len(found) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[used:total] = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=total - used)
+        self.at[first + 1 : first + len(found) + 1] = used + np.cumsum(counts)
+        self.slots += len(found)
+        return np.arange(first, self.slots)
 
     def _whole(self, texts, odd, ids, ends):
         parts = [ids[ends[k] : ends[k + 1]] for k in range(len(odd))]
