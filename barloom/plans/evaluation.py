@@ -415,3 +415,18 @@ def pooled_rank_ic(spark, sf):
     ranked = metrics.global_rank(metrics.global_rank(rows, "op", "pr"), "oy", "yr")
     out = ranked.groupBy("model_name").agg((F.covar_pop("pr", "yr") / F.nullif(F.stddev_pop("pr") * F.stddev_pop("yr"), F.lit(0.0))).alias("rank_ic"), F.count(F.lit(1)).alias("n"))
     return _grids(out, ["model_name", "n"], ["rank_ic"])
+
+
+_HORIZONS = (1, 2, 3, 6)
+
+
+@_query("horizon_compare", f"WITH {bars_sql('month')}, l AS (SELECT instrument, datetime, -(close / nullif(lag(close) OVER (PARTITION BY instrument ORDER BY datetime), 0) - 1) AS pred, {', '.join(f'lead(close, {h}) OVER (PARTITION BY date, instrument ORDER BY datetime) / nullif(close, 0) - 1 AS y{h}' for h in _HORIZONS)} FROM bars), u AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, pred, y{h} AS label FROM l' for h in _HORIZONS)}), ok AS (SELECT *, pred - label AS e FROM u WHERE pred IS NOT NULL AND label IS NOT NULL), m AS (SELECT horizon, {_METRICS_SQL} FROM ok GROUP BY 1) SELECT horizon, n, {_grids_sql(_METRICS)}, ic = max(ic) OVER () AS best FROM m")
+def horizon_compare(spark, sf):
+    """One signal against several horizons in one job; the best by IC is marked."""
+    w, ahead = Window.partitionBy("instrument").orderBy("datetime"), Window.partitionBy("date", "instrument").orderBy("datetime")
+    bars = src.monthly_bars(spark, sf)
+    labels = F.array(*[F.struct(F.lit(h).alias("horizon"), (F.lead("close", h).over(ahead) / F.nullif(F.col("close"), F.lit(0.0)) - 1).alias("label")) for h in _HORIZONS])
+    rows = bars.select(labels.alias("ls"), (-(F.col("close") / F.nullif(F.lag("close").over(w), F.lit(0.0)) - 1)).alias("pred")).select("pred", F.explode("ls").alias("l")).select("pred", "l.*")
+    out = metrics.finalised(metrics.sufficient(rows, ["horizon"]))
+    best = out.agg(F.max("ic").alias("top")).withColumn("one", F.lit(1))
+    return _grids(out.withColumn("one", F.lit(1)).join(F.broadcast(best), "one").withColumn("best", F.col("ic") == F.col("top")), ["horizon", "n", "best"], _METRICS)  # one row

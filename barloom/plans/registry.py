@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import factor as f
 from barloom.functions.factor import Term
-from barloom.plans import evaluation, factors
+from barloom.plans import evaluation, factors, models
 from barloom.plans.evaluation import grid
 from barloom.plans.panel import checking_sql, compute, densify
 from barloom.plans.sql import bars_sql, grid_sql
@@ -75,5 +75,5 @@ PANELS: dict[str, tuple[str, dict[str, Term], int]] = {
     "factors_library_only": ("week", {n: factors.FACTORS[n] for n in factors.LIBRARY_ONLY}, 4),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: panel_query(*p) for n, p in PANELS.items()} | evaluation.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: panel_query(*p) for n, p in PANELS.items()} | evaluation.QUERIES | models.QUERIES
 ORACLE_SQL: dict[str, str] = {n: panel_sql(*p) for n, p in PANELS.items()} | evaluation.ORACLES
