@@ -87,18 +87,20 @@ def _vectors(features: np.ndarray):
     return run
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by accelerated gradient steps; the last weight is the intercept."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    w = ahead = np.zeros(x.shape[1], dtype=np.float64)
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted ridge logistic regression by accelerated gradient steps; the last weight is the intercept."""
+    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float32)
+    w = ahead = np.zeros(x.shape[1], dtype=np.float32)
     if not len(y) or y.min() == y.max():
         w[-1] = 0 if not len(y) else (6 if y[0] else -6)
         return w
-    rate = 4 / max(1e-9, float(np.mean((x**2).sum(axis=1))) + RIDGE)
+    weight = (weight / weight.sum()).astype(np.float32)
+    y = y.astype(np.float32)
+    rate = np.float32(4 / max(1e-9, float(weight @ (x * x).sum(axis=1)) + RIDGE))
     for k in range(STEPS):
-        grad = x.T @ (_sigmoid(x @ ahead) - y) / len(y) + RIDGE * ahead
+        grad = x.T @ ((_sigmoid(x @ ahead) - y) * weight) + np.float32(RIDGE) * ahead
         new = ahead - rate * grad
-        ahead = new + k / (k + 3) * (new - w)
+        ahead = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
@@ -124,31 +126,38 @@ class Chain:
             p = apply_linear(w, x)
             out.append(p)
             x = np.concatenate([x, p[:, None].astype(np.float32)], axis=1)
-        return np.stack(out, axis=1)
+        return np.stack(out, axis=1).astype(np.float64)
 
 
 def fit_chain(features: np.ndarray, names: list[str], x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
-    """Models in order; inputs of a later one are out-of-fold probabilities of the earlier."""
-    weights, unseen = [], None
+    """Models in order; inputs of a later one are out-of-fold probabilities of the earlier.
+
+    Rows that are alike in features, labels and fold are one row with a weight: most
+    documents have no feature at all.
+    """
+    alike = np.concatenate([x, labels.astype(np.float32), fold[:, None].astype(np.float32)], axis=1)
+    _, first, weight = np.unique(alike, axis=0, return_index=True, return_counts=True) if len(x) else (None, np.zeros(0, np.int64), np.zeros(0))
+    x, labels, fold, weight = x[first], labels[first], fold[first], weight.astype(np.float64)
+    weights, unseen = [], np.zeros(len(x))
     for k in range(len(names)):
         y = labels[:, k]
         unseen = np.zeros(len(y))
         for f in range(FOLDS):
             inner = fold != f
             if inner.any() and not inner.all():
-                unseen[~inner] = apply_linear(fit_linear(x[inner], y[inner]), x[~inner])
-        weights.append(fit_linear(x, y))
+                unseen[~inner] = apply_linear(fit_linear(x[inner], y[inner], weight[inner]), x[~inner])
+        weights.append(fit_linear(x, y, weight))
         x = np.concatenate([x, unseen[:, None].astype(np.float32)], axis=1)
-    return Chain(features, names, weights, best_threshold(unseen, labels[:, -1]) if len(labels) else 0.5)
+    return Chain(features, names, weights, best_threshold(unseen, labels[:, -1], weight) if len(labels) else 0.5)
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The cut with the best F1 on out-of-fold probabilities, in the middle of its gap."""
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
+    hits = np.cumsum((y * weight)[order])
     if not len(y) or not hits[-1]:
         return 0.5
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + hits[-1])
+    f1 = 2 * hits / (np.cumsum(weight[order]) + hits[-1])
     last = np.append(p[order][1:] < p[order][:-1], True)
     k = int(np.argmax(np.where(last, f1, -1)))
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0)) / 2)
