@@ -206,19 +206,20 @@ def _score(chain):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, label: str = "toxic") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, label: str = "toxic", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, p_<category> in chain order, toxic.
 
     toxic is whether the last probability reaches the threshold that had the best F1 on
     out-of-fold predictions.  Null and empty texts have no features: they get the
     intercepts' probabilities.  Rows that repeat score alike.  Null labels and ids are not
     learned from; without labels of both kinds all documents get the more frequent
-    answer.  Other columns are ignored, whatever their names.
+    answer.  Labels are found by doc_id; the doc_id of the result is the column ``key``.
+    Other columns are ignored, whatever their names.
     """
     chain = train_chain(docs, labels, categories, label)
     model = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES hashes and weights
     schema = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), schema)
+    scored = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), schema)
     return scored.withColumn("toxic", F.col(f"p_{chain.names[-1]}") >= chain.threshold)
 
 
