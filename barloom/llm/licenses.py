@@ -4,13 +4,20 @@ A text, and each of its lines, is brought to a canonical form: lower case, copyr
 lines gone, punctuation to single spaces, equivalent spellings unified.  Its SHA-256 is
 joined to the digests of known licence texts and notices, made by the same expressions.
 
-Spellings are unified last, and only where the length allows a match: no replacement
-more than doubles or halves a word, so anything longer than twice the longest known
-text cannot be one.
+Known texts are there with and without heading, list numbers and appendix.  A copyright
+line has a year, a sign or a holder after the word; what the licence itself says about
+"copyright notice" or "copyright holders" at the start of a wrapped line is text.
+
+Spellings are unified last, and only where the length and the first characters allow a
+match: no replacement more than doubles or halves a word, so anything longer than twice
+the longest known text cannot be one.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +77,38 @@ SPELLINGS = [
     ("authorised", "authorized"), ("favour", "favor"), ("fulfil", "fulfill"), ("centre", "center"), ("merchantibility", "merchantability"), ("analogue", "analog"), ("labour", "labor"),
 ]
 
-_COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\p{L}\n][^\n]*"
+#: Longer texts, as files, by licence.
+LONG_TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Headings that published files of the short texts have.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "(MIT License)", "(The MIT License)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "BSD Zero-Clause License (0BSD)", "Zero-Clause BSD License", "Zero-Clause BSD (0BSD)", "0BSD"],
+    "BSD-2-Clause": [f"{the}{name}" for the in ("", "The ") for name in ("BSD 2-Clause License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License")],
+    "BSD-3-Clause": [f"{the}{name}" for the in ("", "The ") for name in ("BSD 3-Clause License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License")],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+#: Other wordings that are in use: (licence, published, other).
+WORDINGS = [
+    ("MIT", "this permission notice shall", "this permission notice (including the next paragraph) shall"), ("ISC", "and/or distribute", "and distribute"), ("0BSD", "and/or distribute", "and distribute"),
+    ("BSD-2-Clause", "SHALL THE COPYRIGHT HOLDER OR", "SHALL THE COPYRIGHT OWNER OR"), ("BSD-3-Clause", "SHALL THE COPYRIGHT HOLDER OR", "SHALL THE COPYRIGHT OWNER OR"),
+]
+#: What ends the terms; an appendix that says how to apply them may be missing.
+_ENDS = "END OF TERMS AND CONDITIONS"
+#: Characters of a canonical text by which all others are ruled out first.
+_PREFIX = 12
+
+# After the word or sign: words of the licence itself, or else a sign, a year or a holder.
+_OWN_WORDS = r"(?![^\p{L}\p{N}\n]*(?:notices?|holders?|owners?|owned|and|or|licen[cs]es?|laws?|in|of|to|is|are|statements?|interests?|rights?|disclaimers?|permissions?|protections?|treaty|treaties|doctrines?|infringements?|terms?|material|works?|conditions?|applies)\b)"
+_COPYRIGHT = rf"(^|\n)[^\p{{L}}\p{{N}}\n]*(?:copyright(?=[^\p{{L}}\n]){_OWN_WORDS}[^\n]*[\p{{L}}\p{{N}}]|©|\(c\)(?=[^\p{{L}}\n]*(?:copyright|[12][0-9]{{3}}\b)))[^\n]*"
+#: The same with up to two more lines of holders, if an empty line follows.
+_COPYRIGHT_BLOCK = rf"{_COPYRIGHT}(?:\n[^\n]*[^\s][^\n]*){{1,2}}(?=\n[^\S\n]*(?:\n|$))"
 _PUNCT = r"[^\p{L}\p{N}\n]+"
 
 
-def without_marks(text: Column) -> Column:
+def without_marks(text: Column, copyright: str = _COPYRIGHT) -> Column:
     """Lower case, copyright lines emptied, punctuation as single spaces; line breaks stay."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "$1")
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), copyright, "$1")
     return F.regexp_replace(bare, _PUNCT, " ")
 
 
@@ -92,15 +124,36 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
 
+def whole_text(bare: Column) -> Column:
+    """The document on one line, without lines that only reserve all rights."""
+    return one_line(F.regexp_replace(bare, r"(^|\n) *all rights reserved *(?=\n|$)", "$1"))
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of every form that counts as the whole text."""
+    out = []
+    for name, body in TEXTS.items():
+        bodies = [body] + [body.replace(a, b) for k, a, b in WORDINGS if k == name]
+        plain = [re.sub(r"(?m)^[123]\. ", "", b) for b in bodies]
+        lettered = [re.sub(r"(?m)^([123])\. ", lambda m: "abc"[int(m[1]) - 1] + ". ", b) for b in bodies]
+        out += [(name, f"{head}\n{b}") for b in dict.fromkeys(bodies + plain + lettered) for head in ["", *HEADINGS[name]]]
+    for name, body in LONG_TEXTS.items():
+        end = body.find(_ENDS) + len(_ENDS)
+        out += [(name, body)] + ([(name, body[:end]), (name, body[: end - len(_ENDS)])] if end >= len(_ENDS) else [])
+    return out
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """kind ('text' or 'notice'), license, digest, length; a few hundred rows, fixed here."""
-    rows = [("text", k, v) for k, v in TEXTS.items()]
+    """kind ('text' or 'notice'), license, digest, length, prefix; a few hundred rows, fixed here."""
+    rows = [("text", k, v) for k, v in known_texts()]
     articles = lambda name: [name] if name.startswith("CC") else [name, f"the {name}"]
     rows += [("notice", k, lead.format(x)) for k, names in NAMES.items() for name in names for x in articles(name) for lead in LEADS]
     rows += [("notice", k, f"SPDX-License-Identifier: {k}") for k in NAMES]
     known = spark.createDataFrame(rows, "kind string, license string, body string")
-    line = respelled(one_line(without_marks(F.col("body"))))
-    return known.select("kind", "license", F.sha2(line, 256).alias("digest"), F.length(line).alias("length")).dropDuplicates(["kind", "digest"])
+    bare = without_marks(F.col("body"))
+    line = respelled(F.when(F.col("kind") == "text", whole_text(bare)).otherwise(one_line(bare)))
+    known = known.select("kind", "license", F.sha2(line, 256).alias("digest"), F.length(line).alias("length"), F.substring(line, 1, _PREFIX).alias("prefix"))
+    return saved(known.dropDuplicates(["kind", "digest"]))
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,23 +163,31 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     n_notice_lines counts the lines that are a known notice, notices has their licences,
     sorted and comma-joined, or is empty.
 
-    Null and empty texts match nothing.  Rows that repeat are scanned each.  Copyright
-    lines and punctuation do not matter; a text with any other word more or less is not
+    Null and empty texts match nothing.  Rows that repeat are scanned each.  Headings,
+    wrapping, list numbers, copyright lines and punctuation do not matter; a text with any other word more or less is not
     that licence.  Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     known = known_digests(spark)
-    longest = {r["kind"]: 2 * r["most"] + 64 for r in known.groupBy("kind").agg(F.max("length").alias("most")).collect()}
-    bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), without_marks(F.col(text).cast("string")).alias("bare"))
-    lines = F.filter(F.transform(F.split("bare", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= longest["notice"]))
+    limits = {r["kind"]: r for r in known.groupBy("kind").agg((2 * F.max("length") + 64).alias("longest"), F.min("length").alias("shortest"), F.collect_set("prefix").alias("prefixes")).collect()}  # two rows
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # Two readings: with the copyright lines gone, and with the lines of holders below them gone too.
+    block = F.when(F.lower("text").rlike("copyright|©"), whole_text(without_marks(F.col("text"), _COPYRIGHT_BLOCK)))
+    bare = named.select("doc_id", without_marks(F.col("text")).alias("bare"), block.alias("block"))
+    lines = F.filter(F.transform(F.split("bare", "\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & (F.length(x) <= limits["notice"]["longest"]))
     lines = F.filter(lines, lambda x: x.contains("licen") | x.contains("under"))  # every known notice has one of them
-    whole = one_line(F.regexp_replace("bare", r"(^|\n) *all rights reserved *(?=\n|$)", "$1"))
-    rows = saved(bare.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.length(whole) <= longest["text"], whole).alias("whole"), lines.alias("lines")))
+    digest = lambda x: F.when(
+        F.length(x).between(limits["text"]["shortest"] // 2, limits["text"]["longest"]) & F.substring(respelled(F.substring(x, 1, 4 * _PREFIX)), 1, _PREFIX).isin(limits["text"]["prefixes"]),
+        F.sha2(respelled(x), 256),
+    )
+    bare = bare.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text(F.col("bare")).alias("whole"), "block", lines.alias("lines"))
+    rows = saved(bare.select("row", "doc_id", F.array_compact(F.array_distinct(F.array(digest(F.col("whole")), digest(F.col("block"))))).alias("digests"), "lines"))
     texts, notices = (F.broadcast(known.where(F.col("kind") == k).select("license", "digest")) for k in ("text", "notice"))
     found = rows.select("row", F.explode("lines").alias("line")).select("row", F.sha2(respelled("line"), 256).alias("digest")).join(notices, "digest")
     found = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", F.array_sort(F.collect_set("license"))).alias("notices"))
-    hit = rows.select("row", "doc_id", F.sha2(respelled(F.col("whole")), 256).alias("digest")).join(texts, "digest", "left")
-    return hit.join(found, "row", "left").select("doc_id", F.col("license").alias("text_license"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notice_lines"), F.coalesce("notices", F.lit("")).alias("notices"))
+    hit = rows.select("row", F.explode("digests").alias("digest")).join(texts, "digest").groupBy("row").agg(F.min("license").alias("license"))
+    out = rows.select("row", "doc_id").join(hit, "row", "left").join(found, "row", "left")
+    return out.select("doc_id", F.col("license").alias("text_license"), F.coalesce("n", F.lit(0)).cast("long").alias("n_notice_lines"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -347,6 +348,25 @@ def test_licenses(spark, odd_docs, no_docs):
         assert found[i] == len(re.findall(r"(?m)^(?:Licensed under|This work is licensed under|Released under) .*$", t or ""))
 
 
+def test_published_license_files(spark):
+    wrap = lambda t, n=72: "\n\n".join(textwrap.fill(p, n, initial_indent="  ", subsequent_indent="  ") for p in t.split("\n"))
+    isc = licenses.TEXTS["ISC"].replace("the above copyright notice", "the above\ncopyright notice").replace("DAMAGES WHATSOEVER", "DAMAGES\nWHATSOEVER")
+    starred = re.sub(r"(?m)^[123]\. ", "* ", licenses.TEXTS["BSD-3-Clause"])
+    regents = "Copyright (c) 1990, 1993\n\tThe Regents of the University of California.  All rights reserved.\n\n"
+    held = wrap(licenses.TEXTS["BSD-2-Clause"]).replace("THE COPYRIGHT", "THE\nCOPYRIGHT")
+    files = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(licenses.TEXTS["MIT"])), ("MIT", "The MIT License (MIT)\n\nCopyright © Some One and others\n\n" + wrap(licenses.TEXTS["MIT"], 60)),
+        ("ISC", "ISC License\n\nCopyright (c) 2004-2010 by X (\"Y\")\n\n" + isc), ("ISC", "Copyright 2004 X\n" + isc), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2011, The X Authors\nAll rights reserved.\n\n" + wrap(starred)),
+        ("BSD-2-Clause", regents + held), ("0BSD", "Zero-Clause BSD\n" + wrap(licenses.TEXTS["0BSD"])), (None, "MIT License\n\n" + licenses.TEXTS["MIT"].replace("notice shall", "notice shall not")),
+        (None, isc.replace("copyright notice and", "and")), (None, "ISC License\n" + licenses.TEXTS["MIT"]),
+    ]
+    files += [(k, t) for k, t in licenses.LONG_TEXTS.items()] + [("Apache-2.0", licenses.LONG_TEXTS["Apache-2.0"].partition("APPENDIX")[0].upper()), (None, licenses.LONG_TEXTS["GPL-3.0"][:-900])]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {k for k, _ in files}
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(files)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan_licenses(docs).collect()}
+    assert got == {n: k for n, (k, _) in enumerate(files)}
+
+
 # 10 lines
 
 
