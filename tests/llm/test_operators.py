@@ -433,6 +433,42 @@ def test_lines_as_by_brute_force(spark, odd_docs, no_docs):
     assert line_dedup.dedup_lines(odd_docs).count() == odd_docs.count() and line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_recall_of_similar_lines_by_edit_distance_alone(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10)))
+    vocab, docs, kinds = [word() for _ in range(3000)], [], {}
+    for n in (10, 25, 40, 55, 200):
+        for kind in ("word", "typos"):
+            for _ in range(60 if n < 200 else 15):
+                old = [vocab[k] for k in rng.zipf(1.3, n) % 3000]
+                new = list(old)
+                if kind == "word":
+                    new[rng.integers(0, n)] = vocab[rng.integers(0, 3000)]
+                new = list(" ".join(new))
+                for k in rng.choice(len(new), len(new) // 40, replace=False) if kind == "typos" else ():
+                    new[k] = "q" if new[k] != " " else " "
+                a, b = normal(" ".join(old)), normal("".join(new))
+                if a != b and edits(a, b) <= max(len(a), len(b)) // 10:
+                    kinds[2 * len(docs) + 1] = (n, kind)
+                    docs.append((a, b))
+    rows = [(2 * k + j, t) for k, pair in enumerate(docs) for j, t in enumerate(pair)]
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert gone <= set(kinds)
+    found = collections.defaultdict(list)
+    for k, kind in kinds.items():
+        found[kind].append(k in gone)
+    print({k: (sum(v), len(v)) for k, v in found.items()})
+    assert len(found) == 10 and all(np.mean(v) >= 0.85 for v in found.values()) and np.mean(sum(found.values(), [])) >= 0.95
+
+
+def test_one_rule_for_lines_of_any_length(spark):
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}long" for k in range(1500)]
+    turned = words[::-1]  # the same words in another order are no similar line
+    rows = [(1, " ".join(words)), (2, " ".join(turned)), (3, " ".join([*words[:700], "changed", *words[701:]]))]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows[0][1]) > 8192 and got == {1: 0, 2: 0, 3: 1}
+
+
 def test_simhash_of_short_and_long_lines(spark):
     rng = np.random.default_rng(3)
     lines = [[f"w{rng.integers(0, 99)}" for _ in range(n)] for n in (1, 2, 127, 128, 3000)] + [["w1"] * 40_000]
