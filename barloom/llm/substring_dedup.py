@@ -3,6 +3,8 @@
 A repeated run of ``window`` words is found in shards of bounded size instead of one
 index of the corpus.  The minimum gram hash of each window picks the shard, so equal
 windows always meet: the windows with one minimum form a short passage around it.
+A minimum with more than FP_PASSAGES distinct passages would be a shard that grows with
+the corpus; its windows are grouped one by one instead, by 128 bits of their words.
 
 1. Minima of all documents are counted; only those of two documents go on.
 2. Their passages are cut out, equal passages are folded to the smallest doc_id.
@@ -30,6 +32,8 @@ from barloom.llm.fm_index import FMIndex
 from barloom.llm.words import NON_SPACE, U64, mix, ragged_ranges, row_slices, signed, span_hashes, split_words, window_hashes
 
 SHARD_PASSAGES = 20_000
+#: Distinct passages of one minimum that may lie in a shard.
+FP_PASSAGES = 2_000
 
 
 def _keys(words) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +175,30 @@ def _owners(window: int):
     return run
 
 
+def _windows(window: int):
+    """Passages to their windows, each by 128 bits of its words."""
+
+    def run(batches):
+        for batch in batches:
+            words = split_words(batch.column("words"), NON_SPACE)
+            sizes = np.maximum(words.counts - window + 1, 0)
+            lo = ragged_ranges(words.first[:-1], sizes)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            w1, w2 = (signed(span_hashes(words.hash ^ U64(salt), lo, lo + window)) for salt in (0, 0x2545F4914F6CDD1D))
+            part = batch.select(["p1", "p2", "id"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array((lo - words.first[row]).astype(np.int32)), pa.array(w1), pa.array(w2)], names=["p1", "p2", "id", "at", "w1", "w2"])
+
+    return run
+
+
+def _window_owners(distinct: DataFrame, window: int) -> DataFrame:
+    """What :func:`_owners` finds, without shards: a grouped minimum per window, combined before the shuffle."""
+    windows = saved(distinct.select("p1", "p2", "id", "words").mapInArrow(_windows(window), "p1 long, p2 long, id long, at int, w1 long, w2 long"))
+    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("owner"))
+    owned = windows.select("p1", "p2", "at", "w1", "w2").join(least, ["w1", "w2"]).groupBy("p1", "p2").agg(F.sort_array(F.collect_list(F.struct("at", "owner"))).alias("owned"))
+    return owned.select("p1", "p2", F.col("owned.owner").alias("owners"))
+
+
 def _cut(window: int):
     """Documents and their owned windows to what is left of them."""
 
@@ -242,7 +270,12 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: s
 
     distinct = saved(passages.groupBy("fp", "p1", "p2").agg(F.min("id").alias("id"), F.first("words").alias("words")))
     shards = max(1, -(-distinct.count() // SHARD_PASSAGES))
-    owners = distinct.repartition(shards, "fp").mapInArrow(_owners(window), "p1 long, p2 long, owners array<long>")
+    frequent = saved(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FP_PASSAGES).select("fp"))
+    some = not frequent.isEmpty()
+    bounded = distinct.join(frequent, "fp", "left_anti") if some else distinct
+    owners = bounded.repartition(shards, "fp").mapInArrow(_owners(window), "p1 long, p2 long, owners array<long>")
+    if some:
+        owners = owners.union(_window_owners(distinct.join(frequent, "fp", "left_semi"), window))
     owned = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), i)), lambda i: i.isNotNull())
     finds = passages.select("p1", "p2", "id", "k1", "at").distinct().join(owners, ["p1", "p2"]).where(F.array_min("owners") < F.col("id"))
     finds = saved(finds.select("id", "k1", F.struct("at", owned.alias("windows")).alias("find")).groupBy("id", "k1").agg(F.collect_list("find").alias("finds")))

@@ -19,6 +19,7 @@ from barloom.llm import decontaminate, licenses, line_dedup, near_dedup, packing
 from barloom.llm.common import connected_components, table
 from barloom.llm.fm_index import FMIndex
 from barloom.llm.tokens import ChunkTokenizer, default_tokenizer
+from barloom.llm.words import NON_SPACE, split_words, window_hashes
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -223,6 +224,33 @@ def test_substring_dedup(odd_docs, no_docs):
     assert substring_dedup.dedup_substrings(no_docs).count() == 0
 
 
+def test_no_shard_grows_with_a_frequent_phrase(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    phrases, docs = [f"p{k} words that stand everywhere" for k in range(2000)], []
+    _, hashes = window_hashes(split_words(pa.array(phrases), NON_SPACE), 5)
+    phrase = phrases[int(np.argmin(hashes))].split()  # the minimum of every window that has it
+    for i in range(400):
+        around = [[f"a{rng.integers(0, 4)}" if i % 3 else f"b{i}x{k}" for k in range(9)] for _ in range(2)]
+        docs.append((i, " ".join([*around[0], *phrase, *around[1]])))
+    plain = substring_dedup._owners
+
+    def spied(window):
+        run = plain(window)
+
+        def counted(batches):
+            batches = list(batches)
+            assert sum(b.num_rows for b in batches) <= 150
+            yield from run(batches)
+
+        return counted
+
+    monkeypatch.setattr(substring_dedup, "_owners", spied)
+    monkeypatch.setattr(substring_dedup, "FP_PASSAGES", 20, raising=False)
+    monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", 50)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == brute_substrings(docs) and any(r[2] for r in got)
+
+
 # 5 toxicity and 9 quality
 
 
