@@ -19,14 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    local tests, a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session, as in tests,
+    may leave it unset and gets a temporary folder; anywhere else executors could not
+    read each other's files, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
     return sc.getCheckpointDir()
 
@@ -40,7 +43,16 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what :func:`saved` wrote, once nothing lazy reads it any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # A fixed-size bitmap of 64-bit hashes: a filter in front of a join, never a decision.
@@ -100,27 +112,31 @@ def spread(seed: int) -> np.uint64:
     return mix(np.array([seed + 0x51ED2701], dtype=U64))[0]
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from every node that has an edge.
 
     ``edges`` has columns u and v of one orderable type (also a struct).  Returns node
     and component.  Alternates large-star and small-star steps (Kiveris et al. 2014):
     each is a grouped minimum, combined before the shuffle, joined back to the edges.
-    Every round is written to the shared folder; it stops when the edges stay the same.
+    Every round is written to the shared folder and deleted after the next; it stops
+    when the edges stay the same, after rounds in the order of log(nodes) ** 2 at most.
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     edges = saved(edges.where("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
-    before = None
-    for _ in range(rounds):
+    before, after = None, _summary(edges)
+    while after != before and after["n"]:
         near = both(edges)
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = saved(small.select("e.u", "e.v").where("u <> v").distinct())
-        after = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if after == before or not after["n"]:
-            break
-        before = after
+        old, edges = edges, saved(small.select("e.u", "e.v").where("u <> v").distinct())
+        release(old)
+        before, after = after, _summary(edges)
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _summary(edges: DataFrame):
+    """Number of edges and sums of two hashes of them."""
+    return edges.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]).first()

@@ -425,11 +425,10 @@ def brute_lines(docs):
     lines = [(i, xxhash.xxh64(t.encode(), seed=42).intdigest(), k, normal(x)) for i, t in docs for k, x in enumerate(t.split("\n")) if normal(x)]
     lines = [(i, s - (1 << 64) * (s >> 63), k, x) for i, s, k, x in lines]
     distinct = sorted({x for *_, x in lines})
-    sims = {x: plain_simhash(x.split(" ")) for x in distinct}
     group = {x: x for x in distinct}
     for a in distinct:
         for b in distinct:
-            if a < b and group[a] != group[b] and bin(sims[a] ^ sims[b]).count("1") <= 2 and edits(a, b) <= max(len(a), len(b)) // 10:
+            if a < b and group[a] != group[b] and edits(a, b) <= max(len(a), len(b)) // 10:
                 old = group[b]
                 group = {x: group[a] if g == old else g for x, g in group.items()}
     first = {}
