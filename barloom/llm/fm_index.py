@@ -1,11 +1,14 @@
-"""An FM-index over word ids with a wavelet matrix, searched for many patterns at once."""
+"""A compressed FM-index over word ids with a wavelet matrix, searched for many patterns at once.
+
+The text and its suffix array are sorted once and not kept.  What stays is the wavelet
+matrix of the transformed text (packed bits with running counts), the symbol counts,
+and one payload per distinct run of ``depth`` symbols behind a marker bit vector.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-from barloom.llm.words import mix, span_hashes
-
 
 class BitVector:
     """Packed bits with a running count per 64-bit word."""
@@ -13,7 +16,7 @@ class BitVector:
     def __init__(self, bits: np.ndarray):
         packed = np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64 + 64, dtype=bool)]), bitorder="little")
         self.words = packed.view(np.uint64)
-        self.before = np.zeros(len(self.words), dtype=np.int64)
+        self.before = np.zeros(len(self.words), dtype=np.int32)
         np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
         self.zeros = int(len(bits) - bits.sum())
 
@@ -23,24 +26,45 @@ class BitVector:
         return self.before[word] + np.bitwise_count(self.words[word] & below)
 
 
+def sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions sorted by the ``depth`` symbols from each on, and which of them differ from the one before.
+
+    As many ranks as fit 62 bits are compared at once, so the sorted span grows several
+    times a round.
+    """
+    n, span, rank = len(text), 1, text
+    order, head = np.arange(n), np.ones(n, dtype=bool)
+    while True:
+        bits = max(1, int(rank.max() + 1).bit_length())
+        each = max(2, 62 // bits)
+        offsets = sorted({min(k * span, depth - span) for k in range(each)})
+        key = np.zeros(n, dtype=np.int64)
+        for offset in offsets:
+            key <<= bits
+            key[: n - offset] += rank[offset:] + 1
+        order = np.argsort(key)
+        ordered = key[order]
+        head = np.ones(n, dtype=bool)
+        head[1:] = ordered[1:] != ordered[:-1]
+        span += offsets[-1]
+        if span >= depth:
+            return order, head
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(head)
+
+
 class FMIndex:
-    """Index of ``text`` (ids from 1; 0 separates passages), sorted to ``depth`` symbols."""
-
-    def __init__(self, text: np.ndarray, depth: int):
-        n = len(text)
-        rank, span = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
-        while span < depth:
-            after = np.full(n, -1, dtype=np.int64)
-            after[: n - span] = rank[span:]
-            order = np.lexsort((after, rank))
-            new = np.ones(n, dtype=bool)
-            new[1:] = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
-            rank = np.empty(n, dtype=np.int64)
-            rank[order] = np.cumsum(new) - 1
-            span *= 2
-        self.text = text
-        self.suffix = order
+    """Index of ``text`` (ids from 1; 0 separates passages), sorted to ``depth`` symbols.
+
+    ``payload`` has a number for each position; the index keeps the least of each
+    distinct run of ``depth`` symbols.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int, payload: np.ndarray):
+        order, head = sorted_suffixes(text, depth)
+        self.size = len(text)
+        self.heads = BitVector(head)
+        self.least = np.minimum.reduceat(payload[order], np.flatnonzero(head))
         last = text[order - 1]
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
         self.levels: list[BitVector] = []
@@ -49,59 +73,39 @@ class FMIndex:
             self.levels.append(BitVector(ones))
             last = np.concatenate([last[~ones], last[ones]])
 
-    def _occurrences(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often ``symbol`` stands in the transformed text before ``at``."""
-        low = np.zeros_like(at)
+    def _ranks(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often ``symbol`` stands in the transformed text before ``low`` and before ``high``."""
+        first = np.zeros_like(low)
         for depth, bits in enumerate(self.levels):
             one = ((symbol >> (len(self.levels) - 1 - depth)) & 1).astype(bool)
-            low_ones, at_ones = bits.ones_before(low), bits.ones_before(at)
-            low = np.where(one, bits.zeros + low_ones, low - low_ones)
-            at = np.where(one, bits.zeros + at_ones, at - at_ones)
-        return at - low
-
-    def _seed_table(self, symbols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix interval of each run of ``size`` symbols, by a hash of the run."""
-        key = run_hashes(symbols, size)[self.suffix]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        tail = np.append(head[1:], len(key))
-        order = np.argsort(key[head])
-        return key[head][order], head[order], tail[order]
-
-    def search(self, symbols: np.ndarray, ends: np.ndarray, most: int, seed: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ones = [bits.ones_before(x) for x in (first, low, high)]
+            first, low, high = (np.where(one, bits.zeros + o, x - o) for x, o in zip((first, low, high), ones))
+        return low - first, high - first
+
+    def search(self, symbols: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search from each end: (length matched, first suffix, suffix after the last).
 
-        The length is the matching statistic, up to ``most``; a separator ends a match.
-        Where the last ``seed`` symbols stand in the index, their interval is looked up and
-        the search goes on from there; elsewhere it starts with the last symbol.
+        The length is the matching statistic, up to ``most``; a separator, or a symbol the
+        index lacks, ends a match.
         """
-        low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), len(self.suffix), dtype=np.int64)
+        low, high = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.size, dtype=np.int64)
         length = np.zeros(len(ends), dtype=np.int64)
-        if seed <= most and len(symbols) >= seed:
-            known, head, tail = self._seed_table(self.text, seed)
-            start = ends - seed
-            breaks = np.concatenate([[0], np.cumsum(symbols == 0)])
-            plain = np.flatnonzero((start >= 0) & (breaks[ends] == breaks[np.maximum(start, 0)]))
-            keys = run_hashes(symbols, seed)[start[plain]]
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
-            plain, at = plain[hit], at[hit]
-            low[plain], high[plain], length[plain] = head[at], tail[at], seed
+        live = np.arange(len(ends))
         for k in range(1, most + 1):
-            live = np.flatnonzero((length == k - 1) & (ends >= k))
-            live = live[symbols[ends[live] - k] > 0]
+            live = live[ends[live] >= k]
             symbol = symbols[ends[live] - k]
-            known_symbol = symbol < len(self.less) - 1
-            live, symbol = live[known_symbol], symbol[known_symbol]
-            lo = self.less[symbol] + self._occurrences(symbol, low[live])
-            hi = self.less[symbol] + self._occurrences(symbol, high[live])
+            known = (symbol > 0) & (symbol < len(self.less) - 1)
+            live, symbol = live[known], symbol[known]
+            if k == 1:
+                lo, hi = self.less[symbol], self.less[symbol + 1]
+            else:
+                lo, hi = self._ranks(symbol, low[live], high[live])
+                lo, hi = self.less[symbol] + lo, self.less[symbol] + hi
             found = lo < hi
             live = live[found]
-            low[live], high[live] = lo[found], hi[found]
-            length[live] = k
+            low[live], high[live], length[live] = lo[found], hi[found], k
         return length, low, high
 
-
-def run_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` symbols from each position on; behind the end zeros follow."""
-    padded = np.concatenate([symbols, np.zeros(size, dtype=symbols.dtype)]).astype(np.uint64)
-    return span_hashes(mix(padded), np.arange(len(symbols)), np.arange(len(symbols)) + size)
+    def least_of(self, low: np.ndarray) -> np.ndarray:
+        """The least payload of the run of ``depth`` symbols whose interval begins at ``low``."""
+        return self.least[self.heads.ones_before(low)]

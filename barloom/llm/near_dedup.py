@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import connected_components, saved, table
-from barloom.llm.words import NON_SPACE, U64, Words, mix, ragged_ranges, row_slices, signed, span_hashes, split_words, window_hashes
+from barloom.llm.words import NON_SPACE, U64, Words, mix, ragged_ranges, row_slices, sequence_keys, signed, split_words, window_hashes
 
 BUCKETS, ROWS = 128, 4
 MANTISSA = 10
@@ -48,7 +48,7 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((counts > 0) & (counts < n))
     first, last = words.first[short], words.first[short + 1]
     doc = np.concatenate([np.searchsorted(words.first, starts, side="right") - 1, short])
-    hashes = np.concatenate([hashes, span_hashes(words.hash, first, last)])
+    hashes = np.concatenate([hashes, sequence_keys(words.hash, first, last)[0]])
     order = np.lexsort((hashes, doc))
     doc, hashes = doc[order], hashes[order]
     new = np.ones(len(doc), dtype=bool)
@@ -93,16 +93,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sketch(shingle: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, tkeys, texts = (batch.column(c) for c in ("id", "tkey", "text"))
             for a, b in row_slices(texts):
                 hashes, counts = shingle_sets(split_words(texts.slice(a, b - a), NON_SPACE, lower=True), shingle)
                 ends = np.cumsum(counts)
-                keys = [signed(span_hashes(hashes ^ U64(salt), ends - counts, ends)) for salt in (0, 0x2545F4914F6CDD1D)]
+                keys = [signed(k) for k in sequence_keys(hashes, ends - counts, ends)]
                 some = np.flatnonzero(counts)
                 rows = [None] * (b - a)
                 for k, packed in zip(some, registers(hashes, counts[some])):
                     rows[k] = packed.tobytes()
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(counts), pa.array(keys[0]), pa.array(keys[1]), pa.array(rows, pa.binary())], names=["id", "n", "k1", "k2", "regs"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), tkeys.slice(a, b - a), pa.array(counts), pa.array(keys[0]), pa.array(keys[1]), pa.array(rows, pa.binary())], names=["id", "tkey", "n", "k1", "k2", "regs"])
 
     return run
 
@@ -183,20 +183,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75, doc_id
     that links reach, kept is doc_id = component_id.
 
     Null and empty texts have no shingles, link with nothing and are kept.  Rows that
-    repeat share a class.  Ids are taken to be unique; a row that repeats an id with
-    another text is judged by its own text.  A null id is its own component.  Other
-    columns are ignored, whatever their names.
+    repeat share a class.  Rows that share only the id are judged each by its own text.
+    A null id is its own component and links nothing.  Other columns are ignored,
+    whatever their names.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sketched = saved(docs.mapInArrow(_sketch(shingle), "id long, n long, k1 long, k2 long, regs binary"))
+    docs = docs.select("id", F.xxhash64("text").alias("tkey"), "text")
+    sketched = saved(docs.mapInArrow(_sketch(shingle), "id long, tkey long, n long, k1 long, k2 long, regs binary"))
     usable = sketched.where("n > 0 and id is not null")
-    classes = saved(usable.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")))
-    links = _links(docs, classes, shingle, percent)
-    component = connected_components(links)
-    root = classes.select("k1", "k2", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    linked = usable.select("id", "n", "k1", "k2").join(root, ["k1", "k2"]).select("id", "n", "component_id")
+    classes = usable.groupBy("k1", "k2").agg(F.min(F.struct("id", "tkey")).alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("rep"), "k1", "k2", "least.id", "least.tkey", "n", "regs"))  # numbers that stay, as they are written
+    component = saved(connected_components(_links(docs, classes, shingle, percent)).withColumnRenamed("node", "rep"))
+    least = component.join(classes.select("rep", "id"), "rep").groupBy("component").agg(F.min("id").alias("least"))
+    linked = component.join(least, "component").select("rep", "least")
+    root = classes.select("rep", "k1", "k2", "id").join(linked, "rep", "left").select("k1", "k2", F.coalesce("least", "id").alias("component_id"))
+    found = usable.select("id", "n", "k1", "k2").join(root, ["k1", "k2"]).select("id", "n", "component_id")
     alone = sketched.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -206,12 +209,13 @@ def _links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> D
     members = saved(bands.join(buckets, "key"))
 
     # Chunks of bounded size; documents with the same smallest partner lie together.
-    anchors = members.groupBy("rep").agg(F.min("center").alias("anchor")).join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    anchors = members.groupBy("rep").agg(F.min("center").alias("anchor")).join(classes.select("rep", "n"), "rep")
     sizes = anchors.groupBy("anchor").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count(F.lit(1)) / CHUNK_DOCS)).alias("chunks"))
     placed = saved(anchors.join(sizes, "anchor").select("rep", F.xxhash64("anchor", F.pmod(F.xxhash64("rep"), "chunks")).alias("chunk")))
 
-    texts = docs.join(placed.hint("shuffle_hash"), docs["id"] == placed["rep"]).join(classes.select("rep", "regs", F.col("n").alias("class_n")), "rep").select("chunk", "rep", "regs", "text")
-    full = texts.mapInArrow(_full_sets(shingle), "chunk long, rep long, regs binary, shingles binary").where(F.length("shingles") > 0)
+    wanted = placed.join(classes.select("rep", "id", "tkey", "regs"), "rep")
+    texts = docs.join(wanted.hint("shuffle_hash"), ["id", "tkey"]).select("chunk", "rep", "regs", "text")
+    full = texts.mapInArrow(_full_sets(shingle), "chunk long, rep long, regs binary, shingles binary").groupBy("chunk", "rep").agg(F.first("regs").alias("regs"), F.first("shingles").alias("shingles"))  # rows that repeat
     chunks = saved(full.groupBy("chunk").agg(F.collect_list(F.struct("rep", "regs", "shingles")).alias("members")))
 
     shared = members.select("key", "rep").join(placed, "rep").groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("c"))

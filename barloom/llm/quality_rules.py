@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved, table
-from barloom.llm.words import _BYTE_VALUE, NON_SPACE, row_slices, span_hashes, split_words, window_hashes
+from barloom.llm.words import NON_SPACE, byte_hashes, row_slices, split_words, window_hashes
 
 #: Measure to the least cutoff it may get; shares are in thousandths, the length of words in tenths of a character.
 FLOORS = {"symbols_pm": 100, "dup_lines_pm": 400, "repeats_pm": 350, "upper_pm": 500, "bangs_pm": 80, "word_len": 150}
@@ -61,7 +61,7 @@ def document_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     end = np.sort(np.concatenate([breaks, at[1:]]))
     worded = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, doc = start[worded], end[worded], doc[worded]
-    lines = span_hashes(_BYTE_VALUE[data], start, end)
+    lines = byte_hashes(data, start, end)
     out["n_lines"] = np.bincount(doc, minlength=docs)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(doc[_first_of(doc, lines)], minlength=docs)
 

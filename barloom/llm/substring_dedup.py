@@ -1,17 +1,20 @@
-"""Exact substring dedup with an FM-index per shard.
+"""Exact substring dedup with a compressed FM-index per shard.
 
 A repeated run of ``window`` words is found in shards of bounded size instead of one
 index of the corpus.  The minimum gram hash of each window picks the shard, so equal
 windows always meet: the windows with one minimum form a short passage around it.
-A minimum with more than FP_PASSAGES distinct passages would be a shard that grows with
-the corpus; its windows are grouped one by one instead, by 128 bits of their words.
 
 1. Minima of all documents are counted; only those of two documents go on.
-2. Their passages are cut out, equal passages are folded to the smallest doc_id.
-3. Each shard builds an FM-index (wavelet matrix) of its distinct passages and streams
-   the passages through backward search; a match of ``window`` words gives a suffix
-   interval, whose smallest doc_id is the first owner of that window.
-4. Owners go back to all occurrences; a window with a smaller owner is removed.
+2. Their passages are cut out; equal passages are folded to the smallest doc_id.
+3. Where a minimum has several different passages, the shard builds an FM-index (wavelet
+   matrix) of all but the passage with the largest doc_id, and streams all but the one
+   with the smallest through backward search.  The matching statistic of each word is how
+   much of the passage up to it stands in the index, up to ``window``; where it reaches
+   the window, the suffix interval tells the smallest doc_id that has it.
+4. Passages go back to all occurrences; a window with a smaller owner is removed.
+
+A minimum with more than FP_PASSAGES different passages would be a shard that grows with
+the corpus; its windows are grouped one by one instead, by 128 bits of their words.
 
 Word ids in a shard come from 64-bit word hashes; 13 of them must agree in order.
 Documents whose words are all the same are folded before step 2.
@@ -19,26 +22,18 @@ Documents whose words are all the same are folded before step 2.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bitmap_of, in_bitmap, saved, table
+from barloom.llm.common import bitmap_of, in_bitmap, release, saved, table
 from barloom.llm.fm_index import FMIndex
-from barloom.llm.words import NON_SPACE, U64, mix, ragged_ranges, row_slices, signed, span_hashes, split_words, window_hashes
-
-SHARD_PASSAGES = 20_000
-#: Distinct passages of one minimum that may lie in a shard.
-FP_PASSAGES = 2_000
-
+from barloom.llm.words import NON_SPACE, U64, mix, ragged_ranges, row_slices, run_hashes, sequence_keys, signed, split_words, window_hashes
 
-def _keys(words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for all words of each document."""
-    return tuple(signed(span_hashes(words.hash ^ U64(salt), words.first[:-1], words.first[1:])) for salt in (0, 0x2545F4914F6CDD1D))
+#: Passages of a shard on average, and at most of one minimum.
+SHARD_PASSAGES, FP_PASSAGES = 20_000, 2_000
 
 
 def _minima(words, window: int, gram: int):
@@ -79,38 +74,36 @@ def _anchors(window: int, gram: int, bitmap=None):
 
 
 def _packed(batches):
-    """Rows (id, k1, k2, n, body): the text in zstd, since it is shuffled."""
+    """Rows (id, tkey, body): the text in zstd, since it is shuffled."""
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
-        for a, b in row_slices(texts):
-            words = split_words(texts.slice(a, b - a), NON_SPACE)
-            k1, k2 = _keys(words)
-            data, at = words.data.tobytes(), words.text_at
-            body = [pack.compress(data[at[i] : at[i + 1]]) for i in range(b - a)]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(k1), pa.array(k2), pa.array(words.counts.astype(np.int64)), pa.array(body, pa.binary())], names=["id", "k1", "k2", "n", "body"])
+        texts = batch.column("text").fill_null("").cast(pa.binary())
+        body = pa.array([pack.compress(x.as_buffer() or b"") for x in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tkey"), body], names=["id", "tkey", "body"])
 
 
 def _keyed(batches):
-    """Rows (id, k1, k2, n)."""
+    """Rows (id, tkey, k1, k2): 128 bits that stand for all words of a document."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, tkeys, texts = (batch.column(c) for c in ("id", "tkey", "text"))
         for a, b in row_slices(texts):
             words = split_words(texts.slice(a, b - a), NON_SPACE)
-            k1, k2 = _keys(words)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(k1), pa.array(k2), pa.array(words.counts.astype(np.int64))], names=["id", "k1", "k2", "n"])
+            k1, k2 = (signed(k) for k in sequence_keys(words.hash, words.first[:-1], words.first[1:]))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), tkeys.slice(a, b - a), pa.array(k1), pa.array(k2)], names=["id", "tkey", "k1", "k2"])
 
 
 def _unpacked(batch):
     """(first row, rows, their words) for parts of a batch that has packed texts."""
     unpack = zstandard.ZstdDecompressor()
-    texts = pa.array([unpack.decompress(x).decode("utf-8", "surrogatepass") for x in batch.column("body").to_pylist()], pa.large_string())
+    texts = [unpack.decompress(x) for x in batch.column("body").to_pylist()]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    texts = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(b"".join(texts))])
     for a, b in row_slices(texts):
         yield a, b - a, split_words(texts.slice(a, b - a), NON_SPACE)
 
 
 def _passages(window: int, gram: int):
-    """Documents with their shared minima to the passages around them."""
+    """Documents with their shared minima to the passages around them; n is the number of windows."""
 
     def run(batches):
         for batch in batches:
@@ -130,11 +123,11 @@ def _passages(window: int, gram: int):
                 lo, hi = window_at[heads], window_at[tails] + window
                 text = words.data.tobytes()
                 said = [text[s:e] for s, e in zip(words.start[lo].tolist(), words.end[hi - 1].tolist())]
-                p1, p2 = (signed(span_hashes(words.hash ^ U64(salt), lo, hi)) for salt in (0, 0x2545F4914F6CDD1D))
+                p1, p2 = (signed(k) for k in sequence_keys(words.hash, lo, hi))
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(fp[heads])), pa.array(p1), pa.array(p2), pa.array(said, pa.binary()), part.column("id").take(take), part.column("k1").take(take), pa.array((lo - words.first[doc]).astype(np.int64))],
-                    names=["fp", "p1", "p2", "words", "id", "k1", "at"],
+                    [pa.array(signed(fp[heads])), pa.array(p1), pa.array(p2), pa.array((hi - lo - window + 1).astype(np.int32)), pa.array(said, pa.binary()), part.column("id").take(take), part.column("tkey").take(take), pa.array((lo - words.first[doc]).astype(np.int64))],
+                    names=["fp", "p1", "p2", "n", "words", "id", "tkey", "at"],
                 )
 
     return run
@@ -144,59 +137,89 @@ def _pair_key(doc: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return mix(fp + mix(doc.astype(U64)))
 
 
-def _owners(window: int):
-    """One shard: its passages to the smallest doc_id that has each of their windows."""
+def _filtered(bitmap):
+    """Passages whose minimum may be in the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bitmap.value, batch.column("fp").to_numpy().view(U64))))
+
+    return run
+
+
+def _owned(window: int):
+    """One shard: its passages to the windows that a document with a smaller doc_id has."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         rows = pa.Table.from_batches(parts).combine_chunks()
+        fp, ids = rows.column("fp").to_numpy(), rows.column("id").to_numpy()
+        order = np.lexsort((ids, fp))
+        new = np.append(True, fp[order][1:] != fp[order][:-1])
+        first, last = order[new], order[np.append(new[1:], True)]
+        indexed, streamed = np.ones(len(fp), dtype=bool), np.ones(len(fp), dtype=bool)
+        indexed[last], streamed[first] = False, False
         words = split_words(rows.column("words"), NON_SPACE)
-        _, code = np.unique(words.hash, return_inverse=True)
-        counts = words.counts
-        text = np.zeros(len(code) + len(counts), dtype=np.int64)  # a separator after each passage
-        begin = words.first[:-1] + np.arange(len(counts))
-        text[ragged_ranges(begin, counts)] = code + 1
-        index = FMIndex(text, window)
-        source = np.repeat(rows.column("id").to_numpy(), counts + 1)
-        ends = ragged_ranges(begin + window, counts - window + 1)
-        length, low, high = index.search(text, ends, window)
-        assert (length == window).all()  # each passage is part of its shard
-        by_suffix = np.append(source[index.suffix], np.iinfo(np.int64).max)
-        least = np.minimum.reduceat(by_suffix, np.stack([low, high], axis=1).ravel())[::2]
-        offsets = np.concatenate([[0], np.cumsum(counts - window + 1)])
-        for a in range(0, len(counts), 4096):
-            b = min(len(counts), a + 4096)
-            lists = pa.ListArray.from_arrays(pa.array((offsets[a : b + 1] - offsets[a]).astype(np.int32)), pa.array(least[offsets[a] : offsets[b]]))
-            part = rows.slice(a, b - a).combine_chunks()
-            yield pa.RecordBatch.from_arrays([part.column("p1").combine_chunks(), part.column("p2").combine_chunks(), lists], names=["p1", "p2", "owners"])
+        values, at = signed(words.hash), words.first
+        text, count = _laid_out(values, at, np.flatnonzero(indexed))
+        known = np.unique(text[text != 0])
+        index = FMIndex(np.where(text == 0, 0, np.searchsorted(known, text) + 1), window, np.repeat(ids[indexed], count + 1))
+        queries = np.flatnonzero(streamed)
+        for a in range(0, len(queries), 4096):
+            some = queries[a : a + 4096]
+            text, count = _laid_out(values, at, some)
+            code = np.minimum(np.searchsorted(known, text), len(known) - 1)
+            symbols = np.where(text == 0, 0, np.where(known[code] == text, code + 1, len(known) + 1))
+            begin = np.cumsum(count + 1) - count - 1
+            windows = count - window + 1
+            ends = ragged_ranges(begin + window, windows)
+            length, low, _ = index.search(symbols, ends, window)
+            row = np.repeat(np.arange(len(some)), windows)
+            hit = np.flatnonzero(length >= window)
+            hit = hit[index.least_of(low[hit]) < ids[some][row[hit]]]
+            found = np.bincount(row[hit], minlength=len(some))
+            offsets = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
+            starts = ends[hit] - window - begin[row[hit]]
+            out = rows.select(["fp", "p1", "p2"]).take(pa.array(some)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(starts.astype(np.int32)))], names=["fp", "p1", "p2", "windows"])
 
     return run
 
 
+def _laid_out(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of some passages, 0 after each, and how many each has."""
+    count = at[which + 1] - at[which]
+    text = np.zeros(int(count.sum()) + len(which), dtype=np.int64)
+    word = values[ragged_ranges(at[which], count)]
+    text[ragged_ranges(np.cumsum(count + 1) - count - 1, count)] = np.where(word == 0, 1, word)
+    return text, count
+
+
 def _windows(window: int):
     """Passages to their windows, each by 128 bits of its words."""
 
     def run(batches):
         for batch in batches:
             words = split_words(batch.column("words"), NON_SPACE)
-            sizes = np.maximum(words.counts - window + 1, 0)
-            lo = ragged_ranges(words.first[:-1], sizes)
+            hashes, at = words.hash, words.first
+            sizes = np.maximum(np.diff(at) - window + 1, 0)
+            lo = ragged_ranges(at[:-1], sizes)
             row = np.repeat(np.arange(batch.num_rows), sizes)
-            w1, w2 = (signed(span_hashes(words.hash ^ U64(salt), lo, lo + window)) for salt in (0, 0x2545F4914F6CDD1D))
-            part = batch.select(["p1", "p2", "id"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array((lo - words.first[row]).astype(np.int32)), pa.array(w1), pa.array(w2)], names=["p1", "p2", "id", "at", "w1", "w2"])
+            w1, w2 = (signed(run_hashes(hashes, window, salt)[lo]) for salt in (1, 2))
+            part = batch.select(["fp", "p1", "p2", "id"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array((lo - at[row]).astype(np.int32)), pa.array(w1), pa.array(w2)], names=["fp", "p1", "p2", "id", "at", "w1", "w2"])
 
     return run
 
 
-def _window_owners(distinct: DataFrame, window: int) -> DataFrame:
-    """What :func:`_owners` finds, without shards: a grouped minimum per window, combined before the shuffle."""
-    windows = saved(distinct.select("p1", "p2", "id", "words").mapInArrow(_windows(window), "p1 long, p2 long, id long, at int, w1 long, w2 long"))
+def _owned_windows(distinct: DataFrame, window: int) -> DataFrame:
+    """What :func:`_owned` finds, without shards: a grouped minimum per window, combined before the shuffle."""
+    windows = saved(distinct.select("fp", "p1", "p2", "id", "words").mapInArrow(_windows(window), "fp long, p1 long, p2 long, id long, at int, w1 long, w2 long"))
     least = windows.groupBy("w1", "w2").agg(F.min("id").alias("owner"))
-    owned = windows.select("p1", "p2", "at", "w1", "w2").join(least, ["w1", "w2"]).groupBy("p1", "p2").agg(F.sort_array(F.collect_list(F.struct("at", "owner"))).alias("owned"))
-    return owned.select("p1", "p2", F.col("owned.owner").alias("owners"))
+    owned = windows.join(least, ["w1", "w2"]).where("owner < id")
+    return owned.groupBy("fp", "p1", "p2").agg(F.sort_array(F.collect_list("at")).alias("windows"))
 
 
 def _cut(window: int):
@@ -206,21 +229,20 @@ def _cut(window: int):
         for batch in batches:
             for a, rows, words in _unpacked(batch):
                 part = batch.slice(a, rows)
-                removed = np.zeros(len(words.hash) + 1, dtype=np.int64)
-                for i, (copied, finds) in enumerate(zip(part.column("copied").to_pylist(), part.column("finds").to_pylist())):
-                    first, last = words.first[i], words.first[i + 1]
-                    if copied and last - first >= window:
-                        removed[first] += 1
-                        removed[last] -= 1
-                    elif finds:
-                        for x in finds:
-                            at = first + x["at"] + np.array(x["windows"])
-                            np.add.at(removed, at, 1)
-                            np.add.at(removed, at + window, -1)
-                gone = np.cumsum(removed)[:-1] > 0
+                copied = part.column("copied").fill_null(False).to_numpy(zero_copy_only=False) & (words.counts >= window)
+                finds = part.column("finds")
+                find, of = finds.flatten(), np.repeat(np.arange(rows), finds.value_lengths().fill_null(0).to_numpy())
+                lists = find.field("windows")
+                base = words.first[of] + find.field("at").to_numpy()
+                at = np.repeat(base, lists.value_lengths().to_numpy()) + lists.flatten().to_numpy()
+                total = len(words.hash) + 1
+                steps = np.bincount(at, minlength=total) - np.bincount(at + window, minlength=total)
+                np.add.at(steps, words.first[:-1][copied], 1)
+                np.add.at(steps, words.first[1:][copied], -1)
+                gone = np.cumsum(steps)[:-1] > 0
                 kept = _joined(words, ~gone)
                 count = np.concatenate([[0], np.cumsum(gone)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n"), pa.array(count[words.first[1:]] - count[words.first[:-1]]), kept], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(words.counts.astype(np.int64)), pa.array(count[words.first[1:]] - count[words.first[:-1]]), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
@@ -254,33 +276,45 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: s
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select("id", F.xxhash64("text").alias("tkey"), "text")
     named = docs.where("id is not null")
-    rows = saved(named.mapInArrow(_keyed, "id long, k1 long, k2 long, n long"))
+    rows = saved(named.mapInArrow(_keyed, "id long, tkey long, k1 long, k2 long"))
     first = rows.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    copies = saved(rows.join(first.where("rep < last"), ["k1", "k2"]).where("id > rep").select("id", "k1").distinct())
+    copies = saved(rows.join(first.where("rep < last"), ["k1", "k2"]).where("id > rep").select("id", "tkey").distinct())
+    release(rows)
 
-    shared = named.mapInArrow(_anchors(window, gram), "fp long, id long").groupBy("fp").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    anchors = named.select("id", "text")
+    shared = anchors.mapInArrow(_anchors(window, gram), "fp long, id long").groupBy("fp").agg(F.min("id").alias("a"), F.max("id").alias("b"))
     shared = saved(shared.where("a < b").select("fp"))
     bitmap = spark.sparkContext.broadcast(bitmap_of(shared, "fp"))
-    lists = named.mapInArrow(_anchors(window, gram, bitmap), "fp long, id long").join(shared, "fp").groupBy("id").agg(F.collect_set("fp").alias("fps"))
-
-    packed = docs.mapInArrow(_packed, "id long, k1 long, k2 long, n long, body binary")
-    passages = packed.join(lists, "id").join(copies, ["id", "k1"], "left_anti").select("id", "k1", "body", "fps")
-    passages = saved(passages.mapInArrow(_passages(window, gram), "fp long, p1 long, p2 long, words binary, id long, k1 long, at long"))
-
-    distinct = saved(passages.groupBy("fp", "p1", "p2").agg(F.min("id").alias("id"), F.first("words").alias("words")))
+    lists = anchors.mapInArrow(_anchors(window, gram, bitmap), "fp long, id long").join(shared, "fp").groupBy("id").agg(F.collect_set("fp").alias("fps"))
+
+    packed = docs.mapInArrow(_packed, "id long, tkey long, body binary")
+    passages = packed.join(lists, "id").join(copies, ["id", "tkey"], "left_anti").select("id", "tkey", "body", "fps")
+    passages = saved(passages.mapInArrow(_passages(window, gram), "fp long, p1 long, p2 long, n int, words binary, id long, tkey long, at long"))
+    release(shared)
+
+    key = ["fp", "p1", "p2"]
+    firsts = saved(passages.groupBy(*key).agg(F.min("id").alias("pid")))
+    several = saved(firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    bitmap = spark.sparkContext.broadcast(bitmap_of(several, "fp"))
+    texts = passages.select(*key, "id", "words").mapInArrow(_filtered(bitmap), "fp long, p1 long, p2 long, id long, words binary")
+    distinct = saved(texts.join(several, "fp").groupBy(*key, "c").agg(F.min("id").alias("id"), F.first("words").alias("words")))
     shards = max(1, -(-distinct.count() // SHARD_PASSAGES))
-    frequent = saved(distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > FP_PASSAGES).select("fp"))
-    some = not frequent.isEmpty()
-    bounded = distinct.join(frequent, "fp", "left_anti") if some else distinct
-    owners = bounded.repartition(shards, "fp").mapInArrow(_owners(window), "p1 long, p2 long, owners array<long>")
-    if some:
-        owners = owners.union(_window_owners(distinct.join(frequent, "fp", "left_semi"), window))
-    owned = F.filter(F.transform("owners", lambda o, i: F.when(o < F.col("id"), i)), lambda i: i.isNotNull())
-    finds = passages.select("p1", "p2", "id", "k1", "at").distinct().join(owners, ["p1", "p2"]).where(F.array_min("owners") < F.col("id"))
-    finds = saved(finds.select("id", "k1", F.struct("at", owned.alias("windows")).alias("find")).groupBy("id", "k1").agg(F.collect_list("find").alias("finds")))
-    marks = finds.withColumn("copied", F.lit(False)).unionByName(copies.select("id", "k1", F.lit(None).cast(finds.schema["finds"].dataType).alias("finds"), F.lit(True).alias("copied")))
-    return packed.join(marks, ["id", "k1"], "left").select("id", "n", "body", "copied", "finds").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    owned = distinct.where(F.col("c") <= FP_PASSAGES).repartition(shards, "fp").mapInArrow(_owned(window), "fp long, p1 long, p2 long, windows array<int>")
+    frequent = distinct.where(F.col("c") > FP_PASSAGES)
+    if not frequent.isEmpty():
+        owned = owned.union(_owned_windows(frequent, window))
+    owned = saved(owned.where(F.size("windows") > 0))
+    release(distinct)
+
+    marked = passages.select(*key, "n", "id", "tkey", "at").join(firsts.join(owned, key, "left"), key)
+    windows = F.when(F.col("id") > F.col("pid"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.col("windows"))
+    finds = marked.select("id", "tkey", F.struct("at", windows.alias("windows")).alias("find")).where("find.windows is not null").groupBy("id", "tkey").agg(F.collect_set("find").alias("finds"))
+    marks = finds.withColumn("copied", F.lit(False)).unionByName(copies.select("id", "tkey", F.lit(None).cast(finds.schema["finds"].dataType).alias("finds"), F.lit(True).alias("copied")))
+    marks = saved(marks)
+    release(passages, firsts, several, owned)
+    return packed.join(marks, ["id", "tkey"], "left").select("id", "body", "copied", "finds").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from barloom.llm.words import NON_SPACE, U64, Words, ragged_ranges, span_hashes, split_words
+from barloom.llm.words import NON_SPACE, Words, byte_hashes, ragged_ranges, split_words
 
 #: Chunks that a Python worker keeps; it starts anew beyond them.
 CACHE_CHUNKS = 1_000_000
@@ -50,7 +50,7 @@ class ChunkTokenizer:
         odd = _odd_texts(words)
         first = np.searchsorted(start, words.text_at)
         first[-1] = len(start)
-        hashes = span_hashes(words.data.astype(U64) + U64(0x9E37), start, end)
+        hashes = byte_hashes(words.data, start, end)
         uniq, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(uniq) > CACHE_CHUNKS:
             self._forget()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved, spread, table
-from barloom.llm.words import _BYTE_VALUE, ALNUM, U64, row_slices, signed, span_hashes, split_words
+from barloom.llm.words import ALNUM, U64, byte_hashes, row_slices, signed, split_words
 
 TRAIN_DOCS = 20_000
 #: Features kept, the least toxic documents each must be in, and how many times likelier there.
@@ -37,11 +37,10 @@ def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature hashes of each text, end to end, and the text of each."""
     words = split_words(texts, ALNUM, lower=True)
     doc = words.doc
-    value = _BYTE_VALUE[words.data]
     hashes, docs = [words.hash], [doc]
     for n in BEGINNINGS:
         long = words.end - words.start > n
-        hashes.append(span_hashes(value, words.start[long], words.start[long] + n) ^ spread(n))
+        hashes.append(byte_hashes(words.data, words.start[long], words.start[long] + n) ^ spread(n))
         docs.append(doc[long])
     return np.concatenate(hashes), np.concatenate(docs)
 

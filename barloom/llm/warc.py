@@ -27,14 +27,16 @@ DERIVED = (
     "content_length long, block_digest string, source_digest string, source_headers string, block string"
 )
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<(?:[a-zA-Z/!?][^>]*)(?:>|\Z)")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: A comment, a tag (slash, name, attributes) or a declaration.  A tag ends before the next '<', so no part of a page is read twice.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>?|<[!?/][^<>]*>?", re.S)
+_HIDDEN = {name: re.compile(rf"</{name}\b[^<>]*>?", re.I) for name in ("script", "style", "noscript", "template", "svg", "head")}
+_BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+_TITLE_END = re.compile(r"</title", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _SPACES = re.compile(r"[^\S\n]+")
+_BREAKS = re.compile(r"[\r\n]")
 
 
 def digest(block: bytes) -> str:
@@ -56,18 +58,33 @@ def decode_body(headers: str, payload: bytes) -> str:
 
 def plain_text(page: str) -> str:
     """Visible text, a line for each block; entities are resolved after tags are gone."""
-    text = _HIDDEN.sub(" ", page)
-    text = _TAG.sub("", _BLOCK.sub("\n", text.replace("\r", " ").replace("\n", " ")))
-    lines = (_SPACES.sub(" ", html.unescape(x)).strip() for x in text.split("\n"))
+    out, at = [], 0
+    while found := _TAG.search(page, at):
+        out.append(_BREAKS.sub(" ", page[at : found.start()]))
+        at, name = found.end(), (found[2] or "").lower()
+        if name in _HIDDEN and not found[1]:
+            end = _HIDDEN[name].search(page, at)
+            at = end.end() if end else len(page)
+        out.append("\n" if name in _BLOCK else "" if name and name not in _HIDDEN else " ")
+    out.append(_BREAKS.sub(" ", page[at:]))
+    lines = (_SPACES.sub(" ", html.unescape(x)).strip() for x in "".join(out).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def page_facts(page: str, headers: str, payload: bytes) -> str:
     """The block of a metadata record: application/warc-fields."""
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    fields = [("title", _SPACES.sub(" ", html.unescape(title[1])).replace("\n", " ").strip() if title else ""), ("language", lang[1].lower() if lang else "")]
+    title, lang, links = None, None, {}
+    for found in _TAG.finditer(page):
+        name = "" if found[1] else (found[2] or "").lower()
+        if name == "title" and title is None:
+            end = _TITLE_END.search(page, found.end())
+            title = page[found.end() : end.start() if end else len(page)]
+        elif name == "html" and lang is None and (said := _LANG.search(found[3])):
+            lang = said[1].lower()
+        elif name == "a" and (said := _HREF.search(found[3])):
+            links[html.unescape(next(g for g in said.groups() if g is not None)).replace("\n", " ")] = None
+    fields = [("title", _SPACES.sub(" ", _BREAKS.sub(" ", html.unescape(title or ""))).strip()), ("language", lang or "")]
     fields += [("source-payload-length", str(len(payload))), ("source-status", headers.split("\r\n", 1)[0])]
-    links = dict.fromkeys(html.unescape(next(g for g in m if g is not None)).replace("\n", " ") for m in (x.groups() for x in _HREF.finditer(page)))
     fields += [("outlink", x) for x in links if x]
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v)
 
@@ -134,36 +151,66 @@ def record_bytes(r: dict) -> bytes:
     return gzip.compress(head.encode("utf-8") + block + b"\r\n\r\n", mtime=0)
 
 
-def parse_records(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of a WARC file, gzipped or not."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    out, at = [], 0
-    while (at := raw.find(b"WARC/", at)) >= 0:
-        head_end = raw.find(b"\r\n\r\n", at)
-        if head_end < 0:
-            break
-        lines = raw[at:head_end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        length = int(fields.get("content-length", "0"))
-        out.append((fields, raw[head_end + 4 : head_end + 4 + length]))
-        at = head_end + 4 + length
-    return out
+#: Begins each record; files are read record by record with it as line separator.
+_MARK = b"WARC/1."
+
+
+def parse_record(raw: bytes) -> tuple[dict[str, str], int, int] | None:
+    """(fields, where the block begins, where it ends) of a record without its first seven bytes, or None."""
+    end = raw.find(b"\r\n\r\n")
+    if end < 0 or raw[1:3] != b"\r\n":
+        return None
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw[3:end].decode("utf-8", "replace").split("\r\n"))}
+    length = fields.get("content-length", "0")
+    return fields, end + 4, end + 4 + (int(length) if length.isdigit() else 0)
+
+
+def _responses(batches):
+    """Parts of files, in order, to responses; a block that holds the mark itself is put together again."""
+    state = {"file": None, "parts": [], "size": 0, "record": None}
+
+    def finished():
+        if state["record"] is None:
+            return []
+        fields, begin, end = state["record"]
+        state["record"] = None
+        if fields.get("warc-type") != "response":
+            return []
+        head, sep, body = _MARK.join(state["parts"])[begin:end].partition(b"\r\n\r\n")
+        return [{"source": None, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "http_headers": (head + sep).decode("utf-8", "replace"), "payload": body}]
+
+    def rows(batch):
+        out, size = [], 0
+        for file, part in zip(batch.column("file").to_pylist(), batch.column("part")):
+            raw = part.as_py()
+            if state["record"] and file == state["file"] and state["size"] < state["record"][2]:
+                state["parts"].append(raw)
+                state["size"] += len(_MARK) + len(raw)
+                continue
+            out += finished()
+            state.update(file=file, parts=[raw], size=len(raw), record=parse_record(raw))
+            size += len(raw)
+            if size > 1 << 22:
+                yield out
+                out, size = [], 0
+        yield out
+
+    schema = pa.schema([("source", pa.int64()), *[(n, pa.string()) for n in ("record_id", "target_uri", "date", "http_headers")], ("payload", pa.binary())])
+    for batch in batches:
+        for out in rows(batch):
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+    yield pa.RecordBatch.from_pylist(finished(), schema=schema)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Responses of WARC files; each file is read by one task, as its members must be in order."""
-    def parse(batches):
-        for batch in batches:
-            rows = []
-            for raw in batch.column("content"):
-                for fields, block in parse_records(raw.as_py()):
-                    if fields.get("warc-type") == "response":
-                        head, sep, body = block.partition(b"\r\n\r\n")
-                        rows.append({"source": None, "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "http_headers": (head + sep).decode("utf-8", "replace"), "payload": body})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("source", pa.int64()), ("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("http_headers", pa.string()), ("payload", pa.binary())]))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RESPONSES)
+    """Responses of WARC files, gzipped or not, read as a stream of records.
+
+    A gzipped file is read by one task, as its members must be in order, but never held
+    whole.  A plain file may be split between records; a block that holds the mark of a
+    record across such a split ends there.
+    """
+    parts = spark.read.option("lineSep", _MARK.decode()).text(path).select(F.col("value").cast("binary").alias("part"), F.col("_metadata.file_path").alias("file"))
+    return parts.mapInArrow(_responses, RESPONSES)
 
 
 def with_record_bytes(derived: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -34,22 +35,9 @@ _KEEP = np.arange(256, dtype=np.uint8)
 _LOWER = _KEEP.copy()
 _LOWER[0x41:0x5B] += 0x20
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_VALUE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C17  # odd, and 3 modulo 4
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _base_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Spans of more bytes are hashed one by one.
+_MOST_VECTOR_BYTES = 64
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,12 +51,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span, from one prefix sum."""
-    up, down = _base_powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, eight bytes a step, each step mixed.
+
+    Sums of powers would be faster over long spans, but sequences exist that cancel in
+    any such sum (those in Thue-Morse order, modulo 2**64).
+    """
+    size = end - start
+    out = mix(size.astype(U64) + _STEP)
+    if not len(size):
+        return out
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    for k in range(0, min(int(size.max()), _MOST_VECTOR_BYTES), 8):
+        live = np.flatnonzero((size > k) & (size <= _MOST_VECTOR_BYTES))
+        loaded = eights[start[live] + k].view("<u8").ravel()
+        loaded &= U64(_MASK) >> (np.maximum(8 - (size[live] - k), 0).astype(U64) * U64(8))
+        out[live] = mix((out[live] ^ loaded) + _STEP)
+    long = np.flatnonzero(size > _MOST_VECTOR_BYTES)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(start[long].tolist(), end[long].tolist())]
+    return out
+
+
+def run_hashes(values: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of values[i : i + n] for every i: a sum with an unrelated odd factor for each place, mixed."""
+    count = max(0, len(values) - n + 1)
+    factors = mix(np.arange(n, dtype=U64) * _STEP + U64((salt * 0x632BE59BD9B4E019 + n) & _MASK)) | U64(1)
+    out = np.zeros(count, dtype=U64)
+    for k in range(n):
+        out += values[k : k + count] * factors[k]
+    return mix(out)
+
+
+def sequence_keys(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for values[start:end] of each span, as two 64-bit numbers."""
+    view = memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else memoryview(b"")
+    found = b"".join(xxhash.xxh3_128_digest(view[s:e]) for s, e in zip((start * 8).tolist(), (end * 8).tolist()))
+    both = np.frombuffer(found, dtype=U64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 @dataclass
@@ -123,15 +144,14 @@ def split_words(texts: pa.Array, word_bytes: np.ndarray = NON_SPACE, lower: bool
     ends = inside
     ends[:-1] &= ~inside[1:] | begins[1:]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = span_hashes(_BYTE_VALUE[data], start, end)
-    return Words(data, at, start, end, np.searchsorted(start, at), hashes)
+    return Words(data, at, start, end, np.searchsorted(start, at), byte_hashes(data, start, end))
 
 
-def window_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of every run of n words inside one document."""
     counts = np.maximum(words.counts - (n - 1), 0)
     starts = ragged_ranges(words.first[:-1], counts)
-    return starts, span_hashes(words.hash, starts, starts + n)
+    return starts, run_hashes(words.hash, n, salt)[starts]
 
 
 def ragged_ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:

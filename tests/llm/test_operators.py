@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from barloom.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality_cnn, quality_rules, registry, substring_dedup, toxicity, warc
 from barloom.llm.common import connected_components, table
 from barloom.llm.fm_index import FMIndex
+from barloom.llm.quality_rules import document_counts
 from barloom.llm.tokens import ChunkTokenizer, default_tokenizer
-from barloom.llm.words import NON_SPACE, split_words, window_hashes
+from barloom.llm.words import NON_SPACE, byte_hashes, run_hashes, sequence_keys, split_words, window_hashes
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,6 +43,32 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def turning(n):
+    """Two sequences of n words, in Thue-Morse order and in its complement: sums of powers take them for equal."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return [" ".join(f"{'ab'[b ^ flip]}word" for b in bits) for flip in (0, 1)]
+
+
+def test_sequences_that_cancel_in_sums_of_powers_stay_apart(spark):
+    a, b = turning(4096)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a.replace(" ", "\n", 1))], "doc_id long, text string")
+    brute = brute_substrings([(1, a), (2, b), (3, a)])
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(docs).collect()) == brute
+    shifted = " ".join(f"{x}{k}" for k, x in enumerate(a.split())), " ".join(f"{x}{k}" for k, x in enumerate(b.split()))
+    rows = [(1, shifted[0]), (2, shifted[1])]  # every second word or so differs, none stands where it could cancel
+    assert [r["n_removed"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
+    letters = np.frombuffer("".join(w[0] for t in (a, b) for w in t.split()).encode(), np.uint8)
+    for n in (64, 4096):
+        assert len(set(byte_hashes(letters, np.array([0, 4096]), np.array([n, 4096 + n])).tolist())) == 2
+    words = split_words(pa.array([a, b]), NON_SPACE)
+    keys = sequence_keys(words.hash, words.first[:-1], words.first[1:])
+    assert keys[0][0] != keys[0][1] and keys[1][0] != keys[1][1]
+    assert len({int(x) for n in (3, 5, 10, 13, 64) for x in run_hashes(words.hash, n)[[0, 4096]]}) == 10
+    lines = document_counts(pa.array([a.replace(" ", "") + "\n" + b.replace(" ", "")]))
+    assert lines["n_dup_lines"].tolist() == [0]
+    assert {r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1, 2}
+
+
 # 1 packing
 
 
@@ -185,19 +212,25 @@ def test_sketches_merge(spark):
 
 def test_fm_index_matches_scanning():
     rng = np.random.default_rng(5)
-    text = rng.integers(1, 5, 300)
-    text[::37] = 0
-    index = FMIndex(text, 8)
-    queries = rng.integers(1, 6, 200)
-    for seed in (3, 99):
-        length, low, high = index.search(queries, np.arange(1, 201), 8, seed=seed)
-        plain = "".join(map(str, text))
+    for symbols, depth in ((5, 8), (3, 13), (40_000, 13)):
+        text = rng.integers(1, symbols, 300)
+        text[200:260] = text[100:160]
+        text[::37] = 0
+        payload = rng.integers(0, 1000, 300)
+        index = FMIndex(text, depth, payload)
+        queries = np.concatenate([rng.integers(1, symbols + 1, 100), text[90:190]])
+        length, low, high = index.search(queries, np.arange(1, 201), depth)
+        chars = lambda x: "".join(chr(0x4E00 + v) for v in x)
+        plain, asked, full = chars(text), chars(queries), 0
         for e in range(1, 201):
-            best = max(n for n in range(0, min(8, e) + 1) if n == 0 or "".join(map(str, queries[e - n : e])) in plain)
+            best = max(n for n in range(0, min(depth, e) + 1) if n == 0 or (asked[e - n : e] in plain and 0 not in queries[e - n : e]))
             assert length[e - 1] == best
-            if best:
-                want = sorted(k for k in range(len(text)) if plain.startswith("".join(map(str, queries[e - best : e])), k))
-                assert sorted(index.suffix[low[e - 1] : high[e - 1]].tolist()) == want
+            where = [k for k in range(len(text)) if best and plain.startswith(asked[e - best : e], k)]
+            assert not best or high[e - 1] - low[e - 1] == len(where)
+            if best == depth:
+                full += 1
+                assert index.least_of(low[e - 1 : e])[0] == min(payload[k] for k in where)
+        assert full
 
 
 def brute_substrings(docs, n=13):
@@ -232,7 +265,7 @@ def test_no_shard_grows_with_a_frequent_phrase(spark, monkeypatch):
     for i in range(400):
         around = [[f"a{rng.integers(0, 4)}" if i % 3 else f"b{i}x{k}" for k in range(9)] for _ in range(2)]
         docs.append((i, " ".join([*around[0], *phrase, *around[1]])))
-    plain = substring_dedup._owners
+    plain = substring_dedup._owned
 
     def spied(window):
         run = plain(window)
@@ -244,7 +277,7 @@ def test_no_shard_grows_with_a_frequent_phrase(spark, monkeypatch):
 
         return counted
 
-    monkeypatch.setattr(substring_dedup, "_owners", spied)
+    monkeypatch.setattr(substring_dedup, "_owned", spied)
     monkeypatch.setattr(substring_dedup, "FP_PASSAGES", 20, raising=False)
     monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", 50)
     got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
