@@ -2,13 +2,14 @@
 
 A text is cut into overlapping chunks that cover all of it.  Each byte is a learned
 embedding plus one flag, whether the eight bytes from it on stand again at a short
-distance.  Learned filters run over the chunks; each filter's activation is max-pooled
+distance (README has the accuracy without it).  Learned filters run over the chunks; each filter's activation is max-pooled
 in a chunk, and the chunk vectors are combined by their maximum and mean into one
 probability.  Because of the max-pooling a gradient reaches one position per filter and
 chunk, which keeps training cheap.
 
-The network is trained on at most ``TRAIN_DOCS`` labelled documents and, of each, at
-most ``TRAIN_CHUNKS`` chunks spread over the text.  Scores use every chunk of a text.
+The network is trained on a bounded sample of labelled documents, at most ``TRAIN_DOCS``
+and at most ``TRAIN_BYTES`` of whole chunks, which are cut in tasks.  Training and
+scores use every chunk of a text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import table
@@ -26,32 +27,26 @@ from barloom.llm.words import ragged_ranges, row_slices, text_buffer
 CHUNK, OVERLAP = 512, 64
 EMBED, WIDTH, STRIDE, FILTERS = 7, 8, 2, 24
 LAGS = range(2, 24)
-TRAIN_DOCS, TRAIN_CHUNKS = 3000, 16
+TRAIN_DOCS, TRAIN_BYTES = 3000, 64 << 20
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 CHUNKS_AT_ONCE = 512
 
 
-def cut_chunks(data: np.ndarray, at: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Chunks as rows of CHUNK bytes (zeros behind a text's end), and their documents.
-
-    An empty text has one chunk of zeros.  ``most`` keeps that many chunks of a text,
-    evenly spread.
-    """
+def chunk_starts(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each chunk begins, and its document; an empty text has one chunk."""
     step = CHUNK - OVERLAP
-    sizes = np.diff(at)
-    count = np.maximum(1, -(-(sizes - OVERLAP) // step))
-    doc = np.repeat(np.arange(len(sizes)), count)
-    nth = ragged_ranges(np.zeros(len(sizes), np.int64), count)
-    if most is not None:
-        used = np.minimum(count, most)
-        nth = ragged_ranges(np.zeros(len(sizes), np.int64), used)
-        doc = np.repeat(np.arange(len(sizes)), used)
-        nth = nth * count[doc] // used[doc]
-    begin = at[doc] + nth * step
-    index = begin[:, None] + np.arange(CHUNK)
-    inside = index < at[doc + 1][:, None]
-    padded = np.append(data, np.uint8(0))
-    return np.where(inside, padded[np.minimum(index, len(data))], np.uint8(0)), doc
+    count = np.maximum(1, -(-(np.diff(at) - OVERLAP) // step))
+    doc = np.repeat(np.arange(len(count)), count)
+    return at[doc] + ragged_ranges(np.zeros(len(count), np.int64), count) * step, doc
+
+
+def cut_chunks(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Rows of CHUNK bytes from each beginning on; zeros stand behind the end of the text."""
+    padded = np.append(data, np.zeros(CHUNK, np.uint8))
+    out = np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[begin].copy()
+    short = np.flatnonzero(end - begin < CHUNK)
+    out[short] *= np.arange(CHUNK) < (end - begin)[short, None]
+    return out
 
 
 def repeat_flags(chunks: np.ndarray) -> np.ndarray:
@@ -111,8 +106,11 @@ class Network:
         return features, _sigmoid(features @ self.out + self.prior[0])
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        chunks, doc = cut_chunks(*text_buffer(texts))
-        return self.combine(self.pooled(chunks)[0], doc)[1].astype(np.float64)
+        data, at = text_buffer(texts)
+        begin, doc = chunk_starts(at)
+        parts = range(0, len(begin), CHUNKS_AT_ONCE)  # so that a very long text costs no more memory than others
+        pooled = [self.pooled(cut_chunks(data, begin[k : k + CHUNKS_AT_ONCE], at[doc[k : k + CHUNKS_AT_ONCE] + 1]))[0] for k in parts]
+        return self.combine(np.concatenate(pooled), doc)[1].astype(np.float64)
 
     def gradients(self, chunks: np.ndarray, doc: np.ndarray, label: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         pooled, places = self.pooled(chunks)
@@ -140,8 +138,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
-    """Adam on class-balanced log loss; without rows of both labels, the share of ones."""
+def train(cut: list[np.ndarray], labels: list[int], seed: int = 5) -> Network:
+    """Adam on class-balanced log loss over documents' chunks; without rows of both labels, the share of ones."""
     net, label = Network.fresh(), np.array(labels, dtype=np.float32)
     if not len(label) or label.min() == label.max():
         net.out[:] = 0
@@ -150,7 +148,6 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Network:
     rng = np.random.default_rng(seed)
     share = label.mean()
     weights = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    cut = [cut_chunks(*text_buffer(pa.array([t])), most=TRAIN_CHUNKS)[0] for t in texts]
     first, second = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()]
     step, steps = 0, EPOCHS * -(-len(label) // BATCH)
     for _ in range(EPOCHS):
@@ -178,24 +175,47 @@ def _score(model):
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOCS) -> DataFrame:
-    """At most ``most`` labelled documents that are not held out, taken by a hash of the id."""
+def _chunked(batches):
+    """Labelled rows to the chunks of each text, as bytes."""
+    for batch in batches:
+        texts = batch.column("text")
+        for a, b in row_slices(texts, 1 << 22):
+            data, at = text_buffer(texts.slice(a, b - a))
+            begin, doc = chunk_starts(at)
+            chunks = cut_chunks(data, begin, at[doc + 1])
+            first = np.searchsorted(doc, np.arange(b - a + 1))
+            part = batch.slice(a, b - a)
+            rows = pa.array([chunks[x:y].tobytes() for x, y in zip(first, first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("place"), part.column("label"), rows], names=["place", "label", "chunks"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """place, label and chunks of labelled documents that are not held out.
+
+    Rows are taken in the order of a hash of their text (place), at most ``most`` and as
+    many as have ``most_bytes`` together; sizes are summed before any text is moved.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `most` rows of two numbers
+    known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "label").limit(2 * most)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # 2 * `most` rows of two numbers
+    rows = rows.select(F.xxhash64("text").alias("place"), "label", "text")
+    sizes = rows.select("place", F.octet_length("text").alias("size")).orderBy("place").limit(most)
+    total = F.sum(F.col("size") + CHUNK).over(Window.orderBy("place"))  # `most` rows
+    last = sizes.withColumn("total", total).where(F.col("total") <= most_bytes).agg(F.max("place").alias("last")).first()["last"]
+    return rows.where(F.col("place") <= F.lit(last).cast("long")).mapInArrow(_chunked, "place long, label int, chunks binary")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     held_out is crc32(doc_id as text) mod 5 = 0; the network never sees labels of such
-    rows.  Its only input is the text.  Null and empty texts score as a chunk of zeros.
-    Rows that repeat get the same score.  Without labels of both kinds every text gets
+    rows.  Its only input is the text.  Null and empty texts score as a chunk of zeros,
+    very long ones by all their chunks, some at a time.  Rows that repeat get the same score.  Without labels of both kinds every text gets
     one score.  A null doc_id counts as not held out.  Other columns are ignored.
     """
-    rows = training_rows(docs, labels, label).where(F.col("text").isNotNull()).collect()
-    rows = sorted(((r["doc_id"], r["text"], r["label"]) for r in rows))[:TRAIN_DOCS]
-    model = docs.sparkSession.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
+    rows = sorted(training_rows(docs, labels, label).collect(), key=lambda r: (r["place"], r["label"]))  # TRAIN_BYTES at most, and copies of the last row
+    cut = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows]
+    model = docs.sparkSession.sparkContext.broadcast(train(cut, [r["label"] for r in rows]))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -3,9 +3,11 @@
 Every document gets integer measures.  Their distribution in each (lang, source) is kept
 in a quantile sketch: counts per logarithmic bucket with 16 steps an octave, so a
 quantile is off by 1/16 at most.  Sketches merge by adding counts, which gives those of
-a language and of everything, used where a group is small.  A cutoff is the upper
-quartile plus four times the spread of the quartiles, and never below a floor that
-ordinary prose keeps far from.  Documents are then filtered by a join with the cutoffs.
+a language and of everything.  The quartiles of a group are drawn towards its language's,
+and those towards everything's, by the weight of PRIOR documents, so small groups lean on
+their parents and large ones hardly do.  A cutoff lies some spreads beyond a quartile; a
+spread is the distance of the quartiles, or the least spread of a measure where nearly
+all documents have the same value.  Documents are then filtered by a join with the cutoffs.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from pyspark.sql import functions as F
 from barloom.llm.common import saved, table
 from barloom.llm.words import NON_SPACE, byte_hashes, row_slices, split_words, window_hashes
 
-#: Measure to the least cutoff it may get; shares are in thousandths, the length of words in tenths of a character.
-FLOORS = {"symbols_pm": 100, "dup_lines_pm": 400, "repeats_pm": 350, "upper_pm": 500, "bangs_pm": 80, "word_len": 150}
-#: Groups of fewer documents use the cutoffs of their language, and then of everything.
-LEAST_GROUP = 50
-SPREADS = 4
+#: Measure to how many spreads beyond the quartile its cutoff lies, and the least spread; shares are in thousandths, the length of words in tenths of a character.
+FENCES = {"symbols_pm": (4, 5), "dup_lines_pm": (20, 15), "repeats_pm": (20, 10), "upper_pm": (6, 3), "bangs_pm": (4, 5), "word_len": (4, 2)}
+#: Measures that have a lower cutoff too.
+BOTH_SIDES = ["word_len"]
+#: Documents that a parent's quartiles count for in a group's.
+PRIOR = 50
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_chars")
 
@@ -130,22 +133,36 @@ def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def cutoffs(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group: its number of documents and the cutoff of each measure."""
+def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group: its number of documents, and q1_<measure> and q3_<measure>."""
     run = Window.partitionBy(*by, "measure").orderBy("bucket")
     steps = sketches.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy(*by, "measure")))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket")))
-    per = steps.groupBy(*by, "measure").agg(F.max("total").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
-    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv]), F.col("measure"))
-    per = per.select(*by, "docs", "measure", F.greatest(floor.cast("long"), F.col("q3") + SPREADS * (F.col("q3") - F.col("q1"))).alias("cut"))
-    return per.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, F.col("cut"))).alias(m) for m in FLOORS])
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (F.col("upto") * 4 >= F.col("total") * q), F.col("bucket")))
+    return steps.groupBy(*by).agg(F.max("total").alias("docs"), *[at(m, q).alias(f"q{q}_{m}") for m in FENCES for q in (1, 3)])
+
+
+def drawn(own: str, parent: str, value: str) -> str:
+    """SQL of a group's quartile drawn towards its parent's."""
+    return f"({own}.docs * {own}.{value} + {PRIOR} * {parent}) div ({own}.docs + {PRIOR})"
+
+
+def cutoffs(sketches: DataFrame) -> DataFrame:
+    """(lang, source) to the struct cut: upper_<measure>, and lower_<measure> where there is one."""
+    fine = quartiles(sketches, ["lang", "source"]).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct("*").alias("own"))
+    coarse = quartiles(merge_sketches(sketches, ["lang"]), ["lang"]).select("lang", F.struct("*").alias("lang_"))
+    whole = quartiles(merge_sketches(sketches.withColumn("one", F.lit(0)), ["one"]), ["one"]).select("one", F.struct("*").alias("all_"))
+    joined = fine.join(coarse, F.col("g_lang").eqNullSafe(F.col("lang"))).withColumn("one", F.lit(0)).join(F.broadcast(whole), "one")  # one row
+    value = {f"q{q}_{m}": F.expr(drawn("own", drawn("lang_", f"all_.q{q}_{m}", f"q{q}_{m}"), f"q{q}_{m}")) for m in FENCES for q in (1, 3)}
+    reach = {m: k * F.greatest(value[f"q3_{m}"] - value[f"q1_{m}"], F.lit(least)) for m, (k, least) in FENCES.items()}
+    cuts = [(value[f"q3_{m}"] + reach[m]).alias(f"upper_{m}") for m in FENCES] + [(value[f"q1_{m}"] - reach[m]).alias(f"lower_{m}") for m in BOTH_SIDES]
+    return joined.select("g_lang", "g_source", F.struct(*cuts).alias("cut"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, base counts, base_failed, kept, failed_rule.
 
     base_failed: fewer than 50 words, or more than half of the words in repeated
-    three-word windows.  Others are kept if no measure is above its cutoff; failed_rule
+    three-word windows.  Others are kept if no measure is beyond its cutoff; failed_rule
     names the first that is.  Quantiles are of all documents that pass the base.
 
     Null texts have no words and fail the base.  A null lang or source is a group of its
@@ -158,14 +175,9 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     counted = saved(docs.mapInArrow(_count, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in _COUNTS)))
     judged = counted.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumns(measures())
     sketches = saved(quantile_sketches(judged.where(~F.col("base_failed")), ["lang", "source"]))
-    fine = cutoffs(sketches, ["lang", "source"])
-    coarse = cutoffs(merge_sketches(sketches, ["lang"]), ["lang"]).select(F.col("lang").alias("lang_"), F.struct("docs", *FLOORS).alias("of_lang"))
-    whole = cutoffs(merge_sketches(sketches.withColumn("all_", F.lit(0)), ["all_"]), ["all_"]).select("all_", F.struct(*FLOORS).alias("of_all"))
-    chosen = fine.join(coarse, F.col("lang").eqNullSafe(F.col("lang_"))).withColumn("all_", F.lit(0)).join(F.broadcast(whole), "all_")  # one row
-    pick = lambda m: F.when(F.col("docs") >= LEAST_GROUP, F.col(m)).when(F.col("of_lang.docs") >= LEAST_GROUP, F.col(f"of_lang.{m}")).otherwise(F.col(f"of_all.{m}"))
-    chosen = saved(chosen.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct(*[pick(m).alias(m) for m in FLOORS]).alias("cut")))
+    chosen = saved(cutoffs(sketches))
     joined = judged.join(chosen, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    failed = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *[F.when(F.col(m) > F.col(f"cut.{m}"), F.lit(m)) for m in FLOORS])
+    failed = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *[F.when(F.col(m) > F.col(f"cut.upper_{m}"), F.lit(m)) for m in FENCES], *[F.when(F.col(m) < F.col(f"cut.lower_{m}"), F.lit(m)) for m in BOTH_SIDES])
     return joined.select("doc_id", *_COUNTS, "base_failed", failed.isNull().alias("kept"), failed.alias("failed_rule"))
 
 
@@ -175,7 +187,19 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
 
 
-_M = list(FLOORS)
+_M = list(FENCES)
+_Q = [f"q{q}_{m}" for m in FENCES for q in (1, 3)]
+
+
+def _cuts_sql() -> str:
+    """Quartiles drawn towards the parents, then the cutoffs."""
+    level = lambda own, parent, v: f"(({own}.docs * {own}.{v} + {PRIOR} * {parent}) // ({own}.docs + {PRIOR}))"
+    drawn_ = ", ".join(f"{level('a', level('b', f'c.{v}', v), v)} AS {v}" for v in _Q)
+    upper = ", ".join(f"q3_{m} + {k} * greatest(q3_{m} - q1_{m}, {least}) AS upper_{m}" for m, (k, least) in FENCES.items())
+    lower = ", ".join(f"q1_{m} - {FENCES[m][0]} * greatest(q3_{m} - q1_{m}, {FENCES[m][1]}) AS lower_{m}" for m in BOTH_SIDES)
+    return f"z AS (SELECT a.lang, a.source, {drawn_} FROM e a JOIN e b ON a.lang IS NOT DISTINCT FROM b.lang AND b.k = 1 JOIN e c ON c.k = 2 WHERE a.k = 0), x AS (SELECT lang, source, {upper}, {lower} FROM z)"
+
+
 #: The same rows in one statement.
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -195,12 +219,9 @@ v AS (SELECT lang, source, unnest({_M}) AS measure, unnest([{", ".join(_M)}]) AS
 b AS (SELECT lang, source, measure, CASE WHEN value < 32 THEN value ELSE (value >> (length(bin(value)) - 5)) << (length(bin(value)) - 5) END AS bucket FROM v),
 s AS (SELECT 0 AS k, lang, source, measure, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, measure, bucket, count(*) FROM b GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, measure, bucket, count(*) FROM b GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY k, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY k, lang, source, measure) AS total FROM s),
-q AS (SELECT k, lang, source, measure, max(total) AS docs, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM u GROUP BY ALL),
-f AS (SELECT k, lang, source, measure, docs, greatest(MAP {{{", ".join(f"'{k}': {x}" for k, x in FLOORS.items())}}}[measure], q3 + {SPREADS} * (q3 - q1)) AS cut FROM q),
-e AS (SELECT k, lang, source, max(docs) AS docs, {", ".join(f"max(cut) FILTER (measure = '{m}') AS {m}" for m in _M)} FROM f GROUP BY ALL),
-x AS (SELECT a.lang, a.source, {", ".join(f"CASE WHEN a.docs >= {LEAST_GROUP} THEN a.{m} WHEN b.docs >= {LEAST_GROUP} THEN b.{m} ELSE c.{m} END AS c_{m}" for m in _M)}
-      FROM e a JOIN e b ON a.lang IS NOT DISTINCT FROM b.lang AND b.k = 1 JOIN e c ON c.k = 2 WHERE a.k = 0),
-y AS (SELECT j.*, CASE WHEN base_failed THEN 'base' {" ".join(f"WHEN {m} > c_{m} THEN '{m}'" for m in _M)} END AS failed_rule
+e AS (SELECT k, lang, source, max(total) AS docs, {", ".join(f"min(bucket) FILTER (measure = '{m}' AND upto * 4 >= total * {q}) AS q{q}_{m}" for m in _M for q in (1, 3))} FROM u GROUP BY ALL),
+{_cuts_sql()},
+y AS (SELECT j.*, CASE WHEN base_failed THEN 'base' {" ".join(f"WHEN {m} > upper_{m} THEN '{m}'" for m in _M)} {" ".join(f"WHEN {m} < lower_{m} THEN '{m}'" for m in BOTH_SIDES)} END AS failed_rule
       FROM j LEFT JOIN x ON j.lang IS NOT DISTINCT FROM x.lang AND j.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM y
 """

@@ -1,13 +1,14 @@
 """Toxicity by a chain of linear classifiers.
 
 A document is the set of hashed words and word beginnings it has.  Of these, the ones
-that occur far more often in labelled toxic documents are the features.  The chain
-predicts one category after the other; each model also gets the probabilities of all
-earlier categories.  In training these are out-of-fold predictions, so a later model
+that occur far more often in labelled documents of a category are the features.  The
+chain predicts one category after the other; each model also gets the probabilities of
+all earlier categories.  In training these are out-of-fold predictions, so a later model
 sees earlier ones as wrong as they will be on new documents.
 
-Categories may be given as label columns.  From a single ``toxic`` label the chain
-derives how much of the abusive vocabulary a toxic document has, light use first.
+Folds are dealt by the text, so copies share one, and the features of a fold's model are
+chosen without the fold.  Categories are label columns; the registered query has the two
+that are labelled, poor (quality 0) and then toxic.
 
 At most ``TRAIN_DOCS`` labelled documents are used to learn; every document is scored,
 on its whole text.
@@ -16,17 +17,18 @@ on its whole text.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import saved, spread, table
+from barloom.llm.common import release, saved, spread, table
 from barloom.llm.words import ALNUM, U64, byte_hashes, row_slices, signed, split_words
 
 TRAIN_DOCS = 20_000
-#: Features kept, the least toxic documents each must be in, and how many times likelier there.
+#: Features kept for each category, the least documents of it each must be in, and how many times likelier there.
 FEATURES, LEAST_DOCS, LEAST_LIFT = 384, 3, 8.0
 #: Bytes of a word's beginning that are features of their own, besides the word.
 BEGINNINGS = (4, 5, 6, 7)
@@ -53,15 +55,22 @@ def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[new], docs[new]
 
 
-def _tally(batches):
-    """Feature hash to documents and toxic documents of a part of the training rows."""
-    for batch in batches:
-        texts, toxic = batch.column("text"), batch.column("label").to_numpy(zero_copy_only=False)
-        for a, b in row_slices(texts, 1 << 22):
-            hashes, docs = _distinct(*text_features(texts.slice(a, b - a)))
-            uniq, code = np.unique(hashes, return_inverse=True)
-            bad = np.bincount(code, toxic[a:b][docs], len(uniq)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(uniq)), pa.array(np.bincount(code, minlength=len(uniq)).astype(np.int64)), pa.array(bad)], names=["f", "n", "bad"])
+def _tally(categories: int):
+    """Feature hash and fold to the documents of a part of the training rows, all and by category."""
+
+    def run(batches):
+        for batch in batches:
+            texts, fold = batch.column("text"), batch.column("fold").to_numpy()
+            labels = [batch.column(f"y{k}").to_numpy(zero_copy_only=False) for k in range(categories)]
+            for a, b in row_slices(texts, 1 << 22):
+                hashes, docs = _distinct(*text_features(texts.slice(a, b - a)))
+                for f in np.unique(fold[a:b]):
+                    inside = fold[a:b][docs] == f
+                    uniq, code = np.unique(hashes[inside], return_inverse=True)
+                    counts = [np.bincount(code, minlength=len(uniq))] + [np.bincount(code, y[a:b][docs[inside]], len(uniq)) for y in labels]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(uniq)), pa.array(np.full(len(uniq), f, np.int32)), *[pa.array(c.astype(np.int64)) for c in counts]], names=["f", "fold", "n", *[f"b{k}" for k in range(categories)]])
+
+    return run
 
 
 def _present(features: np.ndarray, texts: pa.Array) -> np.ndarray:
@@ -74,14 +83,14 @@ def _present(features: np.ndarray, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def _vectors(features: np.ndarray):
+def _vectors(features: np.ndarray, names: list[str]):
     def run(batches):
         for batch in batches:
             texts = batch.column("text")
             for a, b in row_slices(texts, 1 << 22):
                 part = batch.slice(a, b - a)
                 rows = [np.flatnonzero(x).astype(np.int32) for x in _present(features, texts.slice(a, b - a))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "label", "at"])
+                yield part.select(names).append_column("at", pa.array(rows, pa.list_(pa.int32())))
 
     return run
 
@@ -128,26 +137,29 @@ class Chain:
         return np.stack(out, axis=1).astype(np.float64)
 
 
-def fit_chain(features: np.ndarray, names: list[str], x: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_chain(features: np.ndarray, names: list[str], x: np.ndarray, labels: np.ndarray, fold: np.ndarray, chosen: np.ndarray | None = None) -> Chain:
     """Models in order; inputs of a later one are out-of-fold probabilities of the earlier.
 
+    ``chosen`` says which features each fold's model may use and, last, the final one.
     Rows that are alike in features, labels and fold are one row with a weight: most
     documents have no feature at all.
     """
-    alike = np.concatenate([x, labels.astype(np.float32), fold[:, None].astype(np.float32)], axis=1)
+    chosen = np.ones((FOLDS + 1, len(features)), dtype=bool) if chosen is None else chosen
+    alike = np.concatenate([np.packbits(x > 0, axis=1), labels.astype(np.uint8), fold[:, None].astype(np.uint8)], axis=1)
     _, first, weight = np.unique(alike, axis=0, return_index=True, return_counts=True) if len(x) else (None, np.zeros(0, np.int64), np.zeros(0))
     x, labels, fold, weight = x[first], labels[first], fold[first], weight.astype(np.float64)
-    weights, unseen = [], np.zeros(len(x))
+    weights, unseen, earlier = [], np.zeros(len(x)), np.zeros((len(x), 0), np.float32)
     for k in range(len(names)):
         y = labels[:, k]
         unseen = np.zeros(len(y))
         for f in range(FOLDS):
             inner = fold != f
             if inner.any() and not inner.all():
-                unseen[~inner] = apply_linear(fit_linear(x[inner], y[inner], weight[inner]), x[~inner])
-        weights.append(fit_linear(x, y, weight))
-        x = np.concatenate([x, unseen[:, None].astype(np.float32)], axis=1)
-    return Chain(features, names, weights, best_threshold(unseen, labels[:, -1], weight) if len(labels) else 0.5)
+                some = np.concatenate([x[:, chosen[f]], earlier], axis=1)
+                unseen[~inner] = apply_linear(fit_linear(some[inner], y[inner], weight[inner]), some[~inner])
+        weights.append(fit_linear(np.concatenate([x[:, chosen[-1]], earlier], axis=1), y, weight))
+        earlier = np.concatenate([earlier, unseen[:, None].astype(np.float32)], axis=1)
+    return Chain(features[chosen[-1]], names, weights, best_threshold(unseen, labels[:, -1], weight) if len(labels) else 0.5)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
@@ -162,35 +174,45 @@ def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(p) else 0)) / 2)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, label: str = "toxic") -> Chain:
-    """The chain for label columns ``categories``, or for light, heavy and any use of abuse."""
-    spark = docs.sparkSession
-    columns = categories or [label]
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y{k}") for k, c in enumerate(columns)], F.col(columns[-1]).cast("int").alias("label"))
-    known = known.where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "label").limit(TRAIN_DOCS)
-    rows = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id"))  # TRAIN_DOCS rows of numbers
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
-    tally = rows.select("text", "label").mapInArrow(_tally, "f long, n long, bad long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    lift = ((F.col("bad") + 0.5) / (total["bad"] + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (total["n"] - total["bad"] + 1))
-    top = tally.where(F.col("bad") >= LEAST_DOCS).withColumn("lift", lift).where(F.col("lift") >= LEAST_LIFT)
-    top = top.orderBy(F.desc(F.col("bad") * F.log("lift")), "f").limit(FEATURES).select("f").collect()  # FEATURES numbers
-    features = np.sort(np.array([r["f"] for r in top] or [0], dtype=np.int64).view(U64))
-    got = rows.select("doc_id", "text", "label").mapInArrow(_vectors(features), "doc_id long, label int, at array<int>")
-    if categories:
-        got = got.join(rows.select("doc_id", *[f"y{k}" for k in range(len(columns))]).distinct(), "doc_id")
-    got = sorted(got.limit(2 * TRAIN_DOCS).collect(), key=lambda r: (r["doc_id"], r["label"], r["at"]))  # a few feature numbers a row
+def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Chain:
+    """The chain for label columns ``categories``; the last one must be known, others count as 0 where they are not."""
+    spark, k = docs.sparkSession, len(categories)
+    ys = [f"y{i}" for i in range(k)]
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(categories[-1]).isNotNull())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(y) for c, y in zip(categories, ys)])
+    known = known.orderBy(F.xxhash64("doc_id"), *ys).limit(TRAIN_DOCS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # TRAIN_DOCS rows of numbers
+    rows = saved(rows.select(F.xxhash64("text").alias("tkey"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), *ys, "text"))
+    totals = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).collect()}  # FOLDS rows
+    features, chosen = _features(rows, totals, k)
+    got = rows.mapInArrow(_vectors(features, ["tkey", "fold", *ys]), "tkey long, fold int, " + ", ".join(f"{y} int" for y in ys) + ", at array<int>")
+    got = sorted(got.limit(2 * TRAIN_DOCS).collect(), key=lambda r: (r["tkey"], *[r[y] for y in ys]))  # a few feature numbers a row
     x = np.zeros((len(got), len(features)), dtype=np.float32)
-    for k, r in enumerate(got):
-        x[k, r["at"]] = 1
-    y = np.array([r["label"] for r in got], dtype=np.float64)
-    if categories:
-        names, labels_ = list(categories), np.array([[r[f"y{k}"] for k in range(len(columns))] for r in got], dtype=np.float64).reshape(-1, len(columns))
-    else:
-        some = x.sum(axis=1)
-        middle = np.median(some[y == 1]) if (y == 1).any() else 0
-        names, labels_ = ["light", "heavy", label], np.stack([(y == 1) & (some > 0), (y == 1) & (some > middle), y == 1], axis=1).astype(np.float64)
-    fold = np.arange(len(got)) % FOLDS
-    return fit_chain(features, names, x, labels_.reshape(len(got), len(names)), fold)
+    for i, r in enumerate(got):
+        x[i, r["at"]] = 1
+    label = np.array([[r[y] for y in ys] for r in got], dtype=np.float64).reshape(len(got), k)
+    return fit_chain(features, list(categories), x, label, np.array([r["fold"] for r in got], dtype=np.int64), chosen)
+
+
+def _features(rows: DataFrame, totals: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature hashes, and which of them are chosen without each fold and, last, from all rows."""
+    tally = rows.mapInArrow(_tally(k), "f long, fold int, n long, " + ", ".join(f"b{i} long" for i in range(k))).groupBy("f", "fold").agg(*[F.sum(c).alias(c) for c in ["n", *[f"b{i}" for i in range(k)]]])
+    per = tally.groupBy("f").agg(*[F.coalesce(F.sum(F.when(F.col("fold") == j, F.col(c))), F.lit(0)).alias(f"{c}_{j}") for c in ["n", *[f"b{i}" for i in range(k)]] for j in range(FOLDS)])
+    enough = [F.expr(" + ".join(f"b{i}_{j}" for j in range(FOLDS))) >= LEAST_DOCS for i in range(k)]
+    per = saved(per.where(reduce(lambda a, b: a | b, enough)))
+    found = []
+    for view in range(FOLDS + 1):
+        inside, best = [j for j in range(FOLDS) if j != view], set()
+        total = {c: sum(totals[j][c] for j in inside if j in totals) for c in ["n", *[f"y{i}" for i in range(k)]]}
+        for i in range(k):
+            n, bad = (F.expr(" + ".join(f"{c}_{j}" for j in inside)) for c in ("n", f"b{i}"))
+            lift = ((bad + 0.5) / (total[f"y{i}"] + 1)) / ((n - bad + 0.5) / (total["n"] - total[f"y{i}"] + 1))
+            top = per.select("f", bad.alias("bad"), lift.alias("lift")).where((F.col("bad") >= LEAST_DOCS) & (F.col("lift") >= LEAST_LIFT))
+            best |= {r["f"] for r in top.orderBy(F.desc(F.col("bad") * F.log("lift")), "f").limit(FEATURES).select("f").collect()}  # FEATURES numbers
+        found.append(np.array(sorted(best), dtype=np.int64).view(U64))
+    release(per)
+    features = np.unique(np.concatenate([*found, np.zeros(1, U64)]))
+    return features, np.stack([np.isin(features, f) | (features == 0) for f in found])
 
 
 def _score(chain):
@@ -208,20 +230,26 @@ def _score(chain):
 def score_toxicity(docs: DataFrame, labels: DataFrame, categories: list[str] | None = None, label: str = "toxic", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, p_<category> in chain order, toxic.
 
-    toxic is whether the last probability reaches the threshold that had the best F1 on
+    ``categories`` are columns of ``labels`` (the one ``label`` if not given); toxic is
+    whether the last one's probability reaches the threshold that had the best F1 on
     out-of-fold predictions.  Null and empty texts have no features: they get the
     intercepts' probabilities.  Rows that repeat score alike.  Null labels and ids are not
     learned from; without labels of both kinds all documents get the more frequent
     answer.  Labels are found by doc_id; the doc_id of the result is the column ``key``.
     Other columns are ignored, whatever their names.
     """
-    chain = train_chain(docs, labels, categories, label)
+    chain = train_chain(docs, labels, categories or [label])
     model = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES hashes and weights
     schema = "doc_id long, " + ", ".join(f"p_{n} double" for n in chain.names)
     scored = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), schema)
     return scored.withColumn("toxic", F.col(f"p_{chain.names[-1]}") >= chain.threshold)
 
 
+def score_with_table_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The chain of the two categories that the table ``labels`` has: poor and then toxic."""
+    return score_toxicity(docs, labels.select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic"), ["poor", "toxic"], key=key)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Toxicity of whole ``documents``, learned from ``labels.toxic``."""
-    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Toxicity of whole ``documents``, learned from ``labels``."""
+    return score_with_table_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

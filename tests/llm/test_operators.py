@@ -1,10 +1,12 @@
 """The numbered operators against brute force, SQL, round trips and held-out labels."""
 
 import collections
+import gzip
 import hashlib
 import os
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -201,6 +203,17 @@ def test_quality_rules_on_odd_rows(odd_docs, no_docs):
     assert by[1]["kept"] and by[10]["kept"]
 
 
+def test_cutoffs_follow_the_group(spark):
+    """The same text passes where its measure is usual and fails where it is not."""
+    rng = np.random.default_rng(4)
+    text = lambda length, k: " ".join("".join(rng.choice(list("abcdefghij"), length + (j + k) % 2)) for j in range(80))
+    rows = [(k, text(4, k), "xx", "short") for k in range(300)] + [(1000 + k, text(12, k), "xx", "long") for k in range(300)]
+    rows += [(5000, text(12, 7), "xx", "short"), (5001, text(12, 7), "xx", "long"), (5002, text(4, 9), "xx", "long")]
+    got = {r["doc_id"]: r["failed_rule"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[5000] == "word_len" and got[5001] is None and got[5002] == "word_len"
+    assert sum(v is not None for k, v in got.items() if k < 5000) == 0
+
+
 def test_sketches_merge(spark):
     docs = table(spark, SF, "documents").mapInArrow(quality_rules._count, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in quality_rules._COUNTS)).withColumns(quality_rules.measures())
     fine = quality_rules.merge_sketches(quality_rules.quantile_sketches(docs, ["lang", "source"]), ["lang"])
@@ -295,10 +308,23 @@ def test_toxicity_on_labels(spark, odd_docs, no_docs):
     assert sum(a == 1 and b for a, b in pairs) >= 0.7 * sum(a == 1 for a, _ in pairs)
     assert sum(a == 0 and b for a, b in pairs) <= 0.02 * len(pairs)
     out = toxicity.score_toxicity(odd_docs, labels.limit(0))
-    assert out.columns == ["doc_id", "p_light", "p_heavy", "p_toxic", "toxic"] and out.count() == odd_docs.count()
+    assert out.columns == ["doc_id", "p_toxic", "toxic"] and out.count() == odd_docs.count()
     assert toxicity.score_toxicity(no_docs, labels).count() == 0
 
 
+def test_toxicity_of_held_out_labels(spark):
+    sf = os.environ.get("TEST_LABEL_DIR", "/root/testdata/sf0.1")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    texts = docs.join(labels.where(held), "doc_id").select("text").distinct()
+    seen = docs.join(texts, "text", "left_anti").join(labels.where(~held), "doc_id")  # no copy of a held-out text
+    scored = toxicity.score_with_table_labels(docs, seen.select("doc_id", "quality", "toxic"))
+    pairs = [(r["truth"], r["toxic"]) for r in scored.join(labels.where(held).select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()]
+    caught, false = sum(a == 1 and b for a, b in pairs), sum(a == 0 and b for a, b in pairs)
+    print("held-out toxic", caught, "of", sum(a == 1 for a, _ in pairs), "false", false, "of", sum(a == 0 for a, _ in pairs))
+    assert caught >= 0.7 * sum(a == 1 for a, _ in pairs) and false <= 0.01 * len(pairs)
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     x = (rng.random((400, 3)) < 0.5).astype(np.float32)
@@ -323,7 +349,9 @@ def test_quality_network_on_held_out_rows(spark, odd_docs, no_docs):
 
 def test_chunks_cover_every_byte():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
-        chunks, doc = quality_cnn.cut_chunks(np.full(n, 7, np.uint8), np.array([0, n]))
+        begin, doc = quality_cnn.chunk_starts(np.array([0, n]))
+        chunks = quality_cnn.cut_chunks(np.full(n, 7, np.uint8), begin, np.full(len(begin), n))
+        assert (chunks == 7).sum() == np.minimum(n - begin, quality_cnn.CHUNK).sum()
         step = quality_cnn.CHUNK - quality_cnn.OVERLAP
         assert len(doc) >= 1 and (len(doc) - 1) * step + quality_cnn.CHUNK >= n and (n == 0 or (chunks == 7).any(axis=1).all())
 
@@ -344,7 +372,9 @@ def test_derivatives(spark):
     facts = rows[0]["block"]
     assert "title: T & x\r\n" in facts and "language: en\r\n" in facts and "outlink: /l?a=1&b=2\r\n" in facts
     for r in rows:
-        fields, block = warc.parse_records(r["record"])[0]
+        raw = gzip.decompress(r["record"])[7:]
+        fields, begin, end = warc.parse_record(raw)
+        block = raw[begin:end]
         assert fields["warc-refers-to"] == r["refers_to"] and fields["warc-block-digest"] == r["block_digest"] == warc.digest(block) and block.decode() == r["block"]
     assert len({r["record_id"] for r in rows}) == 8  # page 1 is there twice with one url
     assert warc.build_derivatives(warc.responses_of_pages(table(spark, SF, "pages").limit(0))).count() == 0
@@ -357,6 +387,26 @@ def test_responses_are_read_from_files(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(head + body + b"\r\n\r\n" + head.replace(b"response", b"request") + body + b"\r\n\r\n")
     rows = warc.build_derivatives(warc.read_responses(spark, str(tmp_path))).collect()
     assert len(rows) == 2 and rows[1]["block"] == "été" and rows[1]["refers_to"] == "<urn:uuid:1>"
+    inner = b"HTTP/1.1 200 OK\r\n\r\nin WARC/1.0\r\nand WARC/1.1 files"  # a block with the mark of a record, after one that is not ours
+    parts = [(b"request", b"GET / HTTP/1.1\r\n\r\n"), (b"response", inner), (b"response", body)]
+    members = [f"WARC/1.0\r\nWARC-Type: {kind.decode()}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n" for kind, block in parts]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "c.warc.gz").write_bytes(b"".join(gzip.compress(m) for m in members))
+    assert sorted(r["payload"] for r in warc.read_responses(spark, str(tmp_path / "b")).collect()) == sorted([inner.partition(b"\r\n\r\n")[2], body.partition(b"\r\n\r\n")[2]])
+
+
+@pytest.mark.parametrize("part", ["<a ", "<p ", "<html ", "<title ", "<!-- ", "<script>", '<a href="', "</", "< "])
+def test_long_pages_of_open_tags_take_linear_time(part):
+    page, began = part * (1_000_000 // len(part)), time.process_time()
+    warc.plain_text(page)
+    warc.page_facts(page, "", b"")
+    assert time.process_time() - began < 4
+
+
+def test_derivatives_ignore_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "clash", 3, b"raw")], "page_id long, url string, html string, block string, source long, payload binary")
+    made = warc.build_derivatives(warc.responses_of_pages(pages)).collect()
+    assert [r["block"] for r in made][1] == "x" and {r["source"] for r in made} == {1}
 
 
 # 7 decontamination
