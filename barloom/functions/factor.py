@@ -4,8 +4,8 @@ A factor is an ordinary Python expression over bar fields and the functions belo
 function makes a :class:`Term`, which only says what to compute; ``plans.panel`` turns
 terms into projections and windows over a panel.
 
-Missing values are NULL.  Ranks and positions compare values to nine decimals, so that rounding
-noise does not split ties.  Infinities may arise between infix operations; every named
+Missing values are NULL.  Ranks and positions compare values to twelve significant digits, so that
+rounding noise does not split ties, whatever the unit.  Infinities may arise between infix operations; every named
 function first turns them into NULL.
 """
 
@@ -98,7 +98,7 @@ def ts_cov(x, y, n): return _ts("covar_pop", n, *_both(x, y))
 def ts_corr(x, y, n):
     """Population covariance over sample deviations: Pearson's times (n - 1) / n."""
     a, b = _both(x, y)
-    return Term("el", "ratio", (_ts("covar_pop", n, a, b), ts_std(a, n), ts_std(b, n)))
+    return Term("el", "ratio", (_ts("covar_pop", n, a, b), ts_std(a, n), ts_std(b, n), ts_max(abs_(a), n), ts_max(abs_(b), n)))  # a spread below 1e-10 of the values is none
 def running(op, x): return Term("ts", f"running_{op}", (clean(x),))
 
 
@@ -123,6 +123,7 @@ def abs_(x): return Term("el", "abs", (term(x),))
 def sin(x): return Term("el", "sin", (term(x),))
 def sqrt(x): return Term("el", "sqrt", (term(x),))
 def pow_(x, p): return term(x) ** p
+def while_valid(x): return Term("el", "if_present", (clean(x), field("valid_")))  # NULL from the first bad bar of a date on
 def where(c, a, b): return Term("el", "where", (term(c), term(a), term(b)))
 
 

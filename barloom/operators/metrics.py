@@ -12,25 +12,33 @@ def ratio(a, b) -> Column:
 
 
 def sufficient(preds: DataFrame, by: list[str]) -> DataFrame:
-    """n and the nine sums over rows where prediction and label are present."""
-    p, y = F.col("pred"), F.col("label")
+    """n, means, central sums of squares and products, and sums of errors, over rows where prediction and label are present.
+
+    Central sums keep their digits where the mean is large against the spread.
+    """
+    p, y, n = F.col("pred"), F.col("label"), F.count(F.lit(1))
     rows = preds.where(p.isNotNull() & y.isNotNull())
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.sum(p * p).alias("spp"), F.sum(y * y).alias("syy"), F.sum(p * y).alias("spy"),
+        n.alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my"), (F.var_pop(p) * n).alias("cpp"), (F.var_pop(y) * n).alias("cyy"), (F.covar_pop(p, y) * n).alias("cpy"),
         F.sum(F.abs(p - y)).alias("sae"), F.sum((p - y) * (p - y)).alias("sse"), F.sum(((p > 0) == (y > 0)).cast("double")).alias("hits"),
     )
 
 
 def merge_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     """Sums of coarser groups; a new day's sums are merged into kept ones the same way."""
-    return sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("n", "sp", "sy", "spp", "syy", "spy", "sae", "sse", "hits")])
+    n = F.col("n")
+    means = sums.groupBy(*by).agg(*[(F.sum(n * F.col(m)) / F.sum(n)).alias(f"all_{m}") for m in ("mp", "my")])
+    off = {m: F.col(m) - F.col(f"all_{m}") for m in ("mp", "my")}
+    parts = {"cpp": off["mp"] * off["mp"], "cyy": off["my"] * off["my"], "cpy": off["mp"] * off["my"]}
+    return sums.join(means, by).groupBy(*by).agg(
+        F.sum("n").alias("n"), F.first("all_mp").alias("mp"), F.first("all_my").alias("my"), *[F.sum(F.col(c) + n * d).alias(c) for c, d in parts.items()], *[F.sum(c).alias(c) for c in ("sae", "sse", "hits")]
+    )
 
 
 def finalised(sums: DataFrame) -> DataFrame:
-    """Adds ic, ic_t, rmse, mae and direction_acc."""
+    """Adds ic, ic_t, rmse, mae and direction_acc.  A group without spread has no ic."""
     n = F.col("n")
-    vp, vy = F.col("spp") / n - (F.col("sp") / n) ** 2, F.col("syy") / n - (F.col("sy") / n) ** 2
-    ic = F.when((n >= 2) & (vp > 1e-18) & (vy > 1e-18), (F.col("spy") / n - F.col("sp") / n * F.col("sy") / n) / F.sqrt(vp * vy))
+    ic = F.when((n >= 2) & (F.col("cpp") > 0) & (F.col("cyy") > 0), F.col("cpy") / F.sqrt(F.col("cpp")) / F.sqrt(F.col("cyy")))
     out = sums.withColumn("ic", ic).withColumn("ic_t", F.when(F.abs("ic") < 1, F.col("ic") * F.sqrt(ratio(n - 2, 1 - F.col("ic") * F.col("ic")))))
     return out.withColumns({"rmse": F.sqrt(F.col("sse") / n), "mae": F.col("sae") / n, "direction_acc": F.col("hits") / n})
 
@@ -59,12 +67,14 @@ def rolling(daily: DataFrame, value: str, days: int, by: str = "model_name", ord
     return F.when(F.count(value).over(w) == days, F.avg(value).over(w))
 
 
-def global_rank(df: DataFrame, value: str, name: str, parts: int = 32) -> DataFrame:
+def global_rank(df: DataFrame, value: str, name: str, parts: int | None = None) -> DataFrame:
     """Average rank over all rows without one task for all: ranges, counts before each, ranks within.
 
     Rows are dealt out by range, so equal values share a partition; the counts of the
-    partitions (one short row each) give the offset of each range.
+    partitions (one short row each) give the offset of each range.  There are as many
+    ranges as the session has shuffle partitions.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, value).withColumn("part_", F.spark_partition_id())
     per = dealt.groupBy(value, "part_").agg(F.count(F.lit(1)).alias("k_"))
     inside = Window.partitionBy("part_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)

@@ -20,8 +20,8 @@ def grid(x: Column | str, digits: int = 6) -> Column:
     return F.floor(x * 10.0**digits + 0.3217).cast("double") / 10.0**digits + 0.0
 
 
-def _day(x: str = "datetime") -> Column:
-    return F.col(x).cast("date").cast("string")
+def _day(x: Column | str = "datetime") -> Column:
+    return (F.col(x) if isinstance(x, str) else x).cast("date").cast("string")
 
 
 def _day_sql(x: str = "datetime") -> str:
@@ -203,10 +203,10 @@ def _signals(spark, sf):
 _SIG = f"{bars_sql('month')}, {signals_sql(1)}, ok AS (SELECT *, pred - label AS e FROM sig WHERE pred IS NOT NULL AND label IS NOT NULL)"
 _METRICS = ["ic", "rmse", "mae", "direction_acc"]
 _METRICS_SQL = "CASE WHEN count(*) >= 2 THEN covar_pop(pred, label) / nullif(stddev_pop(pred) * stddev_pop(label), 0) END AS ic, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, avg(CASE WHEN (pred > 0) = (label > 0) THEN 1e0 ELSE 0e0 END) AS direction_acc, count(*) AS n"
-for _name, _by in (("pooled_metrics", ["model_name"]), ("metrics_overall", ["model_name", "split"]), ("metrics_by_year", ["model_name", "date"]), ("panel_ic_bucket", ["model_name", "bucket"])):
+for _name, _by in (("pooled_metrics", ["model_name"]), ("metrics_overall", ["model_name", "split"]), ("metrics_by_year", ["model_name", "date"])):
     _keys = ", ".join(_by)
-    _query(_name, f"WITH {_SIG} SELECT {_keys}, n, {_grids_sql(_METRICS)} FROM (SELECT {_keys}, {_METRICS_SQL} FROM (SELECT *, minute_index // 3 AS bucket FROM ok) GROUP BY {_keys})")(
-        lambda spark, sf, by=_by: _grids(metrics.finalised(metrics.sufficient(_signals(spark, sf).withColumn("bucket", F.floor(F.col("minute_index") / 3).cast("int")), by)), [*by, "n"], _METRICS)
+    _query(_name, f"WITH {_SIG} SELECT {_keys}, n, {_grids_sql(_METRICS)} FROM (SELECT {_keys}, {_METRICS_SQL} FROM ok GROUP BY {_keys})")(
+        lambda spark, sf, by=_by: _grids(metrics.finalised(metrics.sufficient(_signals(spark, sf), by)), [*by, "n"], _METRICS)
     )
 
 _RANKED = """ranked AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY pred) + (count(*) OVER (PARTITION BY {by}, pred) - 1) / 2e0 AS pr, rank() OVER (PARTITION BY {by} ORDER BY label) + (count(*) OVER (PARTITION BY {by}, label) - 1) / 2e0 AS yr FROM ok)"""
@@ -320,7 +320,7 @@ _TRADES = f"""{_BASKET}, fund0 AS (SELECT date, datetime, sum(amount) / sum(vol)
 bk AS (SELECT model_name, date, datetime, {_basket_sql('weight')} FROM rows_ GROUP BY 1, 2, 3),
 series AS (SELECT model_name, f.date, datetime, close, label, basket_pred AS pred, row_number() OVER w - 1 AS row_in_day, lead(datetime, 4) OVER w AS exit_datetime FROM fund f JOIN bk USING (date, datetime) WINDOW w AS (PARTITION BY model_name, f.date ORDER BY datetime)),
 trades AS (SELECT *, sign(pred) * label AS strategy_ret FROM series WHERE row_in_day % 4 = 0 AND pred IS NOT NULL AND label IS NOT NULL AND exit_datetime IS NOT NULL)"""
-_CURVE = f"""{_TRADES}, growth AS (SELECT model_name, exit_datetime AS datetime, exp(sum(sum(ln(1 + greatest(strategy_ret, -0.999999)))) OVER (PARTITION BY model_name ORDER BY exit_datetime)) AS equity FROM trades GROUP BY 1, 2),
+_CURVE = f"""{_TRADES}, growth AS (SELECT model_name, exit_datetime AS datetime, product(product(1 + strategy_ret)) OVER (PARTITION BY model_name ORDER BY exit_datetime) AS equity FROM trades GROUP BY 1, 2),
 grid_ AS (SELECT model_name, f.datetime, f.close FROM (SELECT DISTINCT model_name FROM trades) CROSS JOIN fund0 f),
 curve0 AS (SELECT model_name, datetime, coalesce(last_value(equity IGNORE NULLS) OVER w, 1.0) AS equity, close / first_value(close) OVER w AS benchmark FROM grid_ LEFT JOIN growth USING (model_name, datetime) WINDOW w AS (PARTITION BY model_name ORDER BY datetime ROWS UNBOUNDED PRECEDING)),
 curve AS (SELECT *, equity / max(equity) OVER (PARTITION BY model_name ORDER BY datetime ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM curve0)"""
@@ -365,19 +365,6 @@ def regime_metrics(spark, sf):
     return _grids(metrics.finalised(metrics.sufficient(rows.join(labels, "date"), ["model_name", "family", "regime"])), ["model_name", "family", "regime", "n"], _METRICS)
 
 
-@_query("coverage_audit", f"WITH {_BASKET}, c AS (SELECT date, minute_index, avg(CASE WHEN pred IS NOT NULL THEN 1e0 ELSE 0e0 END) AS covered, count(*) AS n FROM rows_ GROUP BY 1, 2) SELECT minute_index, count(*) AS dates, {grid_sql('avg(covered)')} AS covered, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
-def coverage_audit(spark, sf):
-    per = _basket_rows(spark, sf).groupBy("date", "minute_index").agg(F.avg(F.col("pred").isNotNull().cast("double")).alias("covered"), F.count(F.lit(1)).alias("n"))
-    return _grids(per.groupBy("minute_index").agg(F.count(F.lit(1)).alias("dates"), F.avg("covered").alias("covered"), F.sum("n").alias("n")), ["minute_index", "dates", "n"], ["covered"])
-
-
-@_query("factor_audit", f"WITH {_SIG} SELECT model_name AS factor, count(*) AS total, count(pred) AS finite, {grid_sql('avg(pred)')} AS mean, {grid_sql('stddev_pop(pred)')} AS std, CASE WHEN count(pred) = 0 OR stddev_pop(pred) = 0 THEN 'fail' WHEN count(pred) < 0.8 * count(*) THEN 'warn' ELSE 'pass' END AS gate FROM sig GROUP BY 1")
-def factor_audit(spark, sf):
-    n, finite = F.count(F.lit(1)), F.count("pred")
-    gate = F.when((finite == 0) | (F.stddev_pop("pred") == 0), "fail").when(finite < 0.8 * n, "warn").otherwise("pass")
-    return _grids(_signals(spark, sf).groupBy(F.col("model_name").alias("factor")).agg(n.alias("total"), finite.alias("finite"), F.avg("pred").alias("mean"), F.stddev_pop("pred").alias("std"), gate.alias("gate")), ["factor", "total", "finite", "gate"], ["mean", "std"])
-
-
 @_query("lookahead_check", f"WITH {_SIG}, p AS (SELECT date, instrument, close, row_number() OVER (PARTITION BY date, instrument ORDER BY datetime) AS k FROM bars), l AS (SELECT date, instrument, label, row_number() OVER (PARTITION BY date, instrument ORDER BY datetime) AS k FROM sig WHERE model_name = 'model_a') SELECT l.date, count(*) AS n, CAST(sum(CASE WHEN abs(label - (b.close / a.close - 1)) > 1e-9 THEN 1 ELSE 0 END) AS BIGINT) AS mismatches FROM l JOIN p a USING (date, instrument, k) JOIN p b ON b.date = l.date AND b.instrument = l.instrument AND b.k = l.k + 1 GROUP BY 1")
 def lookahead_check(spark, sf):
     """Every label recomputed by an equal join on the row number ahead."""

@@ -13,7 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import basket, metrics
+from barloom.plans.sql import SPLIT, bars_sql, grid_sql
 from barloom.sources import bars as src
+from barloom.sources.store import written
+
+#: Two learners: shallow trees, and deeper ones with slower steps and larger leaves.
+SHALLOW = {"maxDepth": 2, "stepSize": 0.03, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+DEEP = {"maxDepth": 5, "stepSize": 0.02, "subsamplingRate": 0.8, "minInstancesPerNode": 80}
+#: Most trees of a query's fits.  Every tree is a Spark job, so the thousands that a local library grows in seconds would take hours; README says so.
+ROUNDS = 25
 
 FEATURES = ["ret_1", "ret_5", "range_", "vol_ratio", "place"]
 
@@ -29,14 +37,14 @@ def panel_features(bars: DataFrame, horizon: int) -> DataFrame:
 
 
 class Bundle:
-    """Standardisation and trees fitted on labelled rows; the latest date is the validation set."""
+    """Standardisation and trees fitted on labelled rows; the latest date is the validation set, at which growth stops."""
 
-    def __init__(self, rows: DataFrame, label: str = "label", rounds: int = 20, depth: int = 2):
+    def __init__(self, rows: DataFrame, label: str = "label", learner: dict = SHALLOW, rounds: int = ROUNDS):
         rows = rows.where(F.col(label).isNotNull())
         stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in [*FEATURES, label] for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.max("date").alias("last")).first()
         self.label, self.stats = label, stats
         ready = self._vector(rows).withColumn("y", self._z(label)).withColumn("validation", F.col("date") == stats["last"])
-        trees = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="z", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", validationIndicatorCol="validation", seed=7)
+        trees = GBTRegressor(featuresCol="features", labelCol="y", predictionCol="z", maxIter=rounds, validationIndicatorCol="validation", validationTol=0.0, seed=7, **learner)
         self.model = trees.fit(ready)
 
     def _z(self, c: str):
@@ -57,14 +65,30 @@ class Bundle:
 
 
 def _rows(spark, sf) -> DataFrame:
-    return panel_features(src.monthly_bars(spark, sf), 1)
+    return written(panel_features(src.monthly_bars(spark, sf), 1))  # every fold starts from these
+
+
+def _split_metrics(preds: DataFrame) -> DataFrame:
+    return metrics.finalised(metrics.sufficient(preds, ["split"])).select("split", "n", "ic", "rmse", "mae", "direction_acc")
 
 
 def gbt_bundle(spark, sf) -> DataFrame:
-    """Metrics by split of trees fitted on the train split."""
+    """Metrics by split of shallow trees fitted on the sampled rows of the train split."""
     rows = _rows(spark, sf)
-    preds = Bundle(rows.where("split = 'train'")).predict(rows)
-    return metrics.finalised(metrics.sufficient(preds, ["split"])).select("split", "n", "ic", "rmse", "mae", "direction_acc")
+    sample = "split = 'train' and (cast(date as bigint) * 1000003 + instrument * 10007 + minute_index * 10009) % 50 < 25"
+    return _split_metrics(Bundle(rows.where(sample)).predict(rows))
+
+
+def gbt_deep(spark, sf) -> DataFrame:
+    """Metrics by split of the second learner."""
+    rows = _rows(spark, sf)
+    return _split_metrics(Bundle(rows.where("split = 'train'"), learner=DEEP).predict(rows))
+
+
+def feature_importance(spark, sf) -> DataFrame:
+    """The features by their importance in the shallow trees."""
+    found = Bundle(_rows(spark, sf).where("split = 'train'")).importance()
+    return spark.createDataFrame([(k + 1, n, x) for k, (n, x) in enumerate(found)], "place int, feature string, importance double")
 
 
 def _folds(rows: DataFrame) -> list[int]:
@@ -82,24 +106,58 @@ def out_of_fold(rows: DataFrame) -> DataFrame:
     return out
 
 
+def fold_table(spark, sf) -> DataFrame:
+    """What each fold learns from, validates on and predicts."""
+    rows = _rows(spark, sf)
+    per = rows.groupBy("date").agg(F.count("label").alias("labelled"), F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("date")  # one row per year
+    per = per.withColumns({"place": F.row_number().over(w), "earlier": F.sum("labelled").over(w.rowsBetween(Window.unboundedPreceding, -1)), "validated": F.lag("labelled").over(w)})
+    return per.where("place > 2").select(F.col("date").alias("fold"), (F.col("earlier") - F.col("validated")).alias("fitted"), "validated", F.col("n").alias("predicted"))
+
+
 def oof_basket(spark, sf) -> DataFrame:
     """Out-of-fold predictions as a basket weighted by amount."""
     preds = out_of_fold(_rows(spark, sf)).withColumn("weight", F.col("amount"))
     return basket.aggregate_basket(preds, ["date", "datetime"]).select("date", F.col("datetime").cast("date").cast("string").alias("day"), "basket_pred", "basket_label", "weight_coverage_pred")
 
 
+def oof_coverage(spark, sf) -> DataFrame:
+    """Which times the out-of-fold baskets cover, with the realised side of each."""
+    from barloom.plans.evaluation import grid
+
+    found = oof_basket(spark, sf)
+    return found.select("date", "day", grid("basket_label").alias("basket_label"), grid("weight_coverage_pred").alias("covered"))
+
+
+def _fold_metrics(spark, sf) -> DataFrame:
+    return metrics.daily_metrics(out_of_fold(_rows(spark, sf)), ["date"]).select("date", "n", "ic", "rank_ic", "rmse")
+
+
 def walk_forward(spark, sf) -> DataFrame:
     """IC and rank IC of each fold."""
-    preds = out_of_fold(_rows(spark, sf))
-    return metrics.daily_metrics(preds, ["date"]).select("date", "n", "ic", "rank_ic", "rmse")
+    return _fold_metrics(spark, sf)
+
+
+def walk_forward_summary(spark, sf) -> DataFrame:
+    """Folds, folds with a negative IC, and the least, median and largest IC."""
+    return _fold_metrics(spark, sf).agg(F.count(F.lit(1)).alias("folds"), F.sum((F.col("ic") < 0).cast("long")).alias("negative"), F.min("ic").alias("least"), F.median("ic").alias("median"), F.max("ic").alias("largest"))
 
 
 def two_stage(spark, sf) -> DataFrame:
     """A second model on what the first leaves: final prediction is the sum of both."""
     rows = _rows(spark, sf)
     first = Bundle(rows.where("split = 'train'")).predict(rows).withColumn("residual", F.col("label") - F.col("pred")).withColumnRenamed("pred", "first_pred")
-    second = Bundle(first.where("split = 'train'"), label="residual", depth=3).predict(first).withColumn("pred", F.col("first_pred") + F.col("pred"))
-    return metrics.finalised(metrics.sufficient(second, ["split"])).select("split", "n", "ic", "rmse", "mae", "direction_acc")
-
-
-QUERIES = {"gbt_bundle": gbt_bundle, "oof_basket": oof_basket, "walk_forward": walk_forward, "two_stage": two_stage}
+    second = Bundle(first.where("split = 'train'"), label="residual", learner=DEEP).predict(first).withColumn("pred", F.col("first_pred") + F.col("pred"))
+    return _split_metrics(second)
+
+
+QUERIES = {
+    "gbt_bundle": gbt_bundle, "gbt_deep": gbt_deep, "feature_importance": feature_importance, "fold_table": fold_table, "oof_basket": oof_basket, "oof_coverage": oof_coverage,
+    "walk_forward": walk_forward, "walk_forward_summary": walk_forward_summary, "two_stage": two_stage,
+}
+_LABELS = f"{bars_sql('month')}, l AS (SELECT *, lead(close) OVER (PARTITION BY date, instrument ORDER BY datetime) / nullif(close, 0) - 1 AS label, {SPLIT} AS split FROM bars)"
+#: What does not depend on the trees.
+ORACLES = {
+    "fold_table": f"WITH {_LABELS}, p AS (SELECT date, count(label) AS labelled, count(*) AS n, row_number() OVER (ORDER BY date) AS place FROM l GROUP BY 1) SELECT a.date AS fold, CAST((SELECT sum(labelled) FROM p b WHERE b.place < a.place - 1) AS BIGINT) AS fitted, (SELECT labelled FROM p b WHERE b.place = a.place - 1) AS validated, n AS predicted FROM p a WHERE place > 2",
+    "oof_coverage": f"WITH {_LABELS} SELECT date, CAST(CAST(datetime AS DATE) AS VARCHAR) AS day, {grid_sql('sum(amount * label) / sum(amount)')} AS basket_label, 1.0::DOUBLE AS covered FROM l WHERE date > (SELECT min(date) FROM l WHERE date > (SELECT min(date) FROM l)) GROUP BY date, datetime",
+}

@@ -55,8 +55,8 @@ def _element(t: Term, a: list[str], d: _Dialect) -> str:
         "pow": "CASE WHEN {0} = 1 OR {1} = 0 THEN CAST(1 AS DOUBLE) WHEN {0} < 0 AND {1} <> floor({1}) THEN NULL WHEN {0} = 0 AND {1} < 0 THEN {inf} ELSE pow({0}, {1}) END",
         "and": "CASE WHEN coalesce({0}, 0) <> 0 AND coalesce({1}, 0) <> 0 THEN 1e0 ELSE 0e0 END", "or": "CASE WHEN coalesce({0}, 0) <> 0 OR coalesce({1}, 0) <> 0 THEN 1e0 ELSE 0e0 END",
         "clean": "CASE WHEN isnan({0}) OR {0} = {inf} OR {0} = -{inf} THEN NULL ELSE {0} END", "if_present": "CASE WHEN {1} IS NOT NULL THEN {0} END",
-        "steady": "round({0} * 1e9) / 1e9",
-        "ratio": "CASE WHEN {1} * {2} > 1e-13 THEN {0} / ({1} * {2}) END", "log": "CASE WHEN {0} > 0 THEN ln({0}) END", "sign": "CAST(sign({0}) AS DOUBLE)",
+        "steady": "CASE WHEN {0} = 0 THEN CAST(0 AS DOUBLE) ELSE round({0} * pow(CAST(10 AS DOUBLE), 11 - floor(log10(abs({0}))))) / pow(CAST(10 AS DOUBLE), 11 - floor(log10(abs({0})))) END",
+        "ratio": "CASE WHEN {1} > 1e-10 * {3} AND {2} > 1e-10 * {4} THEN {0} / ({1} * {2}) END", "log": "CASE WHEN {0} > 0 THEN ln({0}) END", "sign": "CAST(sign({0}) AS DOUBLE)",
         "signed_sqrt": "sign({0}) * sqrt(abs({0}))", "signed_power": "CASE WHEN {1} IS NOT NULL AND NOT ({0} = 0 AND {1} < 0) THEN sign({0}) * pow(abs({0}), {1}) END",
         "safe_div": "CASE WHEN {1} <> 0 THEN {0} / {1} END", "least": "least({0}, {1})", "greatest": "greatest({0}, {1})", "abs": "abs({0})", "sin": "sin({0})",
         "sqrt": "CASE WHEN {0} >= 0 THEN sqrt({0}) END", "where": "CASE WHEN coalesce({0}, 0) <> 0 THEN {1} ELSE {2} END", "clip": "CASE WHEN {0} IS NOT NULL THEN greatest(least({0}, {2}), {1}) END",
@@ -176,9 +176,10 @@ def checking_sql(source: str, factors: Mapping[str, Term], base: list[str], keys
 def densify(bars: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Every instrument at every time of its panel; bars that are missing are NULL.
 
-    The grid comes from the distinct times and instruments of each panel by an equal
-    join on the panel's keys.
+    The grid is the distinct times of each panel with the list of its instruments, which
+    is made by a combined aggregation and has as many entries as instruments.
     """
     one = bars.withColumn("panel_", F.struct(*keys) if keys else F.lit(0))
-    grid = one.select("panel_", "datetime").distinct().join(one.select("panel_", "instrument").distinct(), "panel_")
+    members = one.groupBy("panel_").agg(F.collect_set("instrument").alias("instruments"))
+    grid = one.select("panel_", "datetime").distinct().join(members, "panel_").select("panel_", "datetime", F.explode("instruments").alias("instrument"))
     return grid.join(one, ["panel_", "datetime", "instrument"], "left").select(*[F.col(f"panel_.{k}").alias(k) for k in keys], "datetime", "instrument", *[c for c in bars.columns if c not in (*keys, "datetime", "instrument")])
