@@ -82,18 +82,40 @@ def plan_packing(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...
             have[x] -= times * n
         plan.append((lengths, times))
 
+    pair_index: dict[int, list[int]] = {}
+    triple_index: dict[int, list[int]] = {}
+
     def two(total: int, used: tuple[int, ...]) -> tuple[int, int] | None:
-        """Two available lengths of that sum beside ``used``, the longest first."""
+        """Two available lengths of that sum beside ``used``, the longest first.
+
+        The index has, for each sum asked for, the shorter lengths of its pairs.  Counts
+        only fall, so pairs that are used up leave it for good.
+        """
         if total < 2:
             return None
-        free = have[: total + 1].copy()
-        for x in used:
-            if x <= total:
-                free[x] -= 1
-        short = np.arange(1, total // 2 + 1)
-        fits = (free[short] > (2 * short == total)) & (free[total - short] > 0)
-        at = int(np.argmax(fits))
-        return (total - int(short[at]), int(short[at])) if fits[at] else None
+        if total not in pair_index:
+            short = np.arange(1, total // 2 + 1)
+            pair_index[total] = short[(have[short] > 0) & (have[total - short] > 0)][::-1].tolist()
+        shorts = pair_index[total]
+        while shorts and not (have[shorts[-1]] > (2 * shorts[-1] == total) and have[total - shorts[-1]]):
+            shorts.pop()
+        for short in reversed(shorts):
+            long = total - short
+            if have[short] - used.count(short) > (short == long) and have[long] - used.count(long) > 0:
+                return long, short
+        return None
+
+    def three(total: int, used: tuple[int, ...]) -> tuple[int, int, int] | None:
+        """Three available lengths of that sum: the index has the lengths to which a pair may be found."""
+        if total not in triple_index:
+            triple_index[total] = np.flatnonzero(have[: max(0, total - 1)]).tolist()
+        firsts = triple_index[total]
+        while firsts and not (have[firsts[-1]] and two(total - firsts[-1], ())):
+            firsts.pop()
+        for first in reversed(firsts):
+            if have[first] - used.count(first) > 0 and (pair := two(total - first, (*used, first))):
+                return (first, *pair)
+        return None
 
     if have[size]:
         take((size,))
@@ -107,12 +129,7 @@ def plan_packing(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...
             elif pair := two(gap, (length,)):
                 found = pair
             else:
-                free = have.copy()
-                free[length] -= 1
-                for a in np.flatnonzero(free[: gap + 1])[::-1].tolist():
-                    if pair := two(gap - a, (length, a)):
-                        found = (a, *pair)
-                        break
+                found = three(gap, (length,))
             if found is None:
                 left[length] = int(have[length])
                 have[length] = 0
