@@ -4,8 +4,8 @@ A factor is an ordinary Python expression over bar fields and the functions belo
 function makes a :class:`Term`, which only says what to compute; ``plans.panel`` turns
 terms into projections and windows over a panel.
 
-Missing values are NULL.  Ranks and positions compare values to twelve significant digits, so that
-rounding noise does not split ties, whatever the unit.  Infinities may arise between infix operations; every named
+Missing values are NULL.  Ranks and positions compare values to nine significant digits, and take
+what is below 1e-12 for zero, so that rounding noise does not split ties.  Infinities may arise between infix operations; every named
 function first turns them into NULL.
 """
 

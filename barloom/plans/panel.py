@@ -55,7 +55,7 @@ def _element(t: Term, a: list[str], d: _Dialect) -> str:
         "pow": "CASE WHEN {0} = 1 OR {1} = 0 THEN CAST(1 AS DOUBLE) WHEN {0} < 0 AND {1} <> floor({1}) THEN NULL WHEN {0} = 0 AND {1} < 0 THEN {inf} ELSE pow({0}, {1}) END",
         "and": "CASE WHEN coalesce({0}, 0) <> 0 AND coalesce({1}, 0) <> 0 THEN 1e0 ELSE 0e0 END", "or": "CASE WHEN coalesce({0}, 0) <> 0 OR coalesce({1}, 0) <> 0 THEN 1e0 ELSE 0e0 END",
         "clean": "CASE WHEN isnan({0}) OR {0} = {inf} OR {0} = -{inf} THEN NULL ELSE {0} END", "if_present": "CASE WHEN {1} IS NOT NULL THEN {0} END",
-        "steady": "CASE WHEN {0} = 0 THEN CAST(0 AS DOUBLE) ELSE round({0} * pow(CAST(10 AS DOUBLE), 11 - floor(log10(abs({0}))))) / pow(CAST(10 AS DOUBLE), 11 - floor(log10(abs({0})))) END",
+        "steady": "CASE WHEN abs({0}) < 1e-12 THEN CAST(0 AS DOUBLE) ELSE round({0} * pow(CAST(10 AS DOUBLE), 8 - floor(log10(abs({0}))))) / pow(CAST(10 AS DOUBLE), 8 - floor(log10(abs({0})))) END",
         "ratio": "CASE WHEN {1} > 1e-10 * {3} AND {2} > 1e-10 * {4} THEN {0} / ({1} * {2}) END", "log": "CASE WHEN {0} > 0 THEN ln({0}) END", "sign": "CAST(sign({0}) AS DOUBLE)",
         "signed_sqrt": "sign({0}) * sqrt(abs({0}))", "signed_power": "CASE WHEN {1} IS NOT NULL AND NOT ({0} = 0 AND {1} < 0) THEN sign({0}) * pow(abs({0}), {1}) END",
         "safe_div": "CASE WHEN {1} <> 0 THEN {0} / {1} END", "least": "least({0}, {1})", "greatest": "greatest({0}, {1})", "abs": "abs({0})", "sin": "sin({0})",
