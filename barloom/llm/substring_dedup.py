@@ -295,7 +295,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: s
     release(shared)
 
     key = ["fp", "p1", "p2"]
-    firsts = saved(passages.groupBy(*key).agg(F.min("id").alias("pid")))
+    firsts = saved(passages.groupBy(*key).agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("copies")))
     several = saved(firsts.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     bitmap = spark.sparkContext.broadcast(bitmap_of(several, "fp"))
     texts = passages.select(*key, "id", "words").mapInArrow(_filtered(bitmap), "fp long, p1 long, p2 long, id long, words binary")
@@ -308,12 +308,18 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: s
     owned = saved(owned.where(F.size("windows") > 0))
     release(distinct)
 
-    marked = passages.select(*key, "n", "id", "tkey", "at").join(firsts.join(owned, key, "left"), key)
+    # A passage that very many documents have would be one task of the join; there are at most 4 * parts of them.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = firsts.join(owned, key, "left")
+    often = saved(known.where(F.col("copies") > F.lit(passages.count()) / (4 * parts)).select(*key, F.struct("pid", "windows").alias("often")))
+    tried = passages.select(*key, "n", "id", "tkey", "at").join(F.broadcast(often), key, "left")
+    marked = tried.where("often is null").drop("often").join(known.select(*key, "pid", "windows"), key)
+    marked = marked.unionByName(tried.where("often is not null").select(*key, "n", "id", "tkey", "at", "often.pid", "often.windows"))
     windows = F.when(F.col("id") > F.col("pid"), F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.col("windows"))
     finds = marked.select("id", "tkey", F.struct("at", windows.alias("windows")).alias("find")).where("find.windows is not null").groupBy("id", "tkey").agg(F.collect_set("find").alias("finds"))
     marks = finds.withColumn("copied", F.lit(False)).unionByName(copies.select("id", "tkey", F.lit(None).cast(finds.schema["finds"].dataType).alias("finds"), F.lit(True).alias("copied")))
     marks = saved(marks)
-    release(passages, firsts, several, owned)
+    release(passages, firsts, several, owned, often)
     return packed.join(marks, ["id", "tkey"], "left").select("id", "body", "copied", "finds").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
