@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality_cnn, quality_rules, substring_dedup, toxicity, warc
+from barloom.llm import collocations, decontaminate, licenses, line_dedup, near_dedup, packing, quality_cnn, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality_cnn": quality_cnn.op9_quality_cnn,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op3_quality_rules": quality_rules.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
 }
