@@ -9,7 +9,8 @@ single words and those of all phrases in one aggregation.
 A window may end early without changing any count that matters, namely before a pair of
 words that is rarer than a phrase has to be.  Such pairs are told by a bitmap of hashes
 with a fixed largest size.  It is a filter only: a collision lets a window run on, and
-what is too rare falls to the exact count.
+what is too rare falls to the exact count.  The same holds for
+triples of words, which are looked at where both of their pairs passed.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import bitmap_of, in_bitmap, saved, table
+from barloom.llm.common import bitmap_of, in_bitmap, release, saved, table
 from barloom.llm.words import _STEP, U64, Words, _byte_class, mix, ragged_ranges, row_slices, signed, split_words
 
 #: What ends a piece, and what stands between its words.
 BREAKS = _byte_class((0x2E, 0x2E), (0x2C, 0x2C), (0x3B, 0x3B), (0x3A, 0x3A), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 WORD = ~(BREAKS | _byte_class((0x20, 0x20), (0x09, 0x09)))
-#: Text of one vector pass; windows are pre-counted within it.
-SLICE_BYTES = 1 << 23
+#: Text of one vector pass; what is counted is pre-counted within it.
+SLICE_BYTES = 1 << 22
 #: Bits of the filter for each frequent word or pair, and its bounds: 128 kB and 32 MB.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 28
 
@@ -50,17 +51,39 @@ def _slices(batches):
             yield lang, names, words, follows, mix(words.hash ^ salt[lang])
 
 
-def _pairs(hashes: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """A hash for each word and the one after it; only those at ``follows[1:]`` mean something."""
-    return mix(hashes[:-1] * U64(3) + mix(hashes[1:] + _STEP))
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash for each pair of hashes."""
+    return mix(left * U64(3) + mix(right + _STEP))
 
 
-def _frequencies(batches):
+def _links(bits: np.ndarray, follows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that pass the filter, those whose pair with the next word passes too, and hashes of the triples that begin at each word but the last two."""
+    live, linked = in_bitmap(bits, hashes), np.zeros(len(hashes), dtype=bool)
+    pairs = _joined(hashes[:-1], hashes[1:])
+    linked[:-1] = follows[1:] & live[:-1] & live[1:] & in_bitmap(bits, pairs)
+    return live, linked, _joined(pairs[:-1], hashes[2:])
+
+
+def _counted(hashes: np.ndarray) -> pa.RecordBatch:
+    keys, counts = np.unique(hashes, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts)], names=["h", "n"])
+
+
+def _short_runs(batches):
     """Hashes of words and of neighbours with their counts in a slice."""
     for _, _, _, follows, hashes in _slices(batches):
-        both = np.concatenate([hashes, _pairs(hashes, follows)[follows[1:]]])
-        keys, counts = np.unique(both, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(counts)], names=["h", "n"])
+        yield _counted(np.concatenate([hashes, _joined(hashes[:-1], hashes[1:])[follows[1:]]]))
+
+
+def _triples(bitmap):
+    """Hashes of triples whose pairs pass the filter."""
+
+    def run(batches):
+        for _, _, _, follows, hashes in _slices(batches):
+            _, linked, triples = _links(bitmap.value, follows, hashes)
+            yield _counted(triples[linked[:-2] & linked[1:-1]])
+
+    return run
 
 
 def _leading(longest: int, bitmap):
@@ -69,24 +92,25 @@ def _leading(longest: int, bitmap):
     def run(batches):
         bits = bitmap.value
         for lang, names, words, follows, hashes in _slices(batches):
-            live = in_bitmap(bits, hashes)
-            linked = np.zeros(len(live), dtype=bool)  # a window may run on to the next word
-            linked[:-1] = follows[1:] & live[:-1] & live[1:] & in_bitmap(bits, _pairs(hashes, follows))
+            live, linked, triples = _links(bits, follows, hashes)
+            tripled = np.zeros(len(live) + longest, dtype=bool)
+            tripled[: len(triples)] = linked[:-2] & linked[1:-1] & in_bitmap(bits, triples)
             place = np.flatnonzero(live)
             said = word_strings(words, place).dictionary_encode()
             code = np.zeros(len(live) + longest, dtype=np.int64)  # 0 is padding
             code[place] = said.indices.to_numpy() + 1
-            base, n = len(said.dictionary) + 1, len(live)
-            group, runs = lang.astype(np.int64), np.ones(n, dtype=bool)
-            columns = []
-            for k in range(longest):
-                column = np.where(runs, code[k : k + n], 0)
-                _, group = np.unique(group * base + column, return_inverse=True)
-                columns.append(column)
-                runs = runs & np.concatenate([linked[k:], np.zeros(min(k, n), dtype=bool)])[:n]
-            _, first, counts = np.unique(group, return_index=True, return_counts=True)
-            strings = [pa.concat_arrays([pa.array([""], said.dictionary.type), said.dictionary]).take(pa.array(c[first])) for c in columns]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[first])), *strings, pa.array(counts)], names=["lang", *_columns(longest), "n"])
+            dictionary = pa.concat_arrays([pa.array([""], said.dictionary.type), said.dictionary])
+            for which in (np.flatnonzero(~linked), np.flatnonzero(linked)):  # windows of one word, and longer ones
+                runs, group, columns = linked[which], lang[which].astype(np.int64), [code[which]]
+                _, group = np.unique(group * len(dictionary) + columns[0], return_inverse=True)
+                for k in range(1, longest):
+                    columns.append(np.where(runs, code[which + k], 0))
+                    if runs.any():
+                        _, group = np.unique(group * len(dictionary) + columns[k], return_inverse=True)
+                        runs = runs & tripled[which + k - 1]
+                _, first, counts = np.unique(group, return_index=True, return_counts=True)
+                strings = [dictionary.take(pa.array(c[first])) for c in columns]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[which[first]])), *strings, pa.array(counts)], names=["lang", *_columns(longest), "n"])
 
     return run
 
@@ -104,12 +128,20 @@ def word_strings(words: Words, place: np.ndarray) -> pa.StringArray:
     return pa.LargeStringArray.from_buffers(len(place), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the hashes, of a size that follows their number up to the bound."""
+    return bitmap_of(hashes, "h", min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * hashes.count()).bit_length())))
+
+
 def phrase_counts(docs: DataFrame, longest: int = 5, least: int = 100, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, k, phrase, n: the words of each language (k = 0, phrase empty), and every phrase of up to ``longest`` words found ``least`` times or more."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    frequent = saved(rows.mapInArrow(_frequencies, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"))
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * frequent.count()).bit_length()))
-    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(frequent, "h", bits))
+    spark, often = docs.sparkSession, lambda counted: saved(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"))
+    short = often(rows.mapInArrow(_short_runs, "h long, n long"))
+    bitmap = spark.sparkContext.broadcast(_filter(short))
+    triples = often(rows.mapInArrow(_triples(bitmap), "h long, n long"))
+    bitmap = spark.sparkContext.broadcast(_filter(short.union(triples)))
+    release(short, triples)
     names = _columns(longest)
     windows = rows.mapInArrow(_leading(longest, bitmap), f"lang string, {', '.join(f'{w} string' for w in names)}, n long")
     summed = windows.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
