@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import collocations, decontaminate, licenses, line_dedup, near_dedup, packing, quality_cnn, quality_rules, substring_dedup, toxicity, warc
+from barloom.llm import collocations, decontaminate, licenses, line_dedup, near_dedup, neighbours, packing, quality_cnn, quality_rules, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_cnn": quality_cnn.op9_quality_cnn,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_collocations": collocations.op11_collocations,
+    "op12_neighbours": neighbours.op12_neighbours,
 }
 
 ORACLES = {

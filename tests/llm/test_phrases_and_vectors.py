@@ -1,9 +1,15 @@
 """Collocations, nearest neighbours and vector codes against brute force."""
 
 import collections
+import math
 import re
 
-from barloom.llm import collocations
+import numpy as np
+import pytest
+from helpers import SF
+
+from barloom.llm import collocations, neighbours
+from barloom.llm.common import table
 
 
 def brute_collocations(rows, longest, least, percent, top):
@@ -49,3 +55,66 @@ def test_collocation_counts_past_64_bits_stay_exact(spark):
     """1000 * a * n is about 10**30 here."""
     rows = spark.createDataFrame([(10**13, 10**14, 3 * 10**13, 7 * 10**13)], "a long, total long, l long, r long")
     assert rows.select(collocations.score("a", "total", "l", "r").alias("s")).first()["s"] == 1000 * 10**13 * 10**14 // (3 * 10**13 * 7 * 10**13)
+
+
+def brute_neighbours(rows, k, every):
+    """(query, rank, id, distance) by comparing all pairs; of rows that share an id the smallest vector counts."""
+    ok = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            ok[i] = min(ok.get(i, v), v)
+    out = []
+    for q in ok:
+        if q % every == 0:
+            near = []
+            for i, v in ok.items():
+                if i != q and len(v) == len(ok[q]):
+                    total = 0.0
+                    for a, b in zip(ok[q], v):
+                        total += (a - b) * (a - b)
+                    near.append((math.sqrt(total), i))
+            out += [(q, r + 1, i, d) for r, (d, i) in enumerate(sorted(near)[:k])]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def odd_vectors(spark):
+    """Clusters, equal vectors, ties, repeated ids, and all kinds of vectors that take no part."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.round(rng.normal(i % 7, 0.4, 6), 1)]) for i in range(700)]
+    rows += [(i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(700, 1000)]
+    rows += [(1000, None), (1001, []), (1002, [0.0] * 6), (1003, [1.0, None, 0.0, 0.0, 0.0, 1.0]), (1004, [math.nan] + [1.0] * 5), (1005, [math.inf] + [1.0] * 5), (None, [1.0] * 6), (-20, [0.5] * 6), (20, [9.0] * 6), (20, [9.0] * 6)]
+    rows += [(1100 + i, [float(i), 1.0]) for i in range(4)] + [(1200, [3.0] * 9)]
+    return spark.createDataFrame([(i, v, "clash", 1, 0.5) for i, v in rows], "vec_id long, embedding array<double>, shard string, kind int, v double")
+
+
+def test_neighbours_with_factor_one_equal_brute_force(spark, odd_vectors, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", (150, 150))  # several shards, so that results are merged
+    rows = [(r["vec_id"], r["embedding"]) for r in odd_vectors.select("vec_id", "embedding").collect()]
+    for k, leaf in ((10, 8), (3, 64)):
+        got = neighbours.nearest_neighbours(odd_vectors, odd_vectors.where("vec_id % 20 = 0"), k=k, factor=1.0, leaf=leaf)
+        assert sorted(tuple(r) for r in got.collect()) == brute_neighbours(rows, k, 20)
+    assert neighbours.nearest_neighbours(odd_vectors.limit(0), odd_vectors).count() == 0
+    assert neighbours.nearest_neighbours(odd_vectors, odd_vectors.limit(0)).count() == 0
+
+
+def test_neighbours_of_the_query_reach_the_recall(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, SF, "embeddings").collect()]
+    want = brute_neighbours(rows, 10, 100)
+    got = [tuple(r) for r in neighbours.op12_neighbours(spark, SF).collect()]
+    dist = {(q, i): d for q, _, i, d in got}
+    assert len(got) == len(want) and [(q, r) for q, r, *_ in sorted(got)] == [(q, r) for q, r, *_ in want]
+    assert len({(q, i) for q, _, i, _ in want} & set(dist)) >= 0.9 * len(want)
+    assert all(dist[q, i] == d for q, _, i, d in want if (q, i) in dist)
+
+
+def test_larger_factors_take_fewer_distances():
+    rng = np.random.default_rng(1)
+    rows, asked = rng.normal(size=(4000, 8)), rng.normal(size=(50, 8))
+    tree = neighbours.VantageTree(np.arange(4000), rows)
+    exact, ids = np.argsort(neighbours.distances(asked, rows), axis=1)[:, :10], np.arange(50) - 100
+    recall, seen = {}, {}
+    for factor in (1.0, 1.5, 3.0):
+        near, _, seen[factor] = tree.nearest(ids, asked, 10, factor)
+        recall[factor] = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near, exact)])
+    assert recall[1.0] == 1.0 and recall[1.5] >= 0.9 and seen[1.0] > seen[1.5] > seen[3.0] and seen[1.0] < 50 * 4000
