@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import collocations, decontaminate, licenses, line_dedup, near_dedup, neighbours, packing, quality_cnn, quality_rules, substring_dedup, toxicity, warc
+from barloom.llm import collocations, decontaminate, licenses, line_dedup, near_dedup, neighbours, packing, quality_cnn, quality_rules, substring_dedup, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_collocations": collocations.op11_collocations,
     "op12_neighbours": neighbours.op12_neighbours,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from helpers import SF
 
-from barloom.llm import collocations, neighbours
+from barloom.llm import collocations, neighbours, vector_codes
 from barloom.llm.common import table
 
 
@@ -118,3 +118,57 @@ def test_larger_factors_take_fewer_distances():
         near, _, seen[factor] = tree.nearest(ids, asked, 10, factor)
         recall[factor] = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near, exact)])
     assert recall[1.0] == 1.0 and recall[1.5] >= 0.9 and seen[1.0] > seen[1.5] > seen[3.0] and seen[1.0] < 50 * 4000
+
+
+def brute_codes(rows, parts, entries, rounds):
+    """(vec_id, label, code, error) and the codebooks in plain integers."""
+    ok = sorted(((i is None, i or 0, tuple(math.floor(x * 256) for x in v), label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) and abs(x) < 2**19 for x in v)), key=lambda r: r[:3])
+    ok = [r for r in ok if len(r[2]) == len(ok[0][2])]
+    size = -(-len(ok[0][2]) // parts)
+    cut = [[(*v, *[0] * (size * parts - len(v)))[p * size : (p + 1) * size] for p in range(parts)] for _, _, v, _ in ok]
+    books = [[cut[e][p] for e in range(min(entries, len(ok)))] for p in range(parts)]
+    square = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    assign = lambda: [[min((square(v[p], c), e) for e, c in enumerate(books[p])) for p in range(parts)] for v in cut]
+    for _ in range(rounds):
+        found = assign()
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [v[p] for v, f in zip(cut, found) if f[p][1] == e]
+                if own:
+                    books[p][e] = tuple(sum(x) // len(own) for x in zip(*own))
+    coded = [(None if unnamed else i, label, bytes(e for _, e in f), sum(d for d, _ in f)) for (unnamed, i, _, label), f in zip(ok, assign())]
+    return sorted(coded, key=str), [[list(c) for c in book] for book in books]
+
+
+def test_vector_codes_of_odd_rows_equal_brute_force(spark, odd_vectors):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    more = [(5000 + i, [float(x) for x in rng.normal(0, 20 if i % 3 else 0.01, 6)]) for i in range(150)] + [(6000, [6e5] * 6), (6001, [-5e5] * 6)]
+    vectors = odd_vectors.select("vec_id", "embedding").union(spark.createDataFrame(more, "vec_id long, embedding array<double>")).withColumns({"label": F.when(F.col("vec_id") % 3 > 0, (F.col("vec_id") % 3).cast("int")), "x": F.lit("clash"), "error": F.lit(1)})
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in vectors.collect()]
+    for parts, entries, rounds in ((3, 64, 2), (4, 5, 3), (6, 1, 1), (2, 256, 4)):
+        coded, books = vector_codes.compress_vectors(vectors, parts, entries, rounds)
+        want, want_books = brute_codes(rows, parts, entries, rounds)
+        assert books.tolist() == want_books
+        assert sorted(((r["vec_id"], r["label"], bytes(r["code"]), r["error"]) for r in coded.collect()), key=str) == want
+    assert vector_codes.compress_vectors(vectors.limit(0))[0].count() == 0
+    few = vector_codes.compress_vectors(vectors.where("vec_id between 5000 and 5002"), 3, 64, 2)[0]
+    assert [r["error"] for r in few.collect()] == [0, 0, 0]
+
+
+def test_bounds_settle_most_parts_without_all_entries():
+    """Entries that barely move; results equal a full comparison, and b shrinks and grows without a loss."""
+    rng = np.random.default_rng(2)
+    x, book = rng.integers(-500, 500, (3000, 4)), rng.integers(-500, 500, (64, 4))
+    entry, _, near, low, outer = vector_codes.settle_all(x, book, 8)
+    compared = []
+    for b in (8, 3, 3, 12, 16, 2, 8):
+        new = book + rng.integers(-6, 7, book.shape)
+        moved = np.sqrt(((new - book) ** 2).sum(axis=1)) * 1.000001
+        entry, square, near, low, outer, depth = vector_codes.settle_bounded(x, new, moved, entry, near, low, outer, b)
+        book = new
+        squares = vector_codes.all_squares(x, book)
+        assert (entry == squares.argmin(axis=1)).all() and (square == squares.min(axis=1)).all() and near.shape == (3000, b)
+        compared.append((depth == vector_codes.ALL).mean())
+    assert compared[0] < 0.2 and min((depth == d).sum() for d in (0, 1)) > 0
