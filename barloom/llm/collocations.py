@@ -56,12 +56,12 @@ def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * U64(3) + mix(right + _STEP))
 
 
-def _links(bits: np.ndarray, follows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words that pass the filter, those whose pair with the next word passes too, and hashes of the triples that begin at each word but the last two."""
+def _links(bits: np.ndarray, follows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that pass the filter together with the next word, and hashes of the triples that begin at each word but the last two."""
     live, linked = in_bitmap(bits, hashes), np.zeros(len(hashes), dtype=bool)
     pairs = _joined(hashes[:-1], hashes[1:])
     linked[:-1] = follows[1:] & live[:-1] & live[1:] & in_bitmap(bits, pairs)
-    return live, linked, _joined(pairs[:-1], hashes[2:])
+    return linked, _joined(pairs[:-1], hashes[2:])
 
 
 def _counted(hashes: np.ndarray) -> pa.RecordBatch:
@@ -80,25 +80,24 @@ def _triples(bitmap):
 
     def run(batches):
         for _, _, _, follows, hashes in _slices(batches):
-            _, linked, triples = _links(bitmap.value, follows, hashes)
+            linked, triples = _links(bitmap.value, follows, hashes)
             yield _counted(triples[linked[:-2] & linked[1:-1]])
 
     return run
 
 
 def _leading(longest: int, bitmap):
-    """Padded windows, one for each word, counted within a slice.  A word that no phrase can have leads an empty one."""
+    """Padded windows, one for each word, counted within a slice."""
 
     def run(batches):
         bits = bitmap.value
         for lang, names, words, follows, hashes in _slices(batches):
-            live, linked, triples = _links(bits, follows, hashes)
-            tripled = np.zeros(len(live) + longest, dtype=bool)
+            linked, triples = _links(bits, follows, hashes)
+            tripled = np.zeros(len(linked) + longest, dtype=bool)
             tripled[: len(triples)] = linked[:-2] & linked[1:-1] & in_bitmap(bits, triples)
-            place = np.flatnonzero(live)
-            said = word_strings(words, place).dictionary_encode()
-            code = np.zeros(len(live) + longest, dtype=np.int64)  # 0 is padding
-            code[place] = said.indices.to_numpy() + 1
+            said = word_strings(words).dictionary_encode()
+            code = np.zeros(len(linked) + longest, dtype=np.int64)  # 0 is padding
+            code[: len(linked)] = said.indices.to_numpy() + 1
             dictionary = pa.concat_arrays([pa.array([""], said.dictionary.type), said.dictionary])
             for which in (np.flatnonzero(~linked), np.flatnonzero(linked)):  # windows of one word, and longer ones
                 runs, group, columns = linked[which], lang[which].astype(np.int64), [code[which]]
@@ -119,13 +118,13 @@ def _columns(longest: int) -> list[str]:
     return [f"w{k + 1}" for k in range(longest)]
 
 
-def word_strings(words: Words, place: np.ndarray) -> pa.StringArray:
-    """The words at ``place`` as an Arrow array."""
-    start, size = words.start[place], words.end[place] - words.start[place]
-    data = words.data[ragged_ranges(start, size)]
-    offsets = np.zeros(len(place) + 1, dtype=np.int64)
+def word_strings(words: Words) -> pa.StringArray:
+    """The words as an Arrow array."""
+    size = words.end - words.start
+    data = words.data[ragged_ranges(words.start, size)]
+    offsets = np.zeros(len(size) + 1, dtype=np.int64)
     np.cumsum(size, out=offsets[1:])
-    return pa.LargeStringArray.from_buffers(len(place), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
 
 
 def _filter(hashes: DataFrame) -> np.ndarray:
