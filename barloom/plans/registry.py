@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from barloom.functions import factor as f
 from barloom.functions.factor import Term
 from barloom.plans import evaluation, factors, models
-from barloom.plans import reports as _reports  # noqa: F401  registers its queries with those of evaluation
+from barloom.plans import days as _days  # noqa: F401  these two register their queries with those of evaluation
+from barloom.plans import reports as _reports  # noqa: F401
 from barloom.plans.evaluation import grid
 from barloom.plans.panel import checking_sql, compute, densify
 from barloom.plans.sql import bars_sql, grid_sql
