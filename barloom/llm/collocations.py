@@ -27,17 +27,17 @@ from barloom.llm.words import _STEP, U64, Words, _byte_class, mix, ragged_ranges
 #: What ends a piece, and what stands between its words.
 BREAKS = _byte_class((0x2E, 0x2E), (0x2C, 0x2C), (0x3B, 0x3B), (0x3A, 0x3A), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 WORD = ~(BREAKS | _byte_class((0x20, 0x20), (0x09, 0x09)))
-#: Text of one vector pass; what is counted is pre-counted within it.
-SLICE_BYTES = 1 << 22
+#: Text of one vector pass that counts hashes, and of one that makes windows; what is counted is pre-counted within it.
+SLICE_BYTES, WINDOW_BYTES = 1 << 22, 1 << 20
 #: Bits of the filter for each frequent word or pair, and its bounds: 128 kB and 32 MB.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 28
 
 
-def _slices(batches):
+def _slices(batches, most_bytes: int = SLICE_BYTES):
     """(language codes by word, language names, words, whether a word follows its neighbour in one piece, hashes with the language)."""
     for batch in batches:
         langs, texts = batch.column("lang"), batch.column("text")
-        for a, b in row_slices(texts, SLICE_BYTES):
+        for a, b in row_slices(texts, most_bytes):
             words = split_words(texts.slice(a, b - a), WORD, lower=True)
             if not len(words.start):
                 continue
@@ -91,7 +91,7 @@ def _leading(longest: int, bitmap):
 
     def run(batches):
         bits = bitmap.value
-        for lang, names, words, follows, hashes in _slices(batches):
+        for lang, names, words, follows, hashes in _slices(batches, WINDOW_BYTES):
             linked, triples = _links(bits, follows, hashes)
             tripled = np.zeros(len(linked) + longest, dtype=bool)
             tripled[: len(triples)] = linked[:-2] & linked[1:-1] & in_bitmap(bits, triples)
