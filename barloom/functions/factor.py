@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Term:
-    """kind: field, value, el (row by row), ts (per instrument over time), cs (per time over instruments)."""
+    """kind: field, value, el (row by row), ts and sl (per instrument over the last n bars), run (from its first bar on), cs (per time over instruments)."""
 
     kind: str
     op: str
@@ -58,7 +58,7 @@ def field(name: str) -> Term:
 
 def clean(x) -> Term:
     x = term(x)
-    return x if x.kind in ("field", "value", "ts", "cs") or x.op in ("clean", "<", "<=", ">", ">=", "=", "<>", "or", "and") else Term("el", "clean", (x,))
+    return x if x.kind in ("field", "value", "ts", "sl", "run", "cs") or x.op in ("clean", "<", "<=", ">", ">=", "=", "<>", "or", "and") else Term("el", "clean", (x,))
 
 
 def _el(op, *args, params=()):
@@ -87,19 +87,19 @@ def ts_std(x, n): return _ts("stddev_samp", n, x)
 def ts_max(x, n): return _ts("max", n, x)
 def ts_min(x, n): return _ts("min", n, x)
 def ts_sum(x, n): return _ts("sum", n, x)
-def _bars(x, n): return _ts("bars", n, x)
-def ts_product(x, n): return Term("el", "bars_product", (_bars(x, n),))
+def _sl(op, n, x): return Term("sl", op, (clean(x),), (int(n),))
+def ts_product(x, n): return _sl("product", n, x)
 def _steady(x): return Term("el", "steady", (clean(x),))
-def ts_rank(x, n): return Term("el", "bars_rank", (_bars(_steady(x), n), _steady(x)), (int(n),))
-def ts_argmax(x, n): return Term("el", "bars_argmax", (_bars(_steady(x), n),))
-def ts_argmin(x, n): return Term("el", "bars_argmin", (_bars(_steady(x), n),))
-def decay_linear(x, n): return Term("el", "bars_decay", (_bars(x, n),), (int(n),))
+def ts_rank(x, n): return _sl("rank", n, _steady(x))
+def ts_argmax(x, n): return _sl("argmax", n, _steady(x))
+def ts_argmin(x, n): return _sl("argmin", n, _steady(x))
+def decay_linear(x, n): return _sl("decay", n, x)
 def ts_cov(x, y, n): return _ts("covar_pop", n, *_both(x, y))
 def ts_corr(x, y, n):
     """Population covariance over sample deviations: Pearson's times (n - 1) / n."""
     a, b = _both(x, y)
     return Term("el", "ratio", (_ts("covar_pop", n, a, b), ts_std(a, n), ts_std(b, n), ts_max(abs_(a), n), ts_max(abs_(b), n)))  # a spread below 1e-10 of the values is none
-def running(op, x): return Term("ts", f"running_{op}", (clean(x),))
+def running(op, x): return Term("run", op, (clean(x),))
 
 
 # Over the instruments of one time.
