@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.blocks import ranged, running_product, scan
+
 
 def trades(series: DataFrame, horizon: int) -> DataFrame:
     """Every ``horizon``-th row of a date: the position's sign, its return, and when it ends.
@@ -18,34 +20,26 @@ def trades(series: DataFrame, horizon: int) -> DataFrame:
     return rows.select("model_name", "date", "datetime", "exit_datetime", "row_in_day", F.signum("pred").alias("position"), (F.signum("pred") * F.col("label")).alias("strategy_ret"))
 
 
-def running_product(factor: Column, w) -> Column:
-    """Product of a column over a window: logarithms of the sizes, the parity of the signs, and whether a zero came."""
-    size = F.sum(F.when(factor != 0, F.log(F.abs(factor)))).over(w)
-    negative = F.sum((factor < 0).cast("long")).over(w)
-    lost = F.max((factor == 0).cast("int")).over(w)
-    return F.when(lost == 1, 0.0).otherwise(F.exp(F.coalesce(size, F.lit(0.0))) * F.when(negative % 2 == 1, -1.0).otherwise(1.0))
-
-
 def equity_curve(done: DataFrame, prices: DataFrame) -> DataFrame:
     """Equity at each time, carried forward between exits, and the benchmark.
 
-    ``prices`` has datetime and close.  Equity compounds 1 + return; a total loss stays one.
+    ``prices`` has datetime and close.  Equity compounds 1 + return; a total loss stays
+    one.  A curve is worked on in ranges of time, not as a whole.
     """
-    exits = done.groupBy("model_name", "exit_datetime").agg(F.product(1 + F.col("strategy_ret")).alias("g"))
-    growth = exits.withColumn("equity", running_product(F.col("g"), Window.partitionBy("model_name").orderBy("exit_datetime")))
+    exits = done.groupBy("model_name", F.col("exit_datetime").alias("datetime")).agg(F.product(1 + F.col("strategy_ret")).alias("g"))
     models = done.select(F.lit(1).alias("one"), "model_name").distinct()  # one row per model
-    grid = prices.select(F.lit(1).alias("one"), "datetime", "close").join(F.broadcast(models), "one")
-    joined = grid.join(growth.select("model_name", F.col("exit_datetime").alias("datetime"), "equity"), ["model_name", "datetime"], "left")
-    w = Window.partitionBy("model_name").orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
-    curve = joined.select("model_name", "datetime", F.coalesce(F.last("equity", ignorenulls=True).over(w), F.lit(1.0)).alias("equity"), (F.col("close") / F.first("close").over(w)).alias("benchmark"))
-    return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
+    grid = prices.select(F.lit(1).alias("one"), "datetime", "close").join(F.broadcast(models), "one").drop("one")
+    rows = ranged(grid.join(exits, ["model_name", "datetime"], "left"), ["model_name"], ["datetime"])
+    rows = running_product(rows, ["model_name"], "part_", "datetime", {"equity": F.coalesce("g", F.lit(1.0))})
+    rows = scan(rows, ["model_name"], "part_", "datetime", {"top": ("max", F.col("equity")), "opened": ("first", F.col("close"))})
+    return rows.select("model_name", "datetime", "equity", (F.col("close") / F.col("opened")).alias("benchmark"), (F.col("equity") / F.col("top") - 1).alias("drawdown"))
 
 
 def curve_extrema(curves: DataFrame, by: list[str]) -> DataFrame:
-    """First, last, largest and least value of each curve (datetime, v), its largest drawdown, and when they were."""
-    top = F.max("v").over(Window.partitionBy(*by).orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0))
+    """First, last, largest and least value of each curve (datetime, v, and part_ as ``blocks.ranged`` has it), its largest drawdown, and when they were."""
     day = lambda c: c.cast("date").cast("string")
-    return curves.withColumn("d", F.col("v") / F.nullif(top, F.lit(0.0)) - 1).groupBy(*by).agg(
+    topped = scan(curves, by, "part_", "datetime", {"top_": ("max", F.col("v"))})
+    return topped.withColumn("d", F.col("v") / F.nullif(F.col("top_"), F.lit(0.0)) - 1).groupBy(*by).agg(
         F.min_by("v", "datetime").alias("start"), F.max_by("v", "datetime").alias("end_"), F.max("v").alias("top"), F.min("v").alias("low"), F.min("d").alias("max_drawdown"),
         day(F.max_by("datetime", "v")).alias("top_day"), day(F.min_by("datetime", "v")).alias("low_day"), day(F.min_by("datetime", "d")).alias("drawdown_day"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.blocks import ranged, scan
+
 
 def ratio(a, b) -> Column:
     """a / b, NULL where b is 0 or missing."""
@@ -61,25 +63,26 @@ def daily_metrics(preds: DataFrame, by: list[str] = ["model_name", "split", "dat
     return finalised(sufficient(preds, by)).join(rank_ic(preds, by), by)
 
 
-def rolling(daily: DataFrame, value: str, days: int, by: str = "model_name", order: str = "date") -> Column:
+def rolling(value: str, days: int, by: list[str], order: str = "date") -> Column:
     """Strict mean over ``days`` rows."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-(days - 1), 0)
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-(days - 1), 0)
     return F.when(F.count(value).over(w) == days, F.avg(value).over(w))
 
 
 def global_rank(df: DataFrame, value: str, name: str, parts: int | None = None) -> DataFrame:
-    """Average rank over all rows without one task for all: ranges, counts before each, ranks within.
+    """Average rank over all rows without one task for all: values are counted, dealt out by range, and summed up range by range.
 
-    Rows are dealt out by range, so equal values share a partition; the counts of the
-    partitions (one short row each) give the offset of each range.  There are as many
-    ranges as the session has shuffle partitions.
+    Rows are counted by value before anything is dealt out, so a value that very many
+    rows have is one row of a range; the planner splits its side of the join.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, value).withColumn("part_", F.spark_partition_id())
-    per = dealt.groupBy(value, "part_").agg(F.count(F.lit(1)).alias("k_"))
-    inside = Window.partitionBy("part_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("before_", F.coalesce(F.sum("k_").over(inside), F.lit(0)))
-    sizes = per.groupBy("part_").agg(F.sum("k_").alias("size_"))
-    offsets = sizes.withColumn("offset_", F.coalesce(F.sum("size_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part_", "offset_")  # one row per range
-    ranks = per.join(offsets, "part_").select(value, (F.col("offset_") + F.col("before_") + (F.col("k_") + 1) / 2).alias(name))
-    return df.join(ranks, value)
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("k_"))
+    upto = scan(ranged(counts, [], [value], parts), [], "part_", value, {"upto_": ("sum", F.col("k_"))})
+    return df.join(upto.select(value, (F.col("upto_") - F.col("k_") + (F.col("k_") + 1) / 2).alias(name)), value)
+
+
+def large_rank_ic(preds: DataFrame, by: list[str]) -> DataFrame:
+    """Correlation of average ranks where the groups are few and large: no group is one task."""
+    rows = preds.where("pred is not null and label is not null").select(*by, F.struct(*by, "pred").alias("p_"), F.struct(*by, "label").alias("y_"))
+    ranked = global_rank(global_rank(rows, "p_", "pr"), "y_", "yr")
+    dev = F.stddev_pop("pr") * F.stddev_pop("yr")
+    return ranked.groupBy(*by).agg(F.when((F.count(F.lit(1)) >= 2) & (dev > 1e-12), F.covar_pop("pr", "yr") / F.nullif(dev, F.lit(0.0))).alias("rank_ic"))

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, basket, metrics
+from barloom.operators.blocks import positions, scan, with_halo
+from barloom.operators.selection import medians, percentiles, row_hash, smallest
 from barloom.plans.sql import SPLIT, WEIGHTS, bars_sql, grid_sql, signals_sql
 from barloom.sources import bars as src
+from barloom.sources.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +105,17 @@ def hash_sample(spark, sf):
     return src.monthly_bars(spark, sf).where(_SAMPLE).select(_day().alias("day"), "instrument", "minute_index")
 
 
+_ROW_HASH = "(((CAST(date AS BIGINT) * 1000003 + instrument * 10007 + minute_index * 10009) % 2147483647) * 48271) % 2147483647"
+
+
+@_query("bounded_sample", f"WITH {bars_sql('month')}, l AS (SELECT *, lead(close) OVER (PARTITION BY date, instrument ORDER BY datetime) AS later, {_ROW_HASH} AS h FROM bars) SELECT {_day_sql()} AS day, instrument, minute_index FROM l WHERE later IS NOT NULL AND {SPLIT} = 'train' ORDER BY h, date, instrument, minute_index LIMIT 300")
+def bounded_sample(spark, sf):
+    """Exactly 300 rows of the labelled train split, those with the least hashes, found by counting."""
+    rows = src.forward_label(src.monthly_bars(spark, sf), 1).where("label is not null").where(src.split_of(F.col("date")) == "train")
+    kept = smallest(rows, 300, row_hash("date", "instrument", "minute_index"), ["date", "instrument", "minute_index"])
+    return kept.select(_day().alias("day"), "instrument", "minute_index")
+
+
 @_query("time_features", f"WITH {bars_sql('week')} SELECT minute_index // 10 AS bucket, count(*) AS n, CAST(sum(CASE WHEN minute_index < 30 THEN 1 ELSE 0 END) AS BIGINT) AS is_open, CAST(sum(CASE WHEN minute_index >= 22 THEN 1 ELSE 0 END) AS BIGINT) AS is_close FROM bars GROUP BY 1")
 def time_features(spark, sf):
     m = F.col("minute_index")
@@ -224,9 +238,11 @@ def panel_ic_minute(spark, sf):
 
 @_query("metrics_rolling", f"WITH {_DAILY} SELECT model_name, {_day_sql()} AS day, {_grids_sql(['roll_20', 'cum_ic'])} FROM (SELECT model_name, datetime, CASE WHEN count(ic) OVER r = 20 THEN avg(ic) OVER r END AS roll_20, sum(coalesce(ic, 0)) OVER (PARTITION BY model_name ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS cum_ic FROM daily WINDOW r AS (PARTITION BY model_name ORDER BY datetime ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))")
 def metrics_rolling(spark, sf):
-    run = Window.partitionBy("model_name").orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
-    daily = _panel_daily(spark, sf)
-    out = daily.withColumns({"roll_20": metrics.rolling(daily, "ic", 20, order="datetime"), "cum_ic": F.sum(F.coalesce("ic", F.lit(0.0))).over(run)})
+    """Rolling mean and running sum of the ICs; a model's times are worked on in ranges and blocks."""
+    daily = positions(_panel_daily(spark, sf).select("model_name", "datetime", "ic"), ["model_name"], "datetime")
+    summed = scan(daily, ["model_name"], "part_", "datetime", {"cum_ic": ("sum", F.coalesce("ic", F.lit(0.0)))})
+    cut = with_halo(summed, 19)
+    out = cut.withColumn("roll_20", metrics.rolling("ic", 20, ["model_name", "block_"], "datetime")).where("own_")
     return _grids(out, ["model_name", _day().alias("day")], ["roll_20", "cum_ic"])
 
 
@@ -254,7 +270,8 @@ def stock_metrics_verdict(spark, sf):
 
 @_query("ic_quantiles", f"WITH {_STOCK} SELECT model_name, {grid_sql('quantile_cont(ic, 0.05)')} AS q05, {grid_sql('quantile_cont(ic, 0.5)')} AS q50, {grid_sql('quantile_cont(ic, 0.95)')} AS q95, count(*) AS n FROM stock GROUP BY 1")
 def ic_quantiles(spark, sf):
-    out = _stock(spark, sf).groupBy("model_name").agg(*[F.percentile("ic", q).alias(n) for n, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95))], F.count(F.lit(1)).alias("n"))
+    stock = written(_stock(spark, sf).select("model_name", "ic"))
+    out = percentiles(stock, ["model_name"], "ic", {"q05": 0.05, "q50": 0.5, "q95": 0.95}).join(stock.groupBy("model_name").agg(F.count(F.lit(1)).alias("n")), "model_name")
     return _grids(out, ["model_name", "n"], ["q05", "q50", "q95"])
 
 
@@ -263,8 +280,13 @@ _ERRORS = ["bias", "bias_std", "err_q05", "err_q50", "err_q95", "abs_q95"]
 
 @_query("error_summary", f"WITH {_SIG} SELECT model_name, split, {_grids_sql(_ERRORS)} FROM (SELECT model_name, split, avg(e) AS bias, stddev_pop(e) AS bias_std, quantile_cont(e, 0.05) AS err_q05, quantile_cont(e, 0.5) AS err_q50, quantile_cont(e, 0.95) AS err_q95, quantile_cont(abs(e), 0.95) AS abs_q95 FROM ok GROUP BY 1, 2)")
 def error_summary(spark, sf):
-    rows = _signals(spark, sf).where("pred is not null and label is not null").withColumn("e", F.col("pred") - F.col("label"))
-    out = rows.groupBy("model_name", "split").agg(F.avg("e").alias("bias"), F.stddev_pop("e").alias("bias_std"), F.percentile("e", 0.05).alias("err_q05"), F.percentile("e", 0.5).alias("err_q50"), F.percentile("e", 0.95).alias("err_q95"), F.percentile(F.abs("e"), 0.95).alias("abs_q95"))
+    """Mean, spread and exact percentiles of the errors; the percentiles are selected, no task holds a group's errors."""
+    by, error = ["model_name", "split"], F.col("pred") - F.col("label")
+    rows = written(_signals(spark, sf).where("pred is not null and label is not null").select(*by, error.alias("e")))
+    kinds = F.explode(F.array(F.struct(F.lit("e").alias("kind"), F.col("e").alias("v")), F.struct(F.lit("abs").alias("kind"), F.abs("e").alias("v")))).alias("x")
+    found = percentiles(rows.select(*by, kinds).select(*by, "x.*"), [*by, "kind"], "v", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    signed = found.where("kind = 'e'").select(*by, *[F.col(q).alias(f"err_{q}") for q in ("q05", "q50", "q95")])
+    out = rows.groupBy(*by).agg(F.avg("e").alias("bias"), F.stddev_pop("e").alias("bias_std")).join(signed, by).join(found.where("kind = 'abs'").select(*by, F.col("q95").alias("abs_q95")), by)
     return _grids(out, ["model_name", "split"], _ERRORS)
 
 
@@ -359,7 +381,7 @@ def regime_metrics(spark, sf):
     """Each date's facts against their medians, all families in one job."""
     rows = _signals(spark, sf)
     facts = rows.where("model_name = 'model_a'").groupBy("date").agg(F.sum("amount").alias("amount"), F.avg(F.abs("label")).alias("vol"), F.avg("label").alias("ret"))
-    med = facts.agg(*[F.median(c).alias(f"m_{c}") for c in _FACTS]).withColumn("one", F.lit(1))
+    med = medians(facts, _FACTS).withColumn("one", F.lit(1))
     high = lambda c: F.when(F.coalesce(F.col(c) >= F.col(f"m_{c}"), F.lit(False)), "high").otherwise("low")
     labels = facts.withColumn("one", F.lit(1)).join(F.broadcast(med), "one").select("date", F.explode(F.array(*[F.struct(F.lit(c).alias("family"), high(c).alias("regime")) for c in _FACTS])).alias("r")).select("date", "r.*")  # one row of medians
     return _grids(metrics.finalised(metrics.sufficient(rows.join(labels, "date"), ["model_name", "family", "regime"])), ["model_name", "family", "regime", "n"], _METRICS)

@@ -1,7 +1,7 @@
 """Boosted trees on panel features: validation split, out-of-fold baskets, walk-forward, two stages.
 
-Spark ML trains the trees; the driver only loops over folds.  Rows are whole panels, not
-samples.  Trees cannot take missing values, so features are standardised on the training
+Spark ML trains the trees; the driver only loops over folds.  Rows are whole panels, or a
+sample of bounded size where a fit says so.  Trees cannot take missing values, so features are standardised on the training
 rows and missing ones become 0, the mean.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import basket, metrics
+from barloom.operators.selection import row_hash, smallest
 from barloom.plans.sql import SPLIT, bars_sql, grid_sql
 from barloom.sources import bars as src
 from barloom.sources.store import written
@@ -23,6 +24,9 @@ DEEP = {"maxDepth": 5, "stepSize": 0.02, "subsamplingRate": 0.8, "minInstancesPe
 #: Most trees of a query's fits.  Every tree is a Spark job, so the thousands that a local library grows in seconds would take hours; README says so.
 ROUNDS = 25
 
+#: Most rows that the shallow trees learn from, those with the least hashes.
+SAMPLE_ROWS = 2_000_000
+
 FEATURES = ["ret_1", "ret_5", "range_", "vol_ratio", "place"]
 
 
@@ -73,10 +77,11 @@ def _split_metrics(preds: DataFrame) -> DataFrame:
 
 
 def gbt_bundle(spark, sf) -> DataFrame:
-    """Metrics by split of shallow trees fitted on the sampled rows of the train split."""
+    """Metrics by split of shallow trees fitted on a bounded sample of the labelled rows of the train split."""
     rows = _rows(spark, sf)
-    sample = "split = 'train' and (cast(date as bigint) * 1000003 + instrument * 10007 + minute_index * 10009) % 50 < 25"
-    return _split_metrics(Bundle(rows.where(sample)).predict(rows))
+    keys = ("date", "instrument", "minute_index")
+    sample = smallest(rows.where("split = 'train' and label is not null"), SAMPLE_ROWS, row_hash(*keys), list(keys))
+    return _split_metrics(Bundle(sample).predict(rows))
 
 
 def gbt_deep(spark, sf) -> DataFrame:

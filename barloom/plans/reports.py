@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import backtest, basket, metrics
+from barloom.operators.blocks import positions, ranged, running_product, scan, with_halo
+from barloom.operators.selection import medians
 from barloom.plans.evaluation import _BASKET, _DAILY, _METRICS, _METRICS_SQL, _SIG, _STATE_SQL, _TRADES, _backtest, _basket_rows, _basket_sql, _component_rows, _day, _day_sql, _grids, _grids_sql, _query, _signals, _stock, grid
 from barloom.plans.sql import WEIGHTS, bars_sql, grid_sql, signals_sql
 from barloom.sources import bars as src
@@ -117,7 +119,8 @@ _DELTA = "m AS (SELECT model_name, datetime, avg(pred - label) AS delta FROM ok
 def daily_mean_delta(spark, sf):
     """Mean of prediction minus label at each time, and its strict means over 20 and 60 times."""
     rows = _ok(src.signals(src.weekly_bars(spark, sf), 4)).groupBy("model_name", "datetime").agg(F.avg(F.col("pred") - F.col("label")).alias("delta"))
-    out = rows.withColumns({f"roll_{k}": metrics.rolling(rows, "delta", k, order="datetime") for k in (20, 60)})
+    cut = with_halo(positions(rows, ["model_name"], "datetime"), 59)
+    out = cut.withColumns({f"roll_{k}": metrics.rolling("delta", k, ["model_name", "block_"], "datetime") for k in (20, 60)}).where("own_")
     return _grids(out, ["model_name", _day().alias("day")], ["delta", "roll_20", "roll_60"])
 
 
@@ -365,7 +368,7 @@ def regime_rows(spark, sf) -> DataFrame:
         F.abs("basket_pred").alias("abs_pred"), F.abs(F.col("label") - F.col("basket_label")).alias("abs_basis"), F.col("weight_coverage_pred").alias("coverage"),
     )
     base = written(_ok(base))
-    median = lambda df, at: df.agg(*[F.median(fact).alias(f"m_{fact}") for _, fact, per, _, _ in _TWO_WAY if per == at]).withColumn("one", F.lit(1))
+    median = lambda df, at: medians(df, [fact for _, fact, per, _, _ in _TWO_WAY if per == at]).withColumn("one", F.lit(1))
     base = base.withColumn("one", F.lit(1)).join(F.broadcast(median(facts, "date")), "one").join(F.broadcast(median(base, "row")), "one")  # one row each
     cut = {name: F.when(F.coalesce(F.col(fact) >= F.col(f"m_{fact}"), F.lit(False)), above).otherwise(below) for name, fact, _, above, below in _TWO_WAY}
     direction = F.when(F.col("daily_ret") >= 0, "up").otherwise("down")
@@ -388,7 +391,7 @@ SELECT family, regime, n, days, {_grids_sql(_REGIME)} FROM po JOIN ds USING (fam
 def regime_report(spark, sf):
     """For every regime: IC and rank IC of its rows, its dates' ICs, and the product of its non-overlapping trades."""
     rows, by = written(regime_rows(spark, sf)), ["family", "regime"]
-    pooled = metrics.daily_metrics(rows, by)
+    pooled = metrics.finalised(metrics.sufficient(rows, by)).join(metrics.large_rank_ic(rows, by), by)
     trade = F.when(F.col("minute_index") % 4 == 0, 1 + F.signum("pred") * F.col("label")).otherwise(1.0)
     strategy = rows.groupBy(*by).agg((F.product(trade) - 1).alias("strategy"))
     daily = metrics.finalised(metrics.sufficient(rows, [*by, "date"])).groupBy(*by).agg(
@@ -409,11 +412,11 @@ cd AS (SELECT *, v / nullif(max(v) OVER (PARTITION BY model_name, curve ORDER BY
 @_query("backtest_overlap_check", f"WITH {_OVERLAP_SQL} SELECT model_name, curve, {', '.join(f'{grid_sql(x, 4)} AS {n}' for n, x in zip(_EXTREMA, ('arg_min(v, datetime)', 'arg_max(v, datetime)', 'max(v)', 'min(v)', 'min(d)')))}, {_day_sql('arg_max(datetime, v)')} AS top_day, {_day_sql('arg_min(datetime, v)')} AS low_day, {_day_sql('arg_min(datetime, d)')} AS drawdown_day FROM cd GROUP BY 1, 2")
 def backtest_overlap_check(spark, sf):
     """Extrema of curves that compound overlapping returns, next to the price itself: the difference shows the error."""
-    series = written(_backtest(spark, sf)[0].where("pred is not null and label is not null").select("model_name", "datetime", "close", "pred", "label"))
-    w = Window.partitionBy("model_name").orderBy("datetime").rowsBetween(Window.unboundedPreceding, 0)
+    series = ranged(_backtest(spark, sf)[0].where("pred is not null and label is not null").select("model_name", "datetime", "close", "pred", "label"), ["model_name"], ["datetime"])
     growth = {"strategy": 1 + F.signum("pred") * F.col("label"), "benchmark": 1 + F.col("label")}
-    values = series.withColumns({name: backtest.running_product(g, w) for name, g in growth.items()} | {"price": F.col("close") / F.first("close").over(w)})
-    long = values.select("model_name", "datetime", F.explode(F.array(*[F.struct(F.lit(n).alias("curve"), F.col(n).alias("v")) for n in ("strategy", "benchmark", "price")])).alias("c")).select("model_name", "datetime", "c.*")
+    values = running_product(series, ["model_name"], "part_", "datetime", growth)
+    values = scan(values, ["model_name"], "part_", "datetime", {"opened": ("first", F.col("close"))}).withColumn("price", F.col("close") / F.col("opened"))
+    long = values.select("model_name", "datetime", "part_", F.explode(F.array(*[F.struct(F.lit(n).alias("curve"), F.col(n).alias("v")) for n in ("strategy", "benchmark", "price")])).alias("c")).select("model_name", "datetime", "part_", "c.*")
     return _grids(backtest.curve_extrema(long, ["model_name", "curve"]), ["model_name", "curve", "top_day", "low_day", "drawdown_day"], _EXTREMA, 4)
 
 
