@@ -29,7 +29,7 @@ def sufficient(preds: DataFrame, by: list[str]) -> DataFrame:
 def merge_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     """Sums of coarser groups; a new day's sums are merged into kept ones the same way."""
     n = F.col("n")
-    means = sums.groupBy(*by).agg(*[(F.sum(n * F.col(m)) / F.sum(n)).alias(f"all_{m}") for m in ("mp", "my")])
+    means = sums.groupBy(*by).agg(*[ratio(F.sum(n * F.col(m)), F.sum(n)).alias(f"all_{m}") for m in ("mp", "my")])
     off = {m: F.col(m) - F.col(f"all_{m}") for m in ("mp", "my")}
     parts = {"cpp": off["mp"] * off["mp"], "cyy": off["my"] * off["my"], "cpy": off["mp"] * off["my"]}
     return sums.join(means, by).groupBy(*by).agg(
@@ -37,6 +37,11 @@ def merge_sums(sums: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def negated(sums: DataFrame) -> DataFrame:
+    """Sums that take their rows out again when they are merged."""
+    return sums.withColumns({c: -F.col(c) for c in ("n", "cpp", "cyy", "cpy", "sae", "sse", "hits")})
+
+
 def finalised(sums: DataFrame) -> DataFrame:
     """Adds ic, ic_t, rmse, mae and direction_acc.  A group without spread has no ic."""
     n = F.col("n")

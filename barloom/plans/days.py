@@ -1,17 +1,20 @@
-"""Queries over what is stored by day: day files, each with the DuckDB SQL over the tables they came from."""
+"""Queries over what is stored by day: day files, kept sums, day stores, each with the DuckDB SQL over the tables they came from."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.plans.evaluation import _day, _day_sql, _grids, _grids_sql, _query
-from barloom.plans.sql import bars_sql
+from barloom.operators import metrics
+from barloom.operators.kept import KeptSums
+from barloom.plans.evaluation import _METRICS_SQL, _SIG, _day, _day_sql, _grids, _grids_sql, _query, _signals
+from barloom.plans.sql import bars_sql, grid_sql
 from barloom.sources import bars as src
 from barloom.sources import day_files
-from barloom.sources.store import shared_dir
+from barloom.sources.store import DayStore, shared_dir, written
 
 _DATED = f"{bars_sql('month')}, dated AS (SELECT *, CAST(strftime(datetime, '%Y%m%d') AS INT) AS day_ FROM bars)"
 
@@ -44,3 +47,47 @@ def calendar_day_files(spark, sf) -> DataFrame:
     w = Window.orderBy("date")  # one row per file
     dates = day_files.calendar(spark, _stored_bars(spark, sf))
     return dates.select("date", F.lag("date").over(w).alias("before"), F.lag("date", 2).over(w).alias("before_2")).where("date >= 19960101")
+
+
+# Kept sums and manifests.
+
+_KEPT = ["ic", "rmse", "mae", "direction_acc"]
+
+
+def kept_by_day(spark, sf) -> KeptSums:
+    """Signals put in by year: all up to 1999, then 2000 with wrong labels, then 2000 anew together with 2001."""
+    rows = _signals(spark, sf).select("model_name", "instrument", "date", "pred", "label")
+    kept = KeptSums(spark, ["model_name", "instrument"])
+    kept.put(rows.where("date < 20000101"))
+    kept.put(rows.where("date = 20000101").withColumn("label", 3 * F.col("label") - 1))
+    kept.put(rows.where("date >= 20000101"))
+    return kept
+
+
+@_query("metrics_kept", f"WITH {_SIG} SELECT model_name, instrument, n, {_grids_sql(_KEPT)} FROM (SELECT model_name, instrument, {_METRICS_SQL} FROM ok GROUP BY 1, 2)")
+def metrics_kept(spark, sf) -> DataFrame:
+    """Metrics of each stock from kept totals, after a day was replaced."""
+    return _grids(metrics.finalised(kept_by_day(spark, sf).totals()), ["model_name", "instrument", "n"], _KEPT)
+
+
+@_query("metrics_kept_daily", f"WITH {_SIG} SELECT model_name, instrument, date, n, {_grids_sql(_KEPT)} FROM (SELECT model_name, instrument, date, {_METRICS_SQL} FROM ok GROUP BY 1, 2, 3)")
+def metrics_kept_daily(spark, sf) -> DataFrame:
+    """Metrics of each stock and date from the same store."""
+    return _grids(metrics.finalised(kept_by_day(spark, sf).days()), ["model_name", "instrument", "date", "n"], _KEPT)
+
+
+@_query("panel_manifest", f"WITH {bars_sql('month')} SELECT date, CASE date // 10000 WHEN 1995 THEN 'hit' WHEN 1996 THEN 'backfilled' ELSE 'built' END AS state, count(*) AS rows, {grid_sql('sum(close)', 1)} AS close, {grid_sql('sum(amount)', 1)} AS amount FROM bars GROUP BY 1, 2")
+def panel_manifest(spark, sf) -> DataFrame:
+    """Days in four states: complete (1995), without a column (1996), by another factor set (1997), not stored; each is mended by what it needs."""
+    bars = written(src.monthly_bars(spark, sf))
+    set_hash = lambda names: hashlib.sha256(repr(sorted(names)).encode()).hexdigest()
+    other = DayStore(spark, made_by=set_hash(["close"]))
+    other.write(bars.where("date = 19970101").withColumn("close", F.lit(-1.0)))
+    store = DayStore(spark, other.path, made_by=set_hash(["close", "amount"]))
+    store.write(bars.where("date = 19950101"))
+    store.write(bars.where("date = 19960101").drop("amount"))
+    days = store.prebuild(bars)
+    filled = store.backfill(bars, "amount", bars, ["date", "datetime", "instrument", "minute_index"])
+    state = days.join(filled.withColumn("late", F.lit(True)), "date", "left").select("date", F.when(F.col("late"), "backfilled").when(F.col("hit"), "hit").otherwise("built").alias("state"))
+    stored = store.read(bars).groupBy("date").agg(F.sum("close").alias("close"), F.sum("amount").alias("amount"))
+    return _grids(stored.join(state, "date").join(store.current(bars.columns).select("date", "rows"), "date"), ["date", "state", "rows"], ["close", "amount"], 1)

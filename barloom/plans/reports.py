@@ -481,12 +481,13 @@ def coverage_audit(spark, sf):
 
 @_query("panel_cache", f"WITH {bars_sql('month')} SELECT date, date <= 19970101 AS hit, count(*) AS n, {grid_sql('sum(close)', 1)} AS close, {grid_sql('sum(amount)', 1)} AS amount FROM bars GROUP BY 1, 2")
 def panel_cache(spark, sf):
-    """Days up to 1997 are stored without amounts, the rest is prebuilt, and the amounts are filled in on reading."""
+    """Days up to 1997 are stored without amounts, the rest is prebuilt, and the amounts are added to the days that lack them."""
     bars = src.monthly_bars(spark, sf)
     store = DayStore(spark)
     store.write(bars.where("date <= 19970101").drop("amount"))
-    days = written(store.prebuild(bars))
-    rows = store.backfilled(bars, "amount", bars, ["date", "datetime", "instrument", "minute_index"])
+    days = store.prebuild(bars)
+    store.backfill(bars, "amount", bars, ["date", "datetime", "instrument", "minute_index"])
+    rows = store.read(bars)
     return _grids(rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum("close").alias("close"), F.sum("amount").alias("amount")).join(days, "date"), ["date", "hit", "n"], ["close", "amount"], 1)
 
 
