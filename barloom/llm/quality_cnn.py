@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import table
@@ -192,17 +192,23 @@ def _chunked(batches):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
     """place, label and chunks of labelled documents that are not held out.
 
-    Rows are taken in the order of a hash of their text (place), at most ``most`` and as
-    many as have ``most_bytes`` together; sizes are summed before any text is moved.
+    Texts are taken in the order of a hash of the text (place), at most ``most``, copies
+    with one label once.  One that does not fit into what is left of ``most_bytes`` is
+    passed over, and later ones are still taken.  Sizes decide before any text is moved.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "label").limit(2 * most)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")  # 2 * `most` rows of two numbers
     rows = rows.select(F.xxhash64("text").alias("place"), "label", "text")
-    sizes = rows.select("place", F.octet_length("text").alias("size")).orderBy("place").limit(most)
-    total = F.sum(F.col("size") + CHUNK).over(Window.orderBy("place"))  # `most` rows
-    last = sizes.withColumn("total", total).where(F.col("total") <= most_bytes).agg(F.max("place").alias("last")).first()["last"]
-    return rows.where(F.col("place") <= F.lit(last).cast("long")).mapInArrow(_chunked, "place long, label int, chunks binary")
+    sizes = rows.groupBy("place", "label").agg(F.max(F.octet_length("text")).alias("size")).orderBy("place", "label").limit(most).collect()  # three numbers each
+    taken, left = [], most_bytes
+    for r in sizes:
+        if r["size"] + CHUNK <= left:
+            taken.append((r["place"], r["label"]))
+            left -= r["size"] + CHUNK
+    chosen = docs.sparkSession.createDataFrame(taken, "place long, label int")
+    texts = rows.join(F.broadcast(chosen), ["place", "label"]).groupBy("place", "label").agg(F.min("text").alias("text"))
+    return texts.mapInArrow(_chunked, "place long, label int, chunks binary")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3) -> DataFrame:
@@ -213,7 +219,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", th
     very long ones by all their chunks, some at a time.  Rows that repeat get the same score.  Without labels of both kinds every text gets
     one score.  A null doc_id counts as not held out.  Other columns are ignored.
     """
-    rows = sorted(training_rows(docs, labels, label).collect(), key=lambda r: (r["place"], r["label"]))  # TRAIN_BYTES at most, and copies of the last row
+    rows = sorted(training_rows(docs, labels, label).collect(), key=lambda r: (r["place"], r["label"]))  # TRAIN_BYTES at most
     cut = [np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK) for r in rows]
     model = docs.sparkSession.sparkContext.broadcast(train(cut, [r["label"] for r in rows]))
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), "doc_id long, score double")

@@ -186,7 +186,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Ch
     totals = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[F.sum(y).alias(y) for y in ys]).collect()}  # FOLDS rows
     features, chosen = _features(rows, totals, k)
     got = rows.mapInArrow(_vectors(features, ["tkey", "fold", *ys]), "tkey long, fold int, " + ", ".join(f"{y} int" for y in ys) + ", at array<int>")
-    got = sorted(got.limit(2 * TRAIN_DOCS).collect(), key=lambda r: (r["tkey"], *[r[y] for y in ys]))  # a few feature numbers a row
+    got = sorted(got.orderBy("tkey", *ys).limit(2 * TRAIN_DOCS).collect(), key=lambda r: (r["tkey"], *[r[y] for y in ys]))  # a few feature numbers a row
     x = np.zeros((len(got), len(features)), dtype=np.float32)
     for i, r in enumerate(got):
         x[i, r["at"]] = 1

@@ -172,3 +172,18 @@ def test_bounds_settle_most_parts_without_all_entries():
         assert (entry == squares.argmin(axis=1)).all() and (square == squares.min(axis=1)).all() and near.shape == (3000, b)
         compared.append((depth == vector_codes.ALL).mean())
     assert compared[0] < 0.2 and min((depth == d).sum() for d in (0, 1)) > 0
+
+
+def test_a_long_text_does_not_end_the_training_set_and_copies_count_once(spark):
+    from pyspark.sql import functions as F
+
+    from barloom.llm import quality_cnn
+
+    rows = [(i, f"text {i} " * 20) for i in range(200)] + [(1000 + i, "copy " * 30) for i in range(500)] + [(2000 + i, f"{i} very long " * 40000) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    most = 150 * (quality_cnn.CHUNK + 400)
+    found = quality_cnn.training_rows(docs, labels, "quality", most_bytes=most).collect()
+    assert len({r["place"] for r in found}) == len(found) > 100
+    assert sum(len(r["chunks"]) for r in found) <= 2 * most
+    assert 0 < len(quality_cnn.training_rows(docs, labels, "quality", most=10).collect()) <= 10
