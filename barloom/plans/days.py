@@ -14,7 +14,7 @@ from barloom.plans.evaluation import _METRICS_SQL, _SIG, _day, _day_sql, _grids,
 from barloom.plans.sql import bars_sql, grid_sql
 from barloom.sources import bars as src
 from barloom.sources import day_files
-from barloom.sources.store import DayStore, shared_dir, written
+from barloom.sources.store import DayStore, RunStore, shared_dir, written
 
 _DATED = f"{bars_sql('month')}, dated AS (SELECT *, CAST(strftime(datetime, '%Y%m%d') AS INT) AS day_ FROM bars)"
 
@@ -91,3 +91,22 @@ def panel_manifest(spark, sf) -> DataFrame:
     state = days.join(filled.withColumn("late", F.lit(True)), "date", "left").select("date", F.when(F.col("late"), "backfilled").when(F.col("hit"), "hit").otherwise("built").alias("state"))
     stored = store.read(bars).groupBy("date").agg(F.sum("close").alias("close"), F.sum("amount").alias("amount"))
     return _grids(stored.join(state, "date").join(store.current(bars.columns).select("date", "rows"), "date"), ["date", "state", "rows"], ["close", "amount"], 1)
+
+
+_AHEAD = (1, 2, 3, 6)
+
+
+def _horizon_metrics(bars: DataFrame, horizon: int, sign: int) -> DataFrame:
+    before = F.lag("close").over(Window.partitionBy("instrument").orderBy("datetime"))
+    rows = src.forward_label(bars, horizon).withColumn("pred", sign * (F.col("close") / F.nullif(before, F.lit(0.0)) - 1))
+    return metrics.finalised(metrics.sufficient(rows.withColumn("horizon", F.lit(horizon)), ["horizon"])).select("horizon", "n", *_KEPT)
+
+
+@_query("horizon_latest_runs", f"WITH {bars_sql('month')}, l AS (SELECT -(close / nullif(lag(close) OVER (PARTITION BY instrument ORDER BY datetime), 0) - 1) AS pred, {', '.join(f'lead(close, {h}) OVER (PARTITION BY date, instrument ORDER BY datetime) / nullif(close, 0) - 1 AS y{h}' for h in _AHEAD)} FROM bars), u AS ({' UNION ALL '.join(f'SELECT {h} AS horizon, CASE WHEN {h} = 6 THEN -pred ELSE pred END AS pred, y{h} AS label FROM l' for h in _AHEAD)}), ok AS (SELECT *, pred - label AS e FROM u WHERE pred IS NOT NULL AND label IS NOT NULL) SELECT horizon, CASE WHEN horizon = 6 THEN 'first' ELSE 'second' END AS run, n, {_grids_sql(_KEPT)} FROM (SELECT horizon, {_METRICS_SQL} FROM ok GROUP BY 1)")
+def horizon_latest_runs(spark, sf) -> DataFrame:
+    """Stored runs of several horizons, all but one of them run again with the sign turned; the latest of each horizon is compared."""
+    bars, store = written(src.monthly_bars(spark, sf)), RunStore(spark)
+    for run, sign, horizons in (("first", 1, _AHEAD), ("second", -1, _AHEAD[:-1])):
+        for h in horizons:
+            store.add(_horizon_metrics(bars, h, sign), run)
+    return _grids(store.latest(["horizon"]), ["horizon", "run", "n"], _KEPT)

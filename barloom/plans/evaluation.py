@@ -162,6 +162,20 @@ def basket_topk_variants(spark, sf):
     return _grids(basket.topk_variants(_basket_rows(spark, sf), (5, 10, 20), ["model_name", "datetime"]), ["k", "model_name", _day().alias("day")], _BASKET_VALUES)
 
 
+_SIZES = (10, 20, 50, 100, 200)
+_MONTHLY_BASKET = f"{bars_sql('month')}, {WEIGHTS}, {signals_sql(1)}, rows_ AS (SELECT s.*, w.weight FROM sig s JOIN wbars w USING (date, datetime, instrument))"
+
+
+@_query("basket_topk_modes", f"WITH {_MONTHLY_BASKET}, modes AS ({_MODES}), {_PLACED.replace('[5, 10, 20]', str(list(_SIZES)))} SELECT k, mode, model_name, {_day_sql()} AS day, {_grids_sql(_BASKET_VALUES)} FROM (SELECT k, mode, model_name, datetime, {_basket_sql('ew')} FROM modes JOIN places USING (date, instrument) JOIN ks ON place <= k GROUP BY 1, 2, 3, 4)")
+def basket_topk_modes(spark, sf):
+    """Baskets of the 10 to 200 largest weights under each weight mode, all in one job."""
+    bars = src.monthly_bars(spark, sf)
+    weights = src.weighted_bars(bars, src.index_weights(bars)).select("date", "datetime", "instrument", "weight")
+    placed = basket.weight_rank(src.signals(bars, 1).join(weights, ["date", "datetime", "instrument"]))
+    sized = placed.select("*", F.explode(F.array(*[F.lit(k) for k in _SIZES])).alias("k")).where("place <= k")
+    return _grids(basket.basket_modes(sized, ["k", "model_name", "datetime"]), ["k", "mode", "model_name", _day().alias("day")], _BASKET_VALUES)
+
+
 @_query("topk_weight_share", f"WITH {_BASKET}, {_PLACED} SELECT k, {grid_sql('avg(share)', 7)} AS share, count(*) AS n_dates FROM (SELECT date, k, sum(CASE WHEN place <= k THEN first_weight END) / sum(first_weight) AS share FROM places, ks GROUP BY 1, 2) GROUP BY k")
 def topk_weight_share(spark, sf):
     return _grids(basket.topk_share(_basket_rows(spark, sf), (5, 10, 20)), ["k", "n_dates"], ["share"], 7)
@@ -407,14 +421,14 @@ def calendar_missing_days(spark, sf):
     return missing.groupBy("instrument").agg(F.count(F.lit(1)).alias("n_missing"), F.min("datetime").cast("date").cast("string").alias("first_missing"))
 
 
-@_query("panel_history", f"WITH {bars_sql('week')}, dates AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM bars)), h AS (SELECT e.date AS eval_day, b.*, row_number() OVER (PARTITION BY e.date, instrument ORDER BY datetime DESC) AS back FROM dates e JOIN dates p ON p.pos BETWEEN e.pos - 2 AND e.pos - 1 JOIN bars b ON b.date = p.date) SELECT eval_day, instrument, count(*) AS bars, {_day_sql('min(datetime)')} AS first_bar, {grid_sql('avg(close)', 2)} AS mean_close FROM h WHERE back <= 60 GROUP BY 1, 2")
+@_query("panel_history", f"WITH {bars_sql('week')}, dates AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM bars)), h AS (SELECT e.date AS eval_day, b.*, row_number() OVER (PARTITION BY e.date, instrument ORDER BY datetime DESC) AS back FROM dates e JOIN dates p ON p.pos BETWEEN e.pos - 2 AND e.pos - 1 JOIN bars b ON b.date = p.date) SELECT eval_day, instrument, count(*) AS bars, {_day_sql('min(datetime)')} AS first_bar, {grid_sql('avg(close)', 2)} AS mean_close FROM h WHERE back <= 250 GROUP BY 1, 2")
 def panel_history(spark, sf):
-    """The last 60 bars of each instrument before every date, from its two dates before."""
+    """The last 250 bars of each instrument before every date, from its two dates before."""
     bars = src.weekly_bars(spark, sf)
     dates = bars.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))  # the calendar, one row per date
     ahead = dates.select(F.col("date").alias("eval_day"), F.explode(F.array(F.col("pos") - 2, F.col("pos") - 1)).alias("pos")).join(dates, "pos").select("eval_day", "date")
     rows = bars.join(ahead, "date").withColumn("back", F.row_number().over(Window.partitionBy("eval_day", "instrument").orderBy(F.desc("datetime"))))
-    return _grids(rows.where("back <= 60").groupBy("eval_day", "instrument").agg(F.count(F.lit(1)).alias("bars"), F.min("datetime").cast("date").cast("string").alias("first_bar"), F.avg("close").alias("mean_close")), ["eval_day", "instrument", "bars", "first_bar"], ["mean_close"], 2)
+    return _grids(rows.where("back <= 250").groupBy("eval_day", "instrument").agg(F.count(F.lit(1)).alias("bars"), F.min("datetime").cast("date").cast("string").alias("first_bar"), F.avg("close").alias("mean_close")), ["eval_day", "instrument", "bars", "first_bar"], ["mean_close"], 2)
 
 
 @_query("pooled_rank_ic", f"WITH {_SIG}, {_RANKED.format(by='model_name')} SELECT model_name, {grid_sql('covar_pop(pr, yr) / nullif(stddev_pop(pr) * stddev_pop(yr), 0)')} AS rank_ic, count(*) AS n FROM ranked GROUP BY 1")

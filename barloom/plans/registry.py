@@ -66,37 +66,40 @@ def _outputs(terms: dict[str, Term], digits: int) -> str:
 
 
 #: Dates before the evaluated one that a feature panel takes, and at most so many bars of an instrument from them.
-HISTORY_DATES, HISTORY_BARS = 2, 60
+HISTORY_DATES, HISTORY_BARS = 2, 250
 
 
-def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_panel(terms: dict[str, Term], digits: int) -> Callable[[SparkSession, str], DataFrame]:
     """Factors of every date as they are known on it: history as it is, the date's own bars wiped and masked, history cut off.
 
     Work is dealt out by evaluated date and instrument, so no window runs over more than
     its history and one date.
     """
-    marked = written(with_valid(_bars("week", spark, sf_dir)))
-    dates = marked.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))  # the calendar, one row per date
-    back = F.explode(F.array(*[F.col("pos") - k for k in range(1, HISTORY_DATES + 1)])).alias("pos")
-    ahead = dates.select(F.col("date").alias("eval_day"), back).join(dates, "pos").select("eval_day", "date")
-    tail = Window.partitionBy("eval_day", "instrument").orderBy(F.desc("datetime"))
-    history = marked.join(ahead, "date").withColumn("back", F.row_number().over(tail)).where(F.col("back") <= HISTORY_BARS).withColumn("current", F.lit(None).cast("double"))
-    today = src.wiped(marked).withColumns({"eval_day": F.col("date"), "current": F.lit(1.0)})
-    columns = ["eval_day", "datetime", "instrument", *_FIELDS, "valid_", "current"]
-    panel = densify(written(history.select(columns).unionByName(today.select(columns))), keys=("eval_day",))
-    out = compute(panel, PANEL_TERMS, keys=("eval_day",)).where("current = 1")
-    return out.select("eval_day", F.col("datetime").cast("date").cast("string").alias("day"), "instrument", *[_rounded(n, 5) for n in PANEL_TERMS])
-
-
-def _feature_panel_sql() -> str:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        marked = written(with_valid(_bars("week", spark, sf_dir)))
+        dates = marked.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))  # the calendar, one row per date
+        back = F.explode(F.array(*[F.col("pos") - k for k in range(1, HISTORY_DATES + 1)])).alias("pos")
+        ahead = dates.select(F.col("date").alias("eval_day"), back).join(dates, "pos").select("eval_day", "date")
+        tail = Window.partitionBy("eval_day", "instrument").orderBy(F.desc("datetime"))
+        history = marked.join(ahead, "date").withColumn("back", F.row_number().over(tail)).where(F.col("back") <= HISTORY_BARS).withColumn("current", F.lit(None).cast("double"))
+        today = src.wiped(marked).withColumns({"eval_day": F.col("date"), "current": F.lit(1.0)})
+        columns = ["eval_day", "datetime", "instrument", *_FIELDS, "valid_", "current"]
+        panel = densify(written(history.select(columns).unionByName(today.select(columns))), keys=("eval_day",))
+        out = compute(panel, terms, keys=("eval_day",)).where("current = 1")
+        return out.select("eval_day", F.col("datetime").cast("date").cast("string").alias("day"), "instrument", *[_rounded(n, digits) for n in terms])
+
+    return run
+
+
+def _feature_panel_sql(terms: dict[str, Term], digits: int) -> str:
     columns = "eval_day, datetime, instrument, open, high, low, close, vol, amount, valid_, current"
     rows = f"""dates AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT date FROM bars)),
 hist AS (SELECT e.date AS eval_day, m.datetime, m.instrument, m.open, m.high, m.low, m.close, m.vol, m.amount, w.valid_, CAST(NULL AS DOUBLE) AS current, row_number() OVER (PARTITION BY e.date, m.instrument ORDER BY m.datetime DESC) AS back
 FROM dates e JOIN dates p ON p.pos BETWEEN e.pos - {HISTORY_DATES} AND e.pos - 1 JOIN marked m ON m.date = p.date JOIN wiped w ON w.datetime = m.datetime AND w.instrument = m.instrument),
 panel_rows AS (SELECT {columns} FROM hist WHERE back <= {HISTORY_BARS} UNION ALL SELECT date, datetime, instrument, open, high, low, close, vol, amount, valid_, 1e0 FROM wiped),
 grid AS (SELECT {columns} FROM (SELECT DISTINCT eval_day, datetime FROM panel_rows) JOIN (SELECT DISTINCT eval_day, instrument FROM panel_rows) USING (eval_day) LEFT JOIN panel_rows USING (eval_day, datetime, instrument))"""
-    steps, last = checking_sql("grid", PANEL_TERMS, ["eval_day", "datetime", "instrument", "current"], keys=("eval_day",))
-    return f"WITH {bars_sql('week')},\n{_VALID},\n{rows},\n{steps}\nSELECT eval_day, CAST(CAST(datetime AS DATE) AS VARCHAR) AS day, instrument, {_outputs(PANEL_TERMS, 5)} FROM {last} WHERE current = 1"
+    steps, last = checking_sql("grid", terms, ["eval_day", "datetime", "instrument", "current"], keys=("eval_day",))
+    return f"WITH {bars_sql('week')},\n{_VALID},\n{rows},\n{steps}\nSELECT eval_day, CAST(CAST(datetime AS DATE) AS VARCHAR) AS day, instrument, {_outputs(terms, digits)} FROM {last} WHERE current = 1"
 
 
 def _final(name: str) -> Term:
@@ -141,5 +144,8 @@ PANELS: dict[str, tuple] = {
     "factors_library_only": ("week", {n: _final(n) for n in factors.LIBRARY_ONLY}, 4, True),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: panel_query(*p) for n, p in PANELS.items()} | {"feature_panel": feature_panel} | evaluation.QUERIES | models.QUERIES
-ORACLE_SQL: dict[str, str] = {n: panel_sql(*p) for n, p in PANELS.items()} | {"feature_panel": _feature_panel_sql()} | evaluation.ORACLES | models.ORACLES
+#: The feature panel by parts: all factors of the stock set.
+FEATURE_PANELS: dict[str, tuple] = {"feature_panel": (PANEL_TERMS, 5)} | {f"feature_panel_{chr(97 + k)}": (chunk, 4) for k, chunk in enumerate(_chunks([*factors.DEFAULT, *factors.ALPHA]))}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: panel_query(*p) for n, p in PANELS.items()} | {n: feature_panel(*p) for n, p in FEATURE_PANELS.items()} | evaluation.QUERIES | models.QUERIES
+ORACLE_SQL: dict[str, str] = {n: panel_sql(*p) for n, p in PANELS.items()} | {n: _feature_panel_sql(*p) for n, p in FEATURE_PANELS.items()} | evaluation.ORACLES | models.ORACLES

@@ -133,6 +133,23 @@ class DayStore:
         return len(dead)
 
 
+class RunStore:
+    """Result tables of many runs; of several runs of one kind the latest counts."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame, run: str) -> None:
+        """Appends a run's rows, stamped with its name and the time."""
+        rows.withColumns({"run": F.lit(run), "made_at": F.lit(time.time_ns())}).write.mode("append").parquet(self.path)
+
+    def latest(self, kind: list[str]) -> DataFrame:
+        """The rows of the latest run of each kind, a set of key columns; ties go to the later name."""
+        rows = self.spark.read.parquet(self.path)
+        last = rows.groupBy(*kind).agg(F.max(F.struct("made_at", "run")).alias("last_"))
+        return rows.join(last, kind).where(F.struct("made_at", "run") == F.col("last_")).drop("last_", "made_at")
+
+
 def long_metrics(metrics: DataFrame, section: str, keys: list[str], values: list[str]) -> DataFrame:
     """A metrics table as (section, keys..., metric, value)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")
