@@ -27,11 +27,11 @@ def _stored_bars(spark, sf) -> str:
     return root
 
 
-@_query("bars_day_files", f"WITH {_DATED} SELECT day_ AS date, instrument, {_day_sql()} AS day, {_grids_sql(['open', 'close', 'vol'], 3)} FROM dated WHERE day_ BETWEEN 19960301 AND 19990930 AND vol > 1000")
+@_query("bars_day_files", f"WITH {_DATED} SELECT day_ AS date, instrument, {_day_sql()} AS day, {_grids_sql(['open', 'close', 'vol'], 3)} FROM dated WHERE day_ BETWEEN 19960301 AND 19990930 AND vol > 50")
 def bars_day_files(spark, sf) -> DataFrame:
     """A range of dates read from day files: other files stay closed, and only five columns are read."""
     rows = day_files.read_days(spark, _stored_bars(spark, sf), "date int, datetime timestamp_ntz, instrument long, open double, close double, vol double")
-    return _grids(rows.where("date between 19960301 and 19990930 and vol > 1000"), ["date", "instrument", _day().alias("day")], ["open", "close", "vol"], 3)
+    return _grids(rows.where("date between 19960301 and 19990930 and vol > 50"), ["date", "instrument", _day().alias("day")], ["open", "close", "vol"], 3)
 
 
 @_query("fund_day_files", f"WITH {_DATED} SELECT day_ AS date, minute_index, {_grids_sql(['close', 'vol', 'amount'], 3)} FROM dated WHERE instrument = 7")

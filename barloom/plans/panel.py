@@ -76,7 +76,7 @@ def _checked_slide(t: Term, a: list[str], keys: str) -> str:
     bars = f"list({x}) {rows}"
     value = {
         "product": f"list_product({bars})", "argmax": f"list_position({bars}, max({x}) {rows}) - 1", "argmin": f"list_position({bars}, min({x}) {rows}) - 1",
-        "rank": f"list_sum(list_transform({bars}, lambda v: CASE WHEN v < {x} THEN 1e0 WHEN v = {x} THEN 0.5e0 ELSE 0e0 END)) / {n} + 0.5e0 / {n}",
+        "rank": f"(list_sum(list_transform({bars}, lambda v: CASE WHEN v < {x} THEN 1e0 WHEN v = {x} THEN 0.5e0 ELSE 0e0 END)) + 0.5e0) / {n}",
         "decay": f"list_sum(list_transform({bars}, lambda v, i: v * ({n} + 1 - i))) / {n * (n + 1) // 2}",
     }[t.op]
     return f"CASE WHEN count({x}) {rows} = {n} THEN CAST({value} AS DOUBLE) END"
