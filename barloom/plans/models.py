@@ -100,11 +100,11 @@ def _folds(rows: DataFrame) -> list[int]:
     return [r["date"] for r in rows.select("date").distinct().orderBy("date").collect()]  # the calendar of years
 
 
-def out_of_fold(rows: DataFrame) -> DataFrame:
+def out_of_fold(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Each year predicted by trees fitted on all earlier years; two are needed, one of them to validate."""
     parts, years = [], _folds(rows)
     for year in years[2:]:
-        parts.append(Bundle(rows.where(F.col("date") < year)).predict(rows.where(F.col("date") == year)))
+        parts.append(Bundle(rows.where(F.col("date") < year), rounds=rounds).predict(rows.where(F.col("date") == year)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
