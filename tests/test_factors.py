@@ -108,3 +108,62 @@ def test_shuffles_follow_changes_of_direction(spark, panel):
     fields = panel.select("instrument", "datetime", *[F.col("close").alias(c) for c in ("open", "high", "low", "close", "vol", "amount")])
     plan = compute(fields, terms)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 4
+
+
+def at_times(got):
+    return [{i: got[i][t] for i in X} for t in range(10)]
+
+
+def test_neutralize_takes_out_the_mean_of_each_group(panel):
+    got = at_times(values(panel, f.neutralize(f.close, f.sign(f.close - 3))))
+    for t in range(10):
+        col = {i: xs[t] for i, xs in X.items()}
+        for i, x in col.items():
+            group = [v for v in col.values() if v is not None and x is not None and np.sign(v - 3) == np.sign(x - 3)]
+            same([got[t][i]], [None if x is None else x - sum(group) / len(group)])
+
+
+def test_clip_rank_ranks_what_percentiles_bound(panel):
+    got = at_times(values(panel, f.clip_rank(f.close, 0.3, 0.6)))
+    for t in range(10):
+        col = {i: xs[t] for i, xs in X.items() if xs[t] is not None}
+        lo, hi = np.quantile(list(col.values()), [0.3, 0.6])
+        cut = {i: max(min(v, hi), lo) for i, v in col.items()}
+        for i in X:
+            same([got[t][i]], [(sum(v < cut[i] for v in cut.values()) + (sum(v == cut[i] for v in cut.values()) + 1) / 2) / len(cut) if i in cut else None])
+
+
+POINTWISE = {
+    "signed_power": (lambda x: f.signed_power(x - 3, 2), lambda v: math.copysign(abs(v - 3) ** 2, v - 3)), "signed_root": (lambda x: f.signed_sqrt(x - 3), lambda v: math.copysign(math.sqrt(abs(v - 3)), v - 3)),
+    "inverse": (lambda x: f.signed_power(x - 3, -1), lambda v: None if v == 3 else 1 / (v - 3)), "pow": (lambda x: f.pow_(x, 3), lambda v: v**3), "root_of_negative": (lambda x: f.pow_(x, 0.5), lambda v: v**0.5 if v >= 0 else None),
+    "zero_to_minus_one": (lambda x: f.pow_(x, -1), lambda v: None if v == 0 else 1 / v), "anything_to_zero": (lambda x: f.pow_(x, 0), lambda v: 1.0), "log": (f.log, lambda v: math.log(v) if v > 0 else None),
+    "least": (lambda x: f.min_(x, 2), lambda v: min(v, 2)), "most": (lambda x: f.max_(x, 2), lambda v: max(v, 2)),
+}
+
+
+@pytest.mark.parametrize("name", POINTWISE)
+def test_row_by_row(panel, name):
+    term, plain = POINTWISE[name]
+    got = values(panel, term(f.close))
+    for i, xs in X.items():
+        missing = {"anything_to_zero": 1.0, "least": 2.0, "most": 2.0}.get(name)  # least and most pass over what is missing
+        same(got[i], [missing if x is None else plain(x) for x in xs])
+
+
+def test_covariance_of_a_population(panel):
+    got = values(panel, f.ts_cov(f.close, f.volume, 3))
+    for i, xs in X.items():
+        same(got[i], strict([None if x is None else (x, float(t)) for t, x in enumerate(xs)], 3, lambda w: (w[:, 0] * w[:, 1]).mean() - w[:, 0].mean() * w[:, 1].mean()))
+
+
+def test_running_fields(panel):
+    df = panel.withColumns({"high": F.col("close"), "low": F.col("close"), "open": F.col("close"), "amount": F.col("close") * F.col("vol")})
+    terms = {"vwap": f.vwap, "top": f.high_so_far, "low_": f.low_so_far, "opened": f.open0}
+    rows = compute(df, terms).orderBy("instrument", "t").collect()
+    for i, xs in X.items():
+        own = [r for r in rows if r["instrument"] == i]
+        for t, x in enumerate(xs):
+            there = [(v, float(s)) for s, v in enumerate(xs[: t + 1]) if v is not None]
+            volume = sum(v for _, v in there)
+            same([own[t]["vwap"]], [sum(a * v for a, v in there) / volume if volume else None])
+            same([own[t]["top"], own[t]["low_"], own[t]["opened"]], [None if x is None else max(a for a, _ in there), None if x is None else min(a for a, _ in there), xs[0]])
