@@ -3,11 +3,17 @@
 Every document gets integer measures.  Their distribution in each (lang, source) is kept
 in a quantile sketch: counts per logarithmic bucket with 16 steps an octave, so a
 quantile is off by 1/16 at most.  Sketches merge by adding counts, which gives those of
-a language and of everything.  The quartiles of a group are drawn towards its language's,
-and those towards everything's, by the weight of PRIOR documents, so small groups lean on
-their parents and large ones hardly do.  A cutoff lies some spreads beyond a quartile; a
-spread is the distance of the quartiles, or the least spread of a measure where nearly
-all documents have the same value.  Documents are then filtered by a join with the cutoffs.
+a language and of everything.  A group's sketch is drawn towards its language's, and that
+towards everything's, by the weight of PRIOR documents, so small groups lean on their
+parents and large ones hardly do.
+
+Measures with a spread (FENCES) are cut some spreads of the quartiles beyond a quartile.
+Measures that are zero in most documents have equal quartiles; they are cut in the first
+gap of the sketch above the upper quartile: where the quantile of a level and that of a
+thousandth more lie two octaves apart, the cutoff is their geometric middle.  A source
+whose good texts all have some symbols thus gets another cutoff than one of plain prose,
+and one with an even tail is cut where the tail ends.  Documents are then filtered by a
+join with the cutoffs.
 """
 
 from __future__ import annotations
@@ -21,11 +27,16 @@ from barloom.llm.common import saved, table
 from barloom.llm.words import NON_SPACE, byte_hashes, row_slices, split_words, window_hashes
 
 #: Measure to how many spreads beyond the quartile its cutoff lies, and the least spread; shares are in thousandths, the length of words in tenths of a character.
-FENCES = {"symbols_pm": (4, 5), "dup_lines_pm": (20, 15), "repeats_pm": (20, 10), "upper_pm": (6, 3), "bangs_pm": (4, 5), "word_len": (4, 2)}
+FENCES = {"upper_pm": (6, 3), "word_len": (4, 2)}
+#: Measures cut in a gap, to the thousandths added before octaves are counted (differences below them mean little).
+GAPS = {"symbols_pm": 5, "dup_lines_pm": 50, "repeats_pm": 20, "bangs_pm": 5}
+#: Quotient of the two ends of a gap, and the millionths of a group that may lie in it.
+GAP_WIDTH, GAP_MASS = 4, 1_000
 #: Measures that have a lower cutoff too.
 BOTH_SIDES = ["word_len"]
-#: Documents that a parent's quartiles count for in a group's.
+#: Documents that a parent's sketch counts for in a group's.
 PRIOR = 50
+_RULES = [*GAPS, *FENCES]
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs", "n_chars")
 
@@ -133,29 +144,45 @@ def merge_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group: its number of documents, and q1_<measure> and q3_<measure>."""
-    run = Window.partitionBy(*by, "measure").orderBy("bucket")
-    steps = sketches.withColumn("upto", F.sum("n").over(run)).withColumn("total", F.sum("n").over(Window.partitionBy(*by, "measure")))
-    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (F.col("upto") * 4 >= F.col("total") * q), F.col("bucket")))
-    return steps.groupBy(*by).agg(F.max("total").alias("docs"), *[at(m, q).alias(f"q{q}_{m}") for m in FENCES for q in (1, 3)])
+def drawn_sketches(sketches: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket) to the millionths of the group, drawn towards the parents; no bucket of zero.
 
+    The sketch of everything has every bucket that any group has, at most 16 an octave; as
+    one list per measure it is dealt to the languages, and theirs to the groups.
+    """
+    totals = lambda rows, by: rows.groupBy(*by, "measure").agg(F.sum("n").alias("docs"))
+    listed = lambda rows, by, part: rows.groupBy(*by, "measure").agg(F.collect_list(F.struct("bucket", part.alias("part"))).alias("parent"))
+    same = lambda a, b, by: [a[c].eqNullSafe(b[c]) for c in by]
+
+    def level(rows: DataFrame, parent: DataFrame, by: list[str], shared: list[str]) -> DataFrame:
+        groups = totals(rows, by)
+        joined = groups.join(parent, [*same(groups, parent, shared), groups["measure"] == parent["measure"]]).select(*[groups[c] for c in [*by, "measure"]], "docs", F.inline("parent"))
+        found = joined.join(rows, [*same(joined, rows, by), joined["measure"] == rows["measure"], joined["bucket"] == rows["bucket"]], "left")
+        part = F.expr(f"(coalesce(n, 0) * 1000000 + {PRIOR} * part) div (docs + {PRIOR})")
+        return found.select(*[joined[c] for c in [*by, "measure", "bucket"]], part.alias("part"))
 
-def drawn(own: str, parent: str, value: str) -> str:
-    """SQL of a group's quartile drawn towards its parent's."""
-    return f"({own}.docs * {own}.{value} + {PRIOR} * {parent}) div ({own}.docs + {PRIOR})"
+    whole = merge_sketches(sketches, [])
+    start = listed(whole.join(F.broadcast(totals(whole, [])), "measure"), [], F.expr("n * 1000000 div docs"))  # totals: one row per measure
+    langs = level(merge_sketches(sketches, ["lang"]), F.broadcast(start), ["lang"], [])  # start: one row per measure
+    return level(sketches, listed(langs, ["lang"], F.col("part")), ["lang", "source"], ["lang"]).where("part > 0")
 
 
 def cutoffs(sketches: DataFrame) -> DataFrame:
-    """(lang, source) to the struct cut: upper_<measure>, and lower_<measure> where there is one."""
-    fine = quartiles(sketches, ["lang", "source"]).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct("*").alias("own"))
-    coarse = quartiles(merge_sketches(sketches, ["lang"]), ["lang"]).select("lang", F.struct("*").alias("lang_"))
-    whole = quartiles(merge_sketches(sketches.withColumn("one", F.lit(0)), ["one"]), ["one"]).select("one", F.struct("*").alias("all_"))
-    joined = fine.join(coarse, F.col("g_lang").eqNullSafe(F.col("lang"))).withColumn("one", F.lit(0)).join(F.broadcast(whole), "one")  # one row
-    value = {f"q{q}_{m}": F.expr(drawn("own", drawn("lang_", f"all_.q{q}_{m}", f"q{q}_{m}"), f"q{q}_{m}")) for m in FENCES for q in (1, 3)}
-    reach = {m: k * F.greatest(value[f"q3_{m}"] - value[f"q1_{m}"], F.lit(least)) for m, (k, least) in FENCES.items()}
-    cuts = [(value[f"q3_{m}"] + reach[m]).alias(f"upper_{m}") for m in FENCES] + [(value[f"q1_{m}"] - reach[m]).alias(f"lower_{m}") for m in BOTH_SIDES]
-    return joined.select("g_lang", "g_source", F.struct(*cuts).alias("cut"))
+    """(g_lang, g_source) to the struct cut: upper_<measure>, and lower_<measure> where there is one."""
+    group = ["lang", "source", "measure"]
+    run = Window.partitionBy(*group).orderBy("bucket")
+    steps = drawn_sketches(sketches).withColumns({"upto": F.sum("part").over(run), "total": F.sum("part").over(Window.partitionBy(*group))})
+    beyond = Window.partitionBy(*group).orderBy("upto").rangeBetween(GAP_MASS + 1, Window.unboundedFollowing)
+    steps = steps.withColumn("next", F.min("bucket").over(beyond))
+    least = lambda m, when, what: F.min(F.when((F.col("measure") == m) & F.expr(when), what))
+    quartile = {f"q{q}_{m}": least(m, f"upto * 4 >= total * {q}", F.col("bucket")) for m in FENCES for q in (1, 3)}
+    gap = {m: least(m, f"upto * 4 >= total * 3 and (next is null or next + {o} >= {GAP_WIDTH} * (bucket + {o}))", F.struct("bucket", "next")) for m, o in GAPS.items()}
+    found = steps.groupBy("lang", "source").agg(*[c.alias(name) for name, c in {**quartile, **gap}.items()])
+    reach = {m: k * F.greatest(F.col(f"q3_{m}") - F.col(f"q1_{m}"), F.lit(least_)) for m, (k, least_) in FENCES.items()}
+    middle = lambda m, o: F.expr(f"coalesce(cast(floor(sqrt(({m}.bucket + {o}) * ({m}.next + {o}))) as bigint), 2 * ({m}.bucket + {o})) - {o}")
+    cuts = [middle(m, o).alias(f"upper_{m}") for m, o in GAPS.items()] + [(F.col(f"q3_{m}") + reach[m]).alias(f"upper_{m}") for m in FENCES]
+    cuts += [(F.col(f"q1_{m}") - reach[m]).alias(f"lower_{m}") for m in BOTH_SIDES]
+    return found.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct(*cuts).alias("cut"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -177,7 +204,7 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     sketches = saved(quantile_sketches(judged.where(~F.col("base_failed")), ["lang", "source"]))
     chosen = saved(cutoffs(sketches))
     joined = judged.join(chosen, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
-    failed = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *[F.when(F.col(m) > F.col(f"cut.upper_{m}"), F.lit(m)) for m in FENCES], *[F.when(F.col(m) < F.col(f"cut.lower_{m}"), F.lit(m)) for m in BOTH_SIDES])
+    failed = F.coalesce(F.when(F.col("base_failed"), F.lit("base")), *[F.when(F.col(m) > F.col(f"cut.upper_{m}"), F.lit(m)) for m in _RULES], *[F.when(F.col(m) < F.col(f"cut.lower_{m}"), F.lit(m)) for m in BOTH_SIDES])
     return joined.select("doc_id", *_COUNTS, "base_failed", failed.isNull().alias("kept"), failed.alias("failed_rule"))
 
 
@@ -187,17 +214,22 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
 
 
-_M = list(FENCES)
-_Q = [f"q{q}_{m}" for m in FENCES for q in (1, 3)]
-
-
 def _cuts_sql() -> str:
-    """Quartiles drawn towards the parents, then the cutoffs."""
-    level = lambda own, parent, v: f"(({own}.docs * {own}.{v} + {PRIOR} * {parent}) // ({own}.docs + {PRIOR}))"
-    drawn_ = ", ".join(f"{level('a', level('b', f'c.{v}', v), v)} AS {v}" for v in _Q)
-    upper = ", ".join(f"q3_{m} + {k} * greatest(q3_{m} - q1_{m}, {least}) AS upper_{m}" for m, (k, least) in FENCES.items())
-    lower = ", ".join(f"q1_{m} - {FENCES[m][0]} * greatest(q3_{m} - q1_{m}, {FENCES[m][1]}) AS lower_{m}" for m in BOTH_SIDES)
-    return f"z AS (SELECT a.lang, a.source, {drawn_} FROM e a JOIN e b ON a.lang IS NOT DISTINCT FROM b.lang AND b.k = 1 JOIN e c ON c.k = 2 WHERE a.k = 0), x AS (SELECT lang, source, {upper}, {lower} FROM z)"
+    """Sketches drawn towards the parents by plain joins on every bucket, then the cutoffs."""
+    upper = [f"coalesce(CAST(floor(sqrt((g_{m}[1] + {o}) * (g_{m}[2] + {o}))) AS BIGINT), 2 * (g_{m}[1] + {o})) - {o} AS upper_{m}" for m, o in GAPS.items()]
+    upper += [f"q3_{m} + {k} * greatest(q3_{m} - q1_{m}, {least}) AS upper_{m}" for m, (k, least) in FENCES.items()]
+    lower = [f"q1_{m} - {FENCES[m][0]} * greatest(q3_{m} - q1_{m}, {FENCES[m][1]}) AS lower_{m}" for m in BOTH_SIDES]
+    quart = [f"min(bucket) FILTER (measure = '{m}' AND upto * 4 >= total * {q}) AS q{q}_{m}" for m in FENCES for q in (1, 3)]
+    gap = [f"arg_min([bucket, nxt], bucket) FILTER (measure = '{m}' AND upto * 4 >= total * 3 AND (nxt IS NULL OR nxt + {o} >= {GAP_WIDTH} * (bucket + {o}))) AS g_{m}" for m, o in GAPS.items()]
+    return f"""s0 AS (SELECT measure, bucket, CAST(count(*) AS BIGINT) * 1000000 // (SELECT count(*) FROM b z WHERE z.measure = b.measure) AS part FROM b GROUP BY measure, bucket),
+s1 AS (SELECT k.lang, s0.measure, s0.bucket, ((SELECT count(*) FROM b z WHERE z.lang IS NOT DISTINCT FROM k.lang AND z.measure = s0.measure AND z.bucket = s0.bucket) * 1000000 + {PRIOR} * part) // (k.docs + {PRIOR}) AS part
+      FROM (SELECT lang, count(*) AS docs FROM j WHERE NOT base_failed GROUP BY lang) k, s0),
+s2 AS (SELECT k.lang, k.source, s1.measure, s1.bucket, (coalesce(c.n, 0) * 1000000 + {PRIOR} * part) // (k.docs + {PRIOR}) AS part
+      FROM (SELECT lang, source, count(*) AS docs FROM j WHERE NOT base_failed GROUP BY ALL) k JOIN s1 ON k.lang IS NOT DISTINCT FROM s1.lang
+      LEFT JOIN (SELECT lang, source, measure, bucket, count(*) AS n FROM b GROUP BY ALL) c ON c.lang IS NOT DISTINCT FROM k.lang AND c.source IS NOT DISTINCT FROM k.source AND c.measure = s1.measure AND c.bucket = s1.bucket),
+u AS (SELECT *, CAST(sum(part) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS BIGINT) AS upto, CAST(sum(part) OVER (PARTITION BY lang, source, measure) AS BIGINT) AS total FROM s2 WHERE part > 0),
+u2 AS (SELECT *, (SELECT min(v.bucket) FROM u v WHERE v.lang IS NOT DISTINCT FROM u.lang AND v.source IS NOT DISTINCT FROM u.source AND v.measure = u.measure AND v.upto > u.upto + {GAP_MASS}) AS nxt FROM u),
+z AS (SELECT lang, source, {", ".join(quart + gap)} FROM u2 GROUP BY ALL), x AS (SELECT lang, source, {", ".join(upper + lower)} FROM z)"""
 
 
 #: The same rows in one statement.
@@ -215,13 +247,10 @@ c AS (SELECT d.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(
       FROM d LEFT JOIN l2 USING (r) LEFT JOIN g3 USING (r)),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbols_pm, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines_pm,
       n_repeat_words * 1000 // greatest(n_words, 1) AS repeats_pm, n_upper * 1000 // greatest(word_chars, 1) AS upper_pm, n_bangs * 1000 // greatest(word_chars, 1) AS bangs_pm, word_chars * 10 // greatest(n_words, 1) AS word_len FROM c),
-v AS (SELECT lang, source, unnest({_M}) AS measure, unnest([{", ".join(_M)}]) AS value FROM j WHERE NOT base_failed),
+v AS (SELECT lang, source, unnest({_RULES}) AS measure, unnest([{", ".join(_RULES)}]) AS value FROM j WHERE NOT base_failed),
 b AS (SELECT lang, source, measure, CASE WHEN value < 32 THEN value ELSE (value >> (length(bin(value)) - 5)) << (length(bin(value)) - 5) END AS bucket FROM v),
-s AS (SELECT 0 AS k, lang, source, measure, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, measure, bucket, count(*) FROM b GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, measure, bucket, count(*) FROM b GROUP BY ALL),
-u AS (SELECT *, sum(n) OVER (PARTITION BY k, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY k, lang, source, measure) AS total FROM s),
-e AS (SELECT k, lang, source, max(total) AS docs, {", ".join(f"min(bucket) FILTER (measure = '{m}' AND upto * 4 >= total * {q}) AS q{q}_{m}" for m in _M for q in (1, 3))} FROM u GROUP BY ALL),
 {_cuts_sql()},
-y AS (SELECT j.*, CASE WHEN base_failed THEN 'base' {" ".join(f"WHEN {m} > upper_{m} THEN '{m}'" for m in _M)} {" ".join(f"WHEN {m} < lower_{m} THEN '{m}'" for m in BOTH_SIDES)} END AS failed_rule
+y AS (SELECT j.*, CASE WHEN base_failed THEN 'base' {" ".join(f"WHEN {m} > upper_{m} THEN '{m}'" for m in _RULES)} {" ".join(f"WHEN {m} < lower_{m} THEN '{m}'" for m in BOTH_SIDES)} END AS failed_rule
       FROM j LEFT JOIN x ON j.lang IS NOT DISTINCT FROM x.lang AND j.source IS NOT DISTINCT FROM x.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rule IS NULL AS kept, failed_rule FROM y
 """
