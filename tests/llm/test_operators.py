@@ -3,7 +3,9 @@
 import collections
 import gzip
 import hashlib
+import math
 import os
+import random
 import re
 import textwrap
 import time
@@ -214,6 +216,48 @@ def test_cutoffs_follow_the_group(spark):
     assert sum(v is not None for k, v in got.items() if k < 5000) == 0
 
 
+def _gap_cut(groups, own, offset):
+    """Brute-force cutoff of one measure for the group ``own``, from the plain values of every (lang, source)."""
+    def bucket(v):
+        bits = max(v.bit_length() - 5, 0)
+        return v >> bits << bits
+
+    def level(values, parent):
+        return {b: (sum(bucket(v) == b for v in values) * 10**6 + quality_rules.PRIOR * p) // (len(values) + quality_rules.PRIOR) for b, p in parent.items()}
+
+    every = [v for values in groups.values() for v in values]
+    whole = {b: sum(bucket(v) == b for v in every) * 10**6 // len(every) for b in {bucket(v) for v in every}}
+    mass = level(groups[own], level([v for g, values in groups.items() if g[0] == own[0] for v in values], whole))
+    mass = sorted((b, p) for b, p in mass.items() if p)
+    total, upto = sum(p for _, p in mass), np.cumsum([p for _, p in mass])
+    for (b, _), u in zip(mass, upto):
+        nxt = min((c for (c, _), w in zip(mass, upto) if w > u + quality_rules.GAP_MASS), default=None)
+        if u * 4 >= total * 3 and (nxt is None or nxt + offset >= quality_rules.GAP_WIDTH * (b + offset)):
+            return (2 * (b + offset) if nxt is None else math.isqrt((b + offset) * (nxt + offset))) - offset
+
+
+def test_symbol_cutoffs_differ_between_groups(spark):
+    """A source of marked-up text keeps what would be junk in one of plain prose; brute force finds the same cutoffs."""
+    rng = random.Random(8)
+
+    def text(symbols):  # 100 words of ten characters
+        words = ["".join(rng.choice("abcdefghij") for _ in range(10)) for _ in range(100)]
+        return " ".join("#" * (symbols // 100 + (k < symbols % 100)) + w[symbols // 100 + (k < symbols % 100):] for k, w in enumerate(words))
+
+    plain = [0] * 380 + [rng.randint(250, 300) for _ in range(20)]
+    marked = [rng.randint(30, 60) for _ in range(380)] + [rng.randint(500, 600) for _ in range(20)]
+    groups = {("xx", "plain"): plain + [45], ("xx", "marked"): marked + [45], ("yy", None): [0, 3, 3]}
+    rows = [(1000 * g + k, text(v), lang, source) for g, ((lang, source), values) in enumerate(groups.items()) for k, v in enumerate(values)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    cut = {g: _gap_cut(groups, g, quality_rules.GAPS["symbols_pm"]) for g in groups}
+    assert cut["xx", "plain"] < 45 < cut["xx", "marked"] < 500
+    for g, (key, values) in enumerate(groups.items()):
+        for k, v in enumerate(values):
+            assert got[1000 * g + k]["n_symbols"] == v
+            assert (got[1000 * g + k]["failed_rule"] == "symbols_pm") == (v > cut[key])
+    assert got[400]["failed_rule"] == "symbols_pm" and got[1400]["kept"]
+
+
 def test_sketches_merge(spark):
     docs = table(spark, SF, "documents").mapInArrow(quality_rules._count, "doc_id long, lang string, source string, " + ", ".join(f"{n} long" for n in quality_rules._COUNTS)).withColumns(quality_rules.measures())
     fine = quality_rules.merge_sketches(quality_rules.quantile_sketches(docs, ["lang", "source"]), ["lang"])
