@@ -76,11 +76,11 @@ def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, fl
     return between.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, F.col("v_"))).alias(name) for name in shares])
 
 
-def medians(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with the median of each column, NULLs left out, named m_ and the column."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    found = percentiles(long, ["fact"], "v", {"m": 0.5})
-    return found.agg(*[F.max(F.when(F.col("fact") == c, F.col("m"))).alias(f"m_{c}") for c in columns])
+def medians(rows: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame:
+    """One row, or one for each group, with the median of each column, NULLs left out, named m_ and the column."""
+    long = rows.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("fact"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*by, "x.*")
+    found = percentiles(long, [*by, "fact"], "v", {"m": 0.5})
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("fact") == c, F.col("m"))).alias(f"m_{c}") for c in columns])
 
 
 def smallest(rows: DataFrame, k: int, key: Column, ties: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import factor as f
 from barloom.functions.factor import Term
-from barloom.plans import evaluation, factors, models
+from barloom.plans import evaluation, factors, models, monthly
 from barloom.plans import days as _days  # noqa: F401  these two register their queries with those of evaluation
 from barloom.plans import reports as _reports  # noqa: F401
 from barloom.plans.evaluation import grid
@@ -147,5 +147,5 @@ PANELS: dict[str, tuple] = {
 #: The feature panel by parts: all factors of the stock set.
 FEATURE_PANELS: dict[str, tuple] = {"feature_panel": (PANEL_TERMS, 5)} | {f"feature_panel_{chr(97 + k)}": (chunk, 4) for k, chunk in enumerate(_chunks([*factors.DEFAULT, *factors.ALPHA]))}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: panel_query(*p) for n, p in PANELS.items()} | {n: feature_panel(*p) for n, p in FEATURE_PANELS.items()} | evaluation.QUERIES | models.QUERIES
-ORACLE_SQL: dict[str, str] = {n: panel_sql(*p) for n, p in PANELS.items()} | {n: _feature_panel_sql(*p) for n, p in FEATURE_PANELS.items()} | evaluation.ORACLES | models.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: panel_query(*p) for n, p in PANELS.items()} | {n: feature_panel(*p) for n, p in FEATURE_PANELS.items()} | evaluation.QUERIES | models.QUERIES | monthly.QUERIES
+ORACLE_SQL: dict[str, str] = {n: panel_sql(*p) for n, p in PANELS.items()} | {n: _feature_panel_sql(*p) for n, p in FEATURE_PANELS.items()} | evaluation.ORACLES | models.ORACLES | monthly.ORACLES

@@ -158,12 +158,16 @@ def verdict_counts(spark, sf):
     return _stock(spark, sf).groupBy("model_name", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("instruments"), F.sum("n").alias("n"))
 
 
-@_query("top_bottom_instruments", f"WITH {_SIG}, s AS (SELECT instrument, {_METRICS_SQL} FROM ok WHERE model_name = 'model_a' GROUP BY 1), g AS (SELECT instrument, n, {grid_sql('ic')} AS ic FROM s WHERE ic IS NOT NULL) (SELECT 'top' AS side, * FROM g ORDER BY ic DESC, instrument LIMIT 10) UNION ALL (SELECT 'bottom', * FROM g ORDER BY ic, instrument LIMIT 10)")
+_END = "row_number() OVER (PARTITION BY model_name ORDER BY ic{}, instrument) <= 10"
+
+
+@_query("top_bottom_instruments", f"WITH {_SIG}, s AS (SELECT model_name, instrument, {_METRICS_SQL} FROM ok GROUP BY 1, 2), g AS (SELECT model_name, instrument, n, {grid_sql('ic')} AS ic FROM s WHERE ic IS NOT NULL) (SELECT 'top' AS side, * FROM g QUALIFY {_END.format(' DESC')}) UNION ALL (SELECT 'bottom', * FROM g QUALIFY {_END.format('')})")
 def top_bottom_instruments(spark, sf):
-    """The ten best and the ten worst instruments by IC: a top-k report."""
-    rows = metrics.finalised(metrics.sufficient(_signals(spark, sf).where("model_name = 'model_a'"), ["instrument"])).where("ic is not null")
-    rows = _grids(rows, ["instrument", "n"], ["ic"])
-    ends = [rows.orderBy(order, "instrument").limit(10).select(F.lit(side).alias("side"), "*") for side, order in (("top", F.desc("ic")), ("bottom", F.asc("ic")))]
+    """The ten best and the ten worst instruments of each model by IC: a top-k report."""
+    rows = metrics.finalised(metrics.sufficient(_signals(spark, sf), ["model_name", "instrument"])).where("ic is not null")
+    rows = written(_grids(rows, ["model_name", "instrument", "n"], ["ic"]))
+    place = lambda order: F.row_number().over(Window.partitionBy("model_name").orderBy(order, "instrument"))  # noqa: E731  the planner keeps ten rows a task before the shuffle
+    ends = [rows.withColumn("place", place(order)).where("place <= 10").drop("place").select(F.lit(side).alias("side"), "*") for side, order in (("top", F.desc("ic")), ("bottom", F.asc("ic")))]
     return ends[0].unionByName(ends[1])
 
 
@@ -348,49 +352,53 @@ _TWO_WAY = [
     ("prediction_strength", "abs_pred", "row", "strong", "weak"), ("basis", "abs_basis", "row", "large", "small"), ("coverage", "coverage", "row", "high", "low"),
 ]
 _REGIME_ROWS_SQL = f"""{_TRADES}, {_MARKET_SQL.replace("fund_ AS", "fund9_ AS").replace("FROM fund_)", "FROM fund9_)")},
-rr AS (SELECT s.date, s.datetime, s.pred, s.label, f.minute_index, daily_amount, daily_rvol, daily_ret, trend, dispersion, abs(s.pred) AS abs_pred, abs(s.label - bk.basket_label) AS abs_basis, bk.weight_coverage_pred AS coverage
-FROM series s JOIN fund9_ f USING (date, datetime) JOIN market USING (date) JOIN bk ON bk.model_name = s.model_name AND bk.datetime = s.datetime WHERE s.model_name = 'model_a' AND s.pred IS NOT NULL AND s.label IS NOT NULL),
-mm AS (SELECT {", ".join(f"median({fact}) AS m_{fact}" for _, fact, at, _, _ in _TWO_WAY if at == "date")} FROM market), mr AS (SELECT {", ".join(f"median({fact}) AS m_{fact}" for _, fact, at, _, _ in _TWO_WAY if at == "row")} FROM rr),
-lab AS ({" UNION ALL ".join(f"SELECT rr.*, '{name}' AS family, CASE WHEN coalesce({fact} >= m_{fact}, false) THEN '{above}' ELSE '{below}' END AS regime FROM rr, mm, mr" for name, fact, _, above, below in _TWO_WAY)}
+rr AS (SELECT s.model_name, s.date, s.datetime, s.pred, s.label, f.minute_index, daily_amount, daily_rvol, daily_ret, trend, dispersion, abs(s.pred) AS abs_pred, abs(s.label - bk.basket_label) AS abs_basis, bk.weight_coverage_pred AS coverage
+FROM series s JOIN fund9_ f USING (date, datetime) JOIN market USING (date) JOIN bk ON bk.model_name = s.model_name AND bk.datetime = s.datetime WHERE s.pred IS NOT NULL AND s.label IS NOT NULL),
+mm AS (SELECT {", ".join(f"median({fact}) AS m_{fact}" for _, fact, at, _, _ in _TWO_WAY if at == "date")} FROM market), mr AS (SELECT model_name, {", ".join(f"median({fact}) AS m_{fact}" for _, fact, at, _, _ in _TWO_WAY if at == "row")} FROM rr GROUP BY 1),
+lab AS ({" UNION ALL ".join(f"SELECT rr.*, '{name}' AS family, CASE WHEN coalesce({fact} >= m_{fact}, false) THEN '{above}' ELSE '{below}' END AS regime FROM rr JOIN mr USING (model_name), mm" for name, fact, _, above, below in _TWO_WAY)}
 UNION ALL SELECT rr.*, 'direction', CASE WHEN daily_ret >= 0 THEN 'up' ELSE 'down' END FROM rr UNION ALL SELECT rr.*, 'intraday', CASE WHEN minute_index < 18 THEN 'morning' WHEN minute_index < 36 THEN 'afternoon' ELSE 'tail' END FROM rr
 UNION ALL SELECT rr.*, 'breadth_dispersion', CASE WHEN daily_ret >= 0 THEN 'up' ELSE 'down' END || '_' || CASE WHEN coalesce(dispersion >= m_dispersion, false) THEN 'dispersed' ELSE 'consensus' END FROM rr, mm)"""
 
 
 def regime_rows(spark, sf) -> DataFrame:
-    """Each prediction of one model once per family, with its regime: one explode, all families in one job."""
+    """Each prediction of each model's basket once per family, with its regime: one explode, all families and models in one job.
+
+    Regimes of dates are the same for every model; those of rows are cut at the model's own medians.
+    """
     bars = written(src.weekly_bars(spark, sf))
     facts = written(market_facts(bars))
-    rows = src.signals(bars, 4).where("model_name = 'model_a'").join(src.weighted_bars(bars, src.index_weights(bars)).select("date", "datetime", "instrument", "weight"), ["date", "datetime", "instrument"])
-    b = basket.aggregate_basket(rows, ["date", "datetime"])
+    rows = src.signals(bars, 4).join(src.weighted_bars(bars, src.index_weights(bars)).select("date", "datetime", "instrument", "weight"), ["date", "datetime", "instrument"])
+    b = basket.aggregate_basket(rows, ["model_name", "date", "datetime"])
     fund = src.forward_label(_fund(bars).withColumn("instrument", F.lit(0)), 4)
     base = fund.join(b, ["date", "datetime"]).join(facts, "date").select(
-        "date", "datetime", "minute_index", "label", F.col("basket_pred").alias("pred"), "daily_amount", "daily_rvol", "daily_ret", "trend", "dispersion",
+        "model_name", "date", "datetime", "minute_index", "label", F.col("basket_pred").alias("pred"), "daily_amount", "daily_rvol", "daily_ret", "trend", "dispersion",
         F.abs("basket_pred").alias("abs_pred"), F.abs(F.col("label") - F.col("basket_label")).alias("abs_basis"), F.col("weight_coverage_pred").alias("coverage"),
     )
     base = written(_ok(base))
-    median = lambda df, at: medians(df, [fact for _, fact, per, _, _ in _TWO_WAY if per == at]).withColumn("one", F.lit(1))
-    base = base.withColumn("one", F.lit(1)).join(F.broadcast(median(facts, "date")), "one").join(F.broadcast(median(base, "row")), "one")  # one row each
+    facts_of = lambda at: [fact for _, fact, per, _, _ in _TWO_WAY if per == at]
+    of_dates = medians(facts, facts_of("date")).withColumn("one", F.lit(1))
+    base = base.withColumn("one", F.lit(1)).join(F.broadcast(of_dates), "one").join(F.broadcast(medians(base, facts_of("row"), ["model_name"])), "model_name")  # one row, and one per model
     cut = {name: F.when(F.coalesce(F.col(fact) >= F.col(f"m_{fact}"), F.lit(False)), above).otherwise(below) for name, fact, _, above, below in _TWO_WAY}
     direction = F.when(F.col("daily_ret") >= 0, "up").otherwise("down")
     cut |= {"direction": direction, "intraday": F.when(F.col("minute_index") < 18, "morning").when(F.col("minute_index") < 36, "afternoon").otherwise("tail"), "breadth_dispersion": F.concat_ws("_", direction, cut["dispersion"])}
     return base.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("family"), regime.alias("regime")) for name, regime in cut.items()])).alias("r")).select("*", "r.family", "r.regime").drop("r", "one")
 
 
-@_query("regime_labels", f"WITH {_REGIME_ROWS_SQL} SELECT family, regime, count(*) AS n, count(DISTINCT date) AS dates, {_day_sql('min(datetime)')} AS first_day FROM lab GROUP BY 1, 2")
+@_query("regime_labels", f"WITH {_REGIME_ROWS_SQL} SELECT model_name, family, regime, count(*) AS n, count(DISTINCT date) AS dates, {_day_sql('min(datetime)')} AS first_day FROM lab GROUP BY 1, 2, 3")
 def regime_labels(spark, sf):
-    return regime_rows(spark, sf).groupBy("family", "regime").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("dates"), _day(F.min("datetime")).alias("first_day"))
+    return regime_rows(spark, sf).groupBy("model_name", "family", "regime").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("dates"), _day(F.min("datetime")).alias("first_day"))
 
 
 _REGIME = ["ic", "rank_ic", "daily_ic", "daily_std", "icir", "positive_ratio", "strategy"]
 
 
-@_query("regime_report", f"""WITH {_REGIME_ROWS_SQL}, e1 AS (SELECT *, pred - label AS e FROM lab), rk AS (SELECT *, rank() OVER (PARTITION BY family, regime ORDER BY pred) + (count(*) OVER (PARTITION BY family, regime, pred) - 1) / 2e0 AS pr, rank() OVER (PARTITION BY family, regime ORDER BY label) + (count(*) OVER (PARTITION BY family, regime, label) - 1) / 2e0 AS yr FROM e1),
-po AS (SELECT family, regime, {_METRICS_SQL}, covar_pop(pr, yr) / nullif(stddev_pop(pr) * stddev_pop(yr), 0) AS rank_ic, product(CASE WHEN minute_index % 4 = 0 THEN 1 + sign(pred) * label ELSE 1 END) - 1 AS strategy FROM rk GROUP BY 1, 2),
-dy AS (SELECT family, regime, date, {_METRICS_SQL} FROM e1 GROUP BY 1, 2, 3), ds AS (SELECT family, regime, count(*) AS days, avg(ic) AS daily_ic, stddev_samp(ic) AS daily_std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(CASE WHEN ic > 0 THEN 1e0 WHEN ic <= 0 THEN 0e0 END) AS positive_ratio FROM dy GROUP BY 1, 2)
-SELECT family, regime, n, days, {_grids_sql(_REGIME)} FROM po JOIN ds USING (family, regime)""")
+@_query("regime_report", f"""WITH {_REGIME_ROWS_SQL}, e1 AS (SELECT *, pred - label AS e FROM lab), rk AS (SELECT *, rank() OVER (PARTITION BY model_name, family, regime ORDER BY pred) + (count(*) OVER (PARTITION BY model_name, family, regime, pred) - 1) / 2e0 AS pr, rank() OVER (PARTITION BY model_name, family, regime ORDER BY label) + (count(*) OVER (PARTITION BY model_name, family, regime, label) - 1) / 2e0 AS yr FROM e1),
+po AS (SELECT model_name, family, regime, {_METRICS_SQL}, covar_pop(pr, yr) / nullif(stddev_pop(pr) * stddev_pop(yr), 0) AS rank_ic, product(CASE WHEN minute_index % 4 = 0 THEN 1 + sign(pred) * label ELSE 1 END) - 1 AS strategy FROM rk GROUP BY 1, 2, 3),
+dy AS (SELECT model_name, family, regime, date, {_METRICS_SQL} FROM e1 GROUP BY 1, 2, 3, 4), ds AS (SELECT model_name, family, regime, count(*) AS days, avg(ic) AS daily_ic, stddev_samp(ic) AS daily_std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(CASE WHEN ic > 0 THEN 1e0 WHEN ic <= 0 THEN 0e0 END) AS positive_ratio FROM dy GROUP BY 1, 2, 3)
+SELECT model_name, family, regime, n, days, {_grids_sql(_REGIME)} FROM po JOIN ds USING (model_name, family, regime)""")
 def regime_report(spark, sf):
-    """For every regime: IC and rank IC of its rows, its dates' ICs, and the product of its non-overlapping trades."""
-    rows, by = written(regime_rows(spark, sf)), ["family", "regime"]
+    """For every model and regime: IC and rank IC of its rows, its dates' ICs, and the product of its non-overlapping trades."""
+    rows, by = written(regime_rows(spark, sf)), ["model_name", "family", "regime"]
     pooled = metrics.finalised(metrics.sufficient(rows, by)).join(metrics.large_rank_ic(rows, by), by)
     trade = F.when(F.col("minute_index") % 4 == 0, 1 + F.signum("pred") * F.col("label")).otherwise(1.0)
     strategy = rows.groupBy(*by).agg((F.product(trade) - 1).alias("strategy"))
@@ -445,12 +453,12 @@ def prediction_table(spark, sf):
     return _grids(table, [_day().alias("day"), "date", "model_name", "split"], ["pred", "label"])
 
 
-@_query("prediction_prices", f"WITH {_SIG}, f AS (SELECT datetime, sum(amount) / sum(vol) AS price FROM bars WHERE minute_index % 3 <> 0 GROUP BY 1) SELECT model_name, instrument, {_day_sql('s.datetime')} AS day, {_grids_sql(['pred', 'price'], 4)} FROM sig s LEFT JOIN f ON f.datetime = s.datetime WHERE instrument % 5 = 0 AND pred IS NOT NULL")
+@_query("prediction_prices", f"WITH {_SIG}, f AS (SELECT datetime, sum(amount) / sum(vol) AS price FROM bars WHERE trades >= 2 GROUP BY 1) SELECT model_name, instrument, {_day_sql('s.datetime')} AS day, {_grids_sql(['pred', 'price'], 4)} FROM sig s LEFT JOIN f ON f.datetime = s.datetime WHERE pred IS NOT NULL")
 def prediction_prices(spark, sf):
-    """Predictions of every fifth instrument with the price of their time, if there is one."""
+    """All predictions with the price of their time, if there is one: that of bars with two trades or more."""
     bars = src.monthly_bars(spark, sf)
-    prices = bars.where("minute_index % 3 <> 0").groupBy("datetime").agg((F.sum("amount") / F.sum("vol")).alias("price"))
-    rows = src.signals(bars, 1).where("instrument % 5 = 0 and pred is not null")
+    prices = bars.where("trades >= 2").groupBy("datetime").agg((F.sum("amount") / F.sum("vol")).alias("price"))
+    rows = src.signals(bars, 1).where("pred is not null")
     return _grids(rows.join(prices, "datetime", "left"), ["model_name", "instrument", _day().alias("day")], ["pred", "price"], 4)
 
 
@@ -461,22 +469,25 @@ def fund_scan(spark, sf):
     return _grids(bars, [_day().alias("day"), "minute_index"], ["close", "vol", "amount"], 3)
 
 
-@_query("coverage_audit", f"""WITH {_BASKET}, w AS (SELECT date, datetime, minute_index, instrument FROM wbars), c AS (SELECT w.date, w.minute_index, avg(CASE WHEN s.pred IS NOT NULL THEN 1e0 ELSE 0e0 END) AS covered, count(*) AS n, count(s.instrument) AS joined FROM w LEFT JOIN sig s ON s.datetime = w.datetime AND s.instrument = w.instrument AND s.model_name = 'model_a' GROUP BY 1, 2),
-m AS (SELECT *, minute_index = min(minute_index) OVER (PARTITION BY date) AS is_first, minute_index = max(minute_index) OVER (PARTITION BY date) AS is_last FROM c),
-x AS (SELECT 'minute' AS section, CAST(minute_index AS INT) AS minute_index, covered, n, joined FROM m UNION ALL SELECT 'first', -1, covered, n, joined FROM m WHERE is_first UNION ALL SELECT 'last', -1, covered, n, joined FROM m WHERE is_last UNION ALL SELECT 'all', -1, covered, n, joined FROM m)
-SELECT section, minute_index, count(*) AS dates, {grid_sql('avg(covered)')} AS covered, {grid_sql('avg(1 - covered)')} AS missing, CAST(sum(n) AS BIGINT) AS n, {grid_sql('sum(joined) * 1e0 / sum(n)')} AS retained FROM x GROUP BY 1, 2""")
+@_query("coverage_audit", f"""WITH {_BASKET}, w AS (SELECT date, datetime, minute_index, instrument FROM wbars), mods AS (SELECT DISTINCT model_name FROM sig), c AS (SELECT mods.model_name, w.date, w.minute_index, avg(CASE WHEN s.pred IS NOT NULL THEN 1e0 ELSE 0e0 END) AS covered, count(*) AS n, count(s.instrument) AS joined FROM w CROSS JOIN mods LEFT JOIN sig s ON s.datetime = w.datetime AND s.instrument = w.instrument AND s.model_name = mods.model_name GROUP BY 1, 2, 3),
+m AS (SELECT *, minute_index = min(minute_index) OVER (PARTITION BY model_name, date) AS is_first, minute_index = max(minute_index) OVER (PARTITION BY model_name, date) AS is_last FROM c),
+x AS (SELECT model_name, 'minute' AS section, CAST(minute_index AS INT) AS minute_index, covered, n, joined FROM m UNION ALL SELECT model_name, 'first', -1, covered, n, joined FROM m WHERE is_first UNION ALL SELECT model_name, 'last', -1, covered, n, joined FROM m WHERE is_last UNION ALL SELECT model_name, 'all', -1, covered, n, joined FROM m)
+SELECT model_name, section, minute_index, count(*) AS dates, {grid_sql('avg(covered)')} AS covered, {grid_sql('avg(1 - covered)')} AS missing, CAST(sum(n) AS BIGINT) AS n, {grid_sql('sum(joined) * 1e0 / sum(n)')} AS retained FROM x GROUP BY 1, 2, 3""")
 def coverage_audit(spark, sf):
-    """Coverage by minute, of the first and last minute of the dates, and how many rows the join keeps."""
+    """Coverage of each model by minute, of the first and last minute of the dates, and how many rows the join keeps."""
     bars = written(src.weekly_bars(spark, sf))
     members = src.weighted_bars(bars, src.index_weights(bars)).select("date", "datetime", "minute_index", "instrument")
-    preds = src.signals(bars, 4).where("model_name = 'model_a'").select("datetime", "instrument", "pred", F.lit(1).alias("joined"))
-    per = members.join(preds, ["datetime", "instrument"], "left").groupBy("date", "minute_index").agg(F.avg(F.col("pred").isNotNull().cast("double")).alias("covered"), F.count(F.lit(1)).alias("n"), F.count("joined").alias("joined"))
-    w = Window.partitionBy("date")
+    preds = src.signals(bars, 4).groupBy("datetime", "instrument").agg(F.map_from_entries(F.collect_list(F.struct("model_name", F.struct("pred")))).alias("preds"))  # one entry per model
+    models = src.signals(bars, 4).agg(F.sort_array(F.collect_set("model_name")).alias("models"))
+    every = members.join(preds, ["datetime", "instrument"], "left").join(F.broadcast(models)).select("*", F.explode("models").alias("model_name"))  # one row
+    found = F.col("preds")[F.col("model_name")]
+    per = every.groupBy("model_name", "date", "minute_index").agg(F.avg(found.getField("pred").isNotNull().cast("double")).alias("covered"), F.count(F.lit(1)).alias("n"), F.count(found).alias("joined"))
+    w = Window.partitionBy("model_name", "date")
     per = per.withColumns({"is_first": F.col("minute_index") == F.min("minute_index").over(w), "is_last": F.col("minute_index") == F.max("minute_index").over(w)})
     sections = [("minute", F.lit(True), F.col("minute_index")), ("first", F.col("is_first"), F.lit(-1)), ("last", F.col("is_last"), F.lit(-1)), ("all", F.lit(True), F.lit(-1))]
-    rows = per.select("covered", "n", "joined", F.explode(F.array(*[F.struct(F.lit(s).alias("section"), at.cast("int").alias("minute_index"), keep.alias("keep")) for s, keep, at in sections])).alias("s")).where("s.keep")
-    out = rows.groupBy("s.section", "s.minute_index").agg(F.count(F.lit(1)).alias("dates"), F.avg("covered").alias("covered"), F.avg(1 - F.col("covered")).alias("missing"), F.sum("n").alias("n"), (F.sum("joined") / F.sum("n")).alias("retained"))
-    return _grids(out, ["section", "minute_index", "dates", "n"], ["covered", "missing", "retained"])
+    rows = per.select("model_name", "covered", "n", "joined", F.explode(F.array(*[F.struct(F.lit(s).alias("section"), at.cast("int").alias("minute_index"), keep.alias("keep")) for s, keep, at in sections])).alias("s")).where("s.keep")
+    out = rows.groupBy("model_name", "s.section", "s.minute_index").agg(F.count(F.lit(1)).alias("dates"), F.avg("covered").alias("covered"), F.avg(1 - F.col("covered")).alias("missing"), F.sum("n").alias("n"), (F.sum("joined") / F.sum("n")).alias("retained"))
+    return _grids(out, ["model_name", "section", "minute_index", "dates", "n"], ["covered", "missing", "retained"])
 
 
 @_query("panel_cache", f"WITH {bars_sql('month')} SELECT date, date <= 19970101 AS hit, count(*) AS n, {grid_sql('sum(close)', 1)} AS close, {grid_sql('sum(amount)', 1)} AS amount FROM bars GROUP BY 1, 2")
