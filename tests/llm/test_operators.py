@@ -615,6 +615,42 @@ def test_recall_of_similar_lines_by_edit_distance_alone(spark):
     assert len(found) == 10 and all(np.mean(v) >= 0.85 for v in found.values()) and np.mean(sum(found.values(), [])) >= 0.95
 
 
+def test_short_similar_lines_all_meet(spark):
+    rng = np.random.default_rng(12)
+    docs = []
+    for n in [*range(10, 46)] * 6:
+        base = "".join(rng.choice(list("abcdefgh "), n))
+        new = list(base)
+        for k in rng.choice(n, n // 10, replace=False):
+            new[k] = rng.choice(["", new[k] + "z", "y"])
+        docs += [base, "".join(new)]
+    rows = [(i, t) for i, t in enumerate(docs)]
+    got = {(r["doc_id"], r["text_key"]): set(r["removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert got == dict(brute_lines(rows)) and len(got) > 150
+
+
+@pytest.mark.parametrize("n", [12, 15, 25, 40, 100])
+def test_similar_lines_meet_at_every_rate_of_edits(spark, n):
+    rng = np.random.default_rng(n)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(3000)]
+    pairs, rates = [], []
+    for rate in (3, 6, 9):
+        for _ in range(60):
+            old = " ".join(vocab[k] for k in rng.zipf(1.3, n) % 3000)
+            new = list(old)
+            for k in rng.choice(len(new), len(new) * rate // 100, replace=False):
+                new[k] = "q" if new[k] != " " else " "
+            if "".join(new) != old:
+                pairs.append((old, "".join(new)))
+                rates.append(rate)
+    rows = [(2 * k + j, t) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    for rate in (3, 6, 9):
+        met = [2 * k + 1 in gone for k in range(len(pairs)) if rates[k] == rate]
+        print(n, rate, sum(met), len(met))
+        assert np.mean(met) >= 0.9
+
+
 def test_one_rule_for_lines_of_any_length(spark):
     words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}long" for k in range(1500)]
     turned = words[::-1]  # the same words in another order are no similar line
