@@ -651,6 +651,19 @@ def test_similar_lines_meet_at_every_rate_of_edits(spark, n):
         assert np.mean(met) >= 0.9
 
 
+def test_long_lines_that_share_one_run_meet_whatever_their_simhashes(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(10):
+        words = ["".join(rng.choice(list("aeimou"), 1)) + "".join(rng.choice(list("bcdfghjklmnprstv"), 10)) for _ in range(30)]
+        other = [w if k == i else w[:5] + "z" + w[6:] for k, w in enumerate(words)]
+        a, b = (plain_simhash(x) for x in (words, other))
+        assert edits(" ".join(words), " ".join(other)) <= 35 and bin(a ^ b).count("1") > 20
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2 for i in range(20)}
+
+
 def test_one_rule_for_lines_of_any_length(spark):
     words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}long" for k in range(1500)]
     turned = words[::-1]  # the same words in another order are no similar line
