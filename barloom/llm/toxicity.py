@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import release, saved, spread, table
-from barloom.llm.words import ALNUM, U64, byte_hashes, row_slices, signed, split_words
+from barloom.llm.words import ALNUM, U64, byte_hashes, ragged_ranges, row_slices, signed, split_words
 
 TRAIN_DOCS = 20_000
 #: Features kept for each category, the least documents of it each must be in, and how many times likelier there.
@@ -95,25 +95,73 @@ def _vectors(features: np.ndarray, names: list[str]):
     return run
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+@dataclass
+class Sparse:
+    """A matrix by row: which of its first ``width`` columns are one (``col``, row k from at[k] to at[k + 1]), and dense columns ``more`` behind them.
+
+    Rows have few features of all, so the driver holds and multiplies only these.
+    """
+
+    at: np.ndarray
+    col: np.ndarray
+    width: int
+    more: np.ndarray
+
+    def __post_init__(self):
+        self.row = np.repeat(np.arange(len(self)), np.diff(self.at))
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    @classmethod
+    def of(cls, lists: list, width: int) -> Sparse:
+        """From the columns that are one in each row."""
+        col = np.concatenate([np.zeros(0, np.int32), *[np.asarray(x, np.int32) for x in lists]])
+        return cls(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64), col, width, np.zeros((len(lists), 0), np.float32))
+
+    def take(self, rows: np.ndarray) -> Sparse:
+        sizes = np.diff(self.at)[rows]
+        return Sparse(np.concatenate([[0], np.cumsum(sizes)]), self.col[ragged_ranges(self.at[:-1][rows], sizes)], self.width, self.more[rows])
+
+    def only(self, columns: np.ndarray) -> Sparse:
+        """With those of the first columns that are true in ``columns``."""
+        keep = columns[self.col]
+        at = np.concatenate([[0], np.cumsum(np.bincount(self.row[keep], minlength=len(self)))])
+        return Sparse(at, (np.cumsum(columns) - 1)[self.col[keep]], int(columns.sum()), self.more)
+
+    def beside(self, column: np.ndarray) -> Sparse:
+        return Sparse(self.at, self.col, self.width, np.concatenate([self.more, column.astype(np.float32)[:, None]], axis=1))
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.col], len(self)) + self.more @ w[self.width :]
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.col, g[self.row], self.width), self.more.T @ g])
+
+    def squares(self) -> np.ndarray:
+        """The squared length of each row."""
+        return np.diff(self.at) + (self.more * self.more).sum(axis=1)
+
+
+def fit_linear(x: Sparse, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted ridge logistic regression by accelerated gradient steps; the last weight is the intercept."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1).astype(np.float32)
-    w = ahead = np.zeros(x.shape[1], dtype=np.float32)
+    x = x.beside(np.ones(len(x)))
+    w = ahead = np.zeros(x.width + x.more.shape[1], dtype=np.float32)
     if not len(y) or y.min() == y.max():
         w[-1] = 0 if not len(y) else (6 if y[0] else -6)
         return w
     weight = (weight / weight.sum()).astype(np.float32)
     y = y.astype(np.float32)
-    rate = np.float32(4 / max(1e-9, float(weight @ (x * x).sum(axis=1)) + RIDGE))
+    rate = np.float32(4 / max(1e-9, float(weight @ x.squares()) + RIDGE))
     for k in range(STEPS):
-        grad = x.T @ ((_sigmoid(x @ ahead) - y) * weight) + np.float32(RIDGE) * ahead
+        grad = x.transposed_times((_sigmoid(x @ ahead) - y) * weight).astype(np.float32) + np.float32(RIDGE) * ahead
         new = ahead - rate * grad
         ahead = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w
 
 
-def apply_linear(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+def apply_linear(w: np.ndarray, x: np.ndarray | Sparse) -> np.ndarray:
     return _sigmoid(x @ w[:-1] + w[-1])
 
 
@@ -137,7 +185,7 @@ class Chain:
         return np.stack(out, axis=1).astype(np.float64)
 
 
-def fit_chain(features: np.ndarray, names: list[str], x: np.ndarray, labels: np.ndarray, fold: np.ndarray, chosen: np.ndarray | None = None) -> Chain:
+def fit_chain(features: np.ndarray, names: list[str], x: np.ndarray | Sparse, labels: np.ndarray, fold: np.ndarray, chosen: np.ndarray | None = None) -> Chain:
     """Models in order; inputs of a later one are out-of-fold probabilities of the earlier.
 
     ``chosen`` says which features each fold's model may use and, last, the final one.
@@ -145,20 +193,25 @@ def fit_chain(features: np.ndarray, names: list[str], x: np.ndarray, labels: np.
     documents have no feature at all.
     """
     chosen = np.ones((FOLDS + 1, len(features)), dtype=bool) if chosen is None else chosen
-    alike = np.concatenate([np.packbits(x > 0, axis=1), labels.astype(np.uint8), fold[:, None].astype(np.uint8)], axis=1)
-    _, first, weight = np.unique(alike, axis=0, return_index=True, return_counts=True) if len(x) else (None, np.zeros(0, np.int64), np.zeros(0))
-    x, labels, fold, weight = x[first], labels[first], fold[first], weight.astype(np.float64)
-    weights, unseen, earlier = [], np.zeros(len(x)), np.zeros((len(x), 0), np.float32)
+    x = x if isinstance(x, Sparse) else Sparse.of([np.flatnonzero(r) for r in x], x.shape[1])
+    alike: dict[tuple, list[int]] = {}
+    for k, y in enumerate(labels.tolist()):
+        alike.setdefault((x.col[x.at[k] : x.at[k + 1]].tobytes(), *y, int(fold[k])), []).append(k)
+    first = np.array([rows[0] for rows in alike.values()], dtype=np.int64)
+    weight = np.array([len(rows) for rows in alike.values()], dtype=np.float64)
+    x, labels, fold = x.take(first), labels[first], fold[first]
+    weights, unseen, earlier = [], np.zeros(len(x)), []
+    with_earlier = lambda part: reduce(lambda a, column: a.beside(column), earlier, part)
     for k in range(len(names)):
         y = labels[:, k]
         unseen = np.zeros(len(y))
         for f in range(FOLDS):
             inner = fold != f
             if inner.any() and not inner.all():
-                some = np.concatenate([x[:, chosen[f]], earlier], axis=1)
-                unseen[~inner] = apply_linear(fit_linear(some[inner], y[inner], weight[inner]), some[~inner])
-        weights.append(fit_linear(np.concatenate([x[:, chosen[-1]], earlier], axis=1), y, weight))
-        earlier = np.concatenate([earlier, unseen[:, None].astype(np.float32)], axis=1)
+                some = with_earlier(x.only(chosen[f]))
+                unseen[~inner] = apply_linear(fit_linear(some.take(np.flatnonzero(inner)), y[inner], weight[inner]), some.take(np.flatnonzero(~inner)))
+        weights.append(fit_linear(with_earlier(x.only(chosen[-1])), y, weight))
+        earlier.append(unseen)
     return Chain(features[chosen[-1]], names, weights, best_threshold(unseen, labels[:, -1], weight) if len(labels) else 0.5)
 
 
@@ -187,9 +240,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> Ch
     features, chosen = _features(rows, totals, k)
     got = rows.mapInArrow(_vectors(features, ["tkey", "fold", *ys]), "tkey long, fold int, " + ", ".join(f"{y} int" for y in ys) + ", at array<int>")
     got = sorted(got.orderBy("tkey", *ys).limit(2 * TRAIN_DOCS).collect(), key=lambda r: (r["tkey"], *[r[y] for y in ys]))  # a few feature numbers a row
-    x = np.zeros((len(got), len(features)), dtype=np.float32)
-    for i, r in enumerate(got):
-        x[i, r["at"]] = 1
+    x = Sparse.of([r["at"] for r in got], len(features))
     label = np.array([[r[y] for y in ys] for r in got], dtype=np.float64).reshape(len(got), k)
     return fit_chain(features, list(categories), x, label, np.array([r["fold"] for r in got], dtype=np.int64), chosen)
 

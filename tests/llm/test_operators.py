@@ -9,6 +9,7 @@ import random
 import re
 import textwrap
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -378,6 +379,19 @@ def test_chain_uses_earlier_categories():
     assert ((chain.probabilities(x)[:, 1] >= chain.threshold) == (labels[:, 1] == 1)).mean() > 0.98
 
 
+def test_chain_learns_without_dense_copies():
+    rng = np.random.default_rng(0)
+    x = np.zeros((5000, 1500), dtype=np.float32)
+    x[np.repeat(np.arange(5000), 4), rng.integers(0, 1500, 20_000)] = 1
+    labels = np.stack([x[:, :200].any(axis=1), x[:, :100].any(axis=1)], axis=1).astype(float)
+    tracemalloc.start()
+    chain = toxicity.fit_chain(np.arange(1500, dtype=np.uint64), ["a", "b"], x, labels, np.arange(5000) % 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < x.nbytes  # the driver has 20,000 such rows at most
+    assert ((chain.probabilities(x)[:, 1] >= chain.threshold) == (labels[:, 1] == 1)).mean() > 0.97
+
+
 def test_quality_network_on_held_out_rows(spark, odd_docs, no_docs):
     sf = os.environ.get("TEST_LABEL_DIR", "/root/testdata/sf0.01")
     label = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
