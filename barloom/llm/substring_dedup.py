@@ -34,6 +34,8 @@ from barloom.llm.words import NON_SPACE, U64, mix, ragged_ranges, row_slices, ru
 
 #: Passages of a shard on average, and at most of one minimum.
 SHARD_PASSAGES, FP_PASSAGES = 20_000, 2_000
+#: A passage that more than one in so many rows has is joined by broadcast; there are fewer of them than this.
+OFTEN = 4096
 
 
 def _minima(words, window: int, gram: int):
@@ -222,6 +224,11 @@ def _owned_windows(distinct: DataFrame, window: int) -> DataFrame:
     return owned.groupBy("fp", "p1", "p2").agg(F.sort_array(F.collect_list("at")).alias("windows"))
 
 
+def _often(known: DataFrame, rows: int, parts: int) -> DataFrame:
+    """The passages that so many of all rows have that a task of the join would be uneven, up to a thousand tasks or the ``parts`` there are."""
+    return known.where(F.col("copies") * F.lit(max(OFTEN, 4 * parts)) > F.lit(rows))
+
+
 def _cut(window: int):
     """Documents and their owned windows to what is left of them."""
 
@@ -308,10 +315,10 @@ def dedup_substrings(docs: DataFrame, window: int = 13, gram: int = 5, doc_id: s
     owned = saved(owned.where(F.size("windows") > 0))
     release(distinct)
 
-    # A passage that very many documents have would be one task of the join; there are at most 4 * parts of them.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A passage that very many documents have would be one task of the join.
     known = firsts.join(owned, key, "left")
-    often = saved(known.where(F.col("copies") > F.lit(passages.count()) / (4 * parts)).select(*key, F.struct("pid", "windows").alias("often")))
+    often = _often(known, passages.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    often = saved(often.select(*key, F.struct("pid", "windows").alias("often")))
     tried = passages.select(*key, "n", "id", "tkey", "at").join(F.broadcast(often), key, "left")
     marked = tried.where("often is null").drop("often").join(known.select(*key, "pid", "windows"), key)
     marked = marked.unionByName(tried.where("often is not null").select(*key, "n", "id", "tkey", "at", "often.pid", "often.windows"))

@@ -342,6 +342,14 @@ def test_no_shard_grows_with_a_frequent_phrase(spark, monkeypatch):
     assert sorted(got, key=str) == brute_substrings(docs) and any(r[2] for r in got)
 
 
+def test_frequent_passages_do_not_depend_on_the_partitions(spark):
+    """Of a table and one five times as large, with more partitions, the same passages are joined by broadcast."""
+    copies = [1] * 6000 + [40, 100]
+    for times, parts in ((1, 12), (5, 51)):
+        known = spark.createDataFrame([(k, c * times) for k, c in enumerate(copies)], "fp long, copies long")
+        assert sorted(r["fp"] for r in substring_dedup._often(known, times * sum(copies), parts).collect()) == [6000, 6001]
+
+
 # 5 toxicity and 9 quality
 
 
