@@ -20,7 +20,7 @@ import xxhash
 from helpers import SF, oracle_rows, rows_of
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, line_dedup, near_dedup, packing, quality_cnn, quality_rules, registry, substring_dedup, toxicity, warc
+from barloom.llm import common, decontaminate, licenses, line_dedup, near_dedup, packing, quality_cnn, quality_rules, registry, substring_dedup, toxicity, warc
 from barloom.llm.common import connected_components, table
 from barloom.llm.fm_index import FMIndex
 from barloom.llm.quality_rules import document_counts
@@ -702,6 +702,31 @@ def test_simhash_of_short_and_long_lines(spark):
         assert r["sim"] % (1 << 64) == plain_simhash(w)
 
 
+def test_saved_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    counted = common.saved(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count().repartition(5, "k"))
+    left = files() - before
+    for _ in range(100):  # Spark deletes them in the background
+        if not left:
+            break
+        time.sleep(0.1)
+        left &= files()
+    assert not left and counted.count() == 100 and spark.conf.get(common.CLEANUP) == setting
+    common.release(counted)
+
+
+@pytest.mark.parametrize("size", [300, 3000])  # below and above QUARTER
+def test_texts_are_similar_up_to_a_tenth_of_edits(spark, size):
+    rng = random.Random(size)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(size))
+    other = lambda edits, by: "".join(by if k % (size // edits) == size // edits // 2 and k // (size // edits) < edits else x for k, x in enumerate(text))
+    rows = [(text, other(edits, by), edits <= size // 10) for edits in (3, size // 10, size // 10 + 5) for by in ("", "x")]
+    rows.append((text, text[::-1], False))
+    df = spark.createDataFrame(rows, "a string, b string, expected boolean")
+    assert df.where(line_dedup.similar(F.col("a"), F.col("b")) != F.col("expected")).count() == 0
+
+
 def test_native_operators_run_no_python(spark):
     for name in ("op8_license_scan", "op10_line_dedup"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
