@@ -392,9 +392,13 @@ _FACTS = ["amount", "vol", "ret"]
 labels_ AS (SELECT date, 'amount' AS family, CASE WHEN coalesce(amount >= m_amount, false) THEN 'high' ELSE 'low' END AS regime FROM facts, med UNION ALL SELECT date, 'vol', CASE WHEN coalesce(vol >= m_vol, false) THEN 'high' ELSE 'low' END FROM facts, med UNION ALL SELECT date, 'ret', CASE WHEN coalesce(ret >= m_ret, false) THEN 'high' ELSE 'low' END FROM facts, med)
 SELECT model_name, family, regime, n, {_grids_sql(_METRICS)} FROM (SELECT model_name, family, regime, {_METRICS_SQL} FROM ok JOIN labels_ USING (date) GROUP BY 1, 2, 3)""")
 def regime_metrics(spark, sf):
-    """Each date's facts against their medians, all families in one job."""
-    rows = _signals(spark, sf)
-    facts = rows.where("model_name = 'model_a'").groupBy("date").agg(F.sum("amount").alias("amount"), F.avg(F.abs("label")).alias("vol"), F.avg("label").alias("ret"))
+    """Each date's facts against their medians, all families in one job.
+
+    The facts are written once: sums of doubles differ in their last digits from one
+    computation to the next, and the date that is the median itself would fall below it.
+    """
+    rows = src.signals(written(src.monthly_bars(spark, sf)), 1)
+    facts = written(rows.where("model_name = 'model_a'").groupBy("date").agg(F.sum("amount").alias("amount"), F.avg(F.abs("label")).alias("vol"), F.avg("label").alias("ret")))
     med = medians(facts, _FACTS).withColumn("one", F.lit(1))
     high = lambda c: F.when(F.coalesce(F.col(c) >= F.col(f"m_{c}"), F.lit(False)), "high").otherwise("low")
     labels = facts.withColumn("one", F.lit(1)).join(F.broadcast(med), "one").select("date", F.explode(F.array(*[F.struct(F.lit(c).alias("family"), high(c).alias("regime")) for c in _FACTS])).alias("r")).select("date", "r.*")  # one row of medians
