@@ -686,6 +686,37 @@ def test_long_lines_that_share_one_run_meet_whatever_their_simhashes(spark):
     assert got == {i: i % 2 for i in range(20)}
 
 
+def lines_of_one_frequent_run():
+    """(doc_id, text) of 12 pairs of similar lines that share one run alone, which 80 unlike lines of the same length have too."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("aeimou"), 1)) + "".join(rng.choice(list("bcdfghjklmnprstv"), 10))
+    rows = []
+    for i in range(12):
+        words = [word() for _ in range(30)]
+        words[i] = "acommonword"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(w if k == i else w[:5] + "z" + w[6:] for k, w in enumerate(words)))]
+    for i in range(24, 104):
+        words = [word() for _ in range(30)]
+        words[i % 30] = "acommonword"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_all_similar_lines_of_a_frequent_run_meet(spark):
+    docs = spark.createDataFrame(lines_of_one_frequent_run(), "doc_id long, text string")
+    gone = {r["doc_id"] for r in line_dedup.dedup_lines(docs).where("n_removed > 0").collect()}
+    assert gone == set(range(1, 24, 2))
+
+
+def test_places_of_runs(spark):
+    rows = [("alpha beta gamma delta epsilon",), ("alpha beta one alpha beta two",), ("xalpha beta and alpha betas or alpha beta",)]
+    got = [dict(r["k"]) for r in spark.createDataFrame(rows, "said string").select(line_dedup._keys(F.col("said")).alias("k")).collect()]
+    key = lambda x: spark.range(1).select(line_dedup._cut(F.xxhash64(F.lit(x)))).first()[0]
+    assert got[0][key("alpha beta")] == 0 and got[0][key("beta gamma")] == 6
+    assert got[1][key("alpha beta")] == -1 and got[1][key("beta one")] == 6
+    assert got[2][key("alpha beta")] == 31 and got[2][key("xalpha beta")] == 0
+
+
 def test_one_rule_for_lines_of_any_length(spark):
     words = [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}long" for k in range(1500)]
     turned = words[::-1]  # the same words in another order are no similar line
